@@ -49,8 +49,8 @@ def build_index(documents: DataFrame, words: DataFrame) -> DataFrame:
 def ranked_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
     """(win, len, off, term, rank): a window's places from its rarest term in the corpus (rank 1) to its commonest."""
     seen = index.filter("term is not null").groupBy("term").agg(F.count("*").alias("seen"))
-    places = windows.select("win", "len", "off", F.xxhash64("word").alias("term")).distinct()
-    order = Window.partitionBy("win").orderBy(F.coalesce("seen", F.lit(0)), "term", "off")
+    places = windows.select("win", "len", "off", "word", F.xxhash64("word").alias("term")).distinct()
+    order = Window.partitionBy("win").orderBy(F.coalesce("seen", F.lit(0)), "word", "off")
     return places.join(seen, "term", "left").withColumn("rank", F.row_number().over(order)).select("win", "len", "off", "term", "rank")
 
 
@@ -95,11 +95,8 @@ def proximity_matches(index: DataFrame, ranked: DataFrame, found: DataFrame, slo
     return alone.union(asked.join(other, ["doc", "term3", "cell"]).filter(F.abs(F.col("pos3") - F.col("start") - F.col("off3")) <= slop).select("doc", "win")).distinct()
 
 
-def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
-
-    n_near_items counts the items with a proximity match, exact ones included.
-    """
+def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
+    """The index, and (doc, n_hit, items, n_near_items) of the documents with any match."""
     scratch = Scratch(spark)
     windows = scratch.table(benchmark_windows(benchmark, window))
     index = scratch.table(build_index(documents, windows.select("word").distinct()))
@@ -113,9 +110,25 @@ def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     named = exact.select("doc", "win").distinct().join(items, "win").select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
     nears = near.join(items, "win").select("doc", "item").distinct().groupBy("doc").agg(F.count("*").alias("n_near_items"))
     report = scratch.table(words.join(named, "doc", "full").join(nears, "doc", "full"))
+    return index, report
+
+
+def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
+
+    n_near_items counts the items with a proximity match, exact ones included.
+    """
+    index, report = matches(spark, documents, benchmark, window, slop)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     none = F.array().cast("array<string>")
     return (
         index.filter("term is null").join(report, "doc", "left")
         .select("doc_id", "n_words", zero("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), sha256_joined(F.coalesce("items", none)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near_items"))
     )
+
+
+def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """documents without the rows that hold an exact match."""
+    _, report = matches(spark, documents, benchmark)
+    hit = report.filter("n_hit > 0").select(F.col("doc").alias("_contaminated"))
+    return documents.join(bounded_broadcast(hit), F.xxhash64(documents["doc_id"], documents["text"]) == F.col("_contaminated"), "left_anti")

@@ -219,3 +219,20 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
         return run
 
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def drop_rejected(documents: DataFrame, model: Model | None) -> DataFrame:
+    """documents without the rows that the model rejects; with no model, only without those that have no letter."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def make() -> Callable:
+        m = shared.value
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in sliced(batches, "text"):
+                no = m.predict(texts)[2] if m is not None else ngrams(texts)[2] == 0
+                yield part.filter(pa.array(~no))
+
+        return run
+
+    return map_batches(documents, make, documents.schema)
