@@ -30,8 +30,8 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT a AS doc_id, a AS top FROM both UNION SELECT both.b, reach.top FROM reach JOIN both ON both.a = reach.doc_id),
+links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS doc_id, a AS top FROM links UNION SELECT links.b, reach.top FROM reach JOIN links ON links.a = reach.doc_id),
 c AS (SELECT doc_id, min(top) AS comp FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp, d.doc_id) AS component_id, coalesce(comp, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
@@ -42,9 +42,9 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embedd
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
 u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS l FROM v),
 e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) WHERE list_dot_product(p.x, q.x) / (p.l * q.l) >= 0.9),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-n AS (SELECT a AS vec_id, count(*) AS n FROM both GROUP BY a),
-reach AS (SELECT a AS vec_id, a AS top FROM both UNION SELECT both.b, reach.top FROM reach JOIN both ON both.a = reach.vec_id),
+links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT a AS vec_id, a AS top FROM links UNION SELECT links.b, reach.top FROM reach JOIN links ON links.a = reach.vec_id),
 c AS (SELECT vec_id, min(top) AS comp FROM reach GROUP BY vec_id)
 SELECT t.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(comp, t.vec_id) AS component_id, coalesce(comp, t.vec_id) = t.vec_id AS kept
 FROM embeddings t LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
