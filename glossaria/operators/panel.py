@@ -82,27 +82,29 @@ def provider_text(line: Column | str) -> Column:
     return F.struct(F.coalesce(j("$.custom_id"), j("$.key"), j("$.id")).alias("request_id"), text.alias("text"), status.alias("status"), error.alias("error"))
 
 
-def first_object(text: str | None) -> str | None:
-    """The text if it is a JSON object, else the first object in it that can be decoded."""
-    if not text:
+def first_json_object(text: Column | str) -> Column:
+    """The text if it is a JSON object, else the first object in it that can be decoded: balanced scanning is beyond
+    regular expressions, so this one function runs in Python, over Arrow batches."""
+
+    def first(value: str | None) -> str | None:
+        if not value:
+            return None
+        at, decoder = value.find("{"), json.JSONDecoder()
+        while at >= 0:
+            try:
+                found, _ = decoder.raw_decode(value, at)
+            except (ValueError, RecursionError):
+                found = None
+            if isinstance(found, dict):
+                return json.dumps(found)
+            at = value.find("{", at + 1)
         return None
-    at = text.find("{")
-    decoder = json.JSONDecoder()
-    while at >= 0:
-        try:
-            value, _ = decoder.raw_decode(text, at)
-        except (ValueError, RecursionError):
-            value = None
-        if isinstance(value, dict):
-            return json.dumps(value)
-        at = text.find("{", at + 1)
-    return None
-
-
-@F.pandas_udf("string")
-def first_json_object(text: pd.Series) -> pd.Series:
-    """first_object() for a column: balanced scanning is beyond regular expressions."""
-    return text.map(first_object)
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(first)
+
+    return run(X.col(text))
 
 
 def category_prediction(obj: Column | str) -> Column:

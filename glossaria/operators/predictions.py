@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions import text as X
@@ -20,17 +20,26 @@ class LanguageModel(Protocol):
     def predict(self, texts: list[str], k: int) -> list[list[tuple[str, float]]]: ...
 
 
-def word_list_model(segments: DataFrame, model: str, words: dict[str, list[str]], k: int) -> DataFrame:
+def _best(words: dict[str, list[str]], k: int) -> Column:
+    """The k labels with most matches among the words in ``_w``: rank, raw label, share of all matches."""
+
+    def member(ws: list[str]) -> Callable[[Column], Column]:
+        return lambda w: w.isin(ws)
+
+    found = F.array(*[F.struct((-F.size(F.filter("_w", member(ws)))).alias("n"), F.lit(label).alias("label_raw")) for label, ws in sorted(words.items())])
+    hits = F.array_sort(F.filter(found, lambda h: h["n"] < 0))
+    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["n"])
+    return F.transform(F.slice(hits, 1, k), lambda h, i: F.struct((i + 1).alias("prediction_rank"), h["label_raw"].alias("label_raw"), F.round(h["n"] / total, 6).alias("score")))
+
+
+def word_list_models(segments: DataFrame, models: dict[str, dict[str, list[str]]], k: int) -> DataFrame:
     """Top-k labels by the share of matched words, as (carry, lid_model, predictions: array of rank, raw label, score).
 
-    Ranks order by score, then label; labels without a match are left out. The words of a text are split once.
+    Ranks order by score, then label; labels without a match are left out. The words of a text are split once for all models.
     """
-    hits = F.array(*[F.struct(F.size(F.filter("_w", lambda w, ws=ws: w.isin(ws))).alias("n"), F.lit(label).alias("label_raw")) for label, ws in sorted(words.items())])
-    df = segments.select(*CARRY, F.split(F.col("clean_text"), r"[^\p{L}]+").alias("_w")).withColumn("_h", F.filter(hits, lambda h: h["n"] > 0))
-    total = F.aggregate("_h", F.lit(0), lambda a, h: a + h["n"])
-    ordered = F.array_sort("_h", lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["label_raw"] < b["label_raw"], -1).when(a["label_raw"] > b["label_raw"], 1).otherwise(0))
-    best = F.transform(F.slice(ordered, 1, k), lambda h, i: F.struct((i + 1).alias("prediction_rank"), h["label_raw"].alias("label_raw"), F.round(h["n"] / total, 6).alias("score")))
-    return df.select(*CARRY, F.lit(model).alias("lid_model"), best.alias("predictions"))
+    df = segments.select(*CARRY, F.explode(F.array(F.split(F.col("clean_text"), r"[^\p{L}]+"))).alias("_w"))
+    rows = F.array(*[F.struct(F.lit(m).alias("lid_model"), _best(words, k).alias("predictions")) for m, words in models.items()])
+    return df.select(*CARRY, F.explode(rows).alias("m")).select(*CARRY, "m.*")
 
 
 def run_model(segments: DataFrame, model: str, load: Callable[[], LanguageModel], k: int) -> DataFrame:

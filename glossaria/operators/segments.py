@@ -28,8 +28,10 @@ def bucket(c: Column | str, buckets: int) -> Column:
 def with_metrics(segments: DataFrame, cfg: Config) -> DataFrame:
     """Adds cleaned text, script counts, the dominant script, flags of the raw text, validity and its reason."""
     names = [*SCRIPTS, "other"]
-    df = segments.withColumn("clean_text", X.clean("text"))
-    df = df.withColumns({"raw_text_len": F.length("text"), "clean_text_len": F.length("clean_text"), "clean_token_count": F.when(F.col("clean_text") == "", 0).otherwise(F.size(F.split("clean_text", r"(?U)\s+"))), **X.script_columns("clean_text")})
+    # explode() of one value keeps the optimizer from copying the patterns below it into every filter and CASE above
+    df = segments.select("*", F.explode(F.array(X.clean("text"))).alias("clean_text"))
+    counts = {"raw_text_len": F.length("text"), "clean_text_len": F.length("clean_text"), "clean_token_count": F.when(F.col("clean_text") == "", 0).otherwise(F.size(F.split("clean_text", r"(?U)\s+"))), **X.script_columns("clean_text")}
+    df = df.select("*", F.explode(F.array(F.struct(*[e.alias(n) for n, e in counts.items()]))).alias("_c")).select("*", "_c.*").drop("_c")
     df = df.withColumn("other_char_count", F.greatest(F.lit(0), F.col("clean_letter_count") - sum((F.col(f"{s}_char_count") for s in SCRIPTS), F.lit(0))))
     df = df.withColumn("dominant_script", X.dominant_script(names))
     share = F.greatest(*[F.col(f"{s}_char_count") for s in names]) / F.col("clean_letter_count")
