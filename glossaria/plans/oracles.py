@@ -236,12 +236,12 @@ ORACLE_SQL: dict[str, str] = {
     "per_class_f1": _biz("SELECT provider, model, category_id, predicted_n, reference_n, true_n, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM pc"),
     "macro_f1": _biz("SELECT provider, model, round(avg(f), 6) AS macro_f1 FROM pc GROUP BY ALL"),
     "pairwise_agreement": _biz("SELECT x.model AS model_a, y.model AS model_b, count(*) AS overlap, round(avg((x.predicted = y.predicted)::INT), 6) AS agreement FROM jg x JOIN jg y ON x.channel_id = y.channel_id AND x.model < y.model WHERE x.predicted IS NOT NULL AND y.predicted IS NOT NULL GROUP BY ALL"),
-    "category_consensus": _biz("SELECT channel_id, predicted AS category_id, count(*) AS votes, round(avg(confidence), 6) AS mean_confidence, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM jg WHERE predicted IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY votes DESC, mean_confidence DESC, CAST(category_id AS INT)) = 1"),
+    "category_consensus": _biz("SELECT channel_id, predicted AS category_id, count(*) AS votes, round(avg(confidence), 6) AS mean_confidence, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM jg WHERE predicted IS NOT NULL GROUP BY channel_id, predicted QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY votes DESC, mean_confidence DESC, CAST(category_id AS INT)) = 1"),
     "panel_routing": _with("SELECT channel_id, route_reason FROM rt", "fin", _ROUTED),
     "panel_verdict": _with(
         "SELECT rt.channel_id, route_reason, iso AS panel_iso, coalesce(n, 0) AS winning_votes, iso || '_Latn' AS label, coalesce(total, 0) AS n_votes, models, CASE WHEN iso IS NULL THEN 'no_panel_result' WHEN n >= greatest(2, floor(total / 2) + 1) THEN 'panel_majority' ELSE 'needs_human_review' END AS verdict_status, CASE WHEN route_reason = 'agreement_audit' THEN 'audit' WHEN verdict_status = 'panel_majority' THEN 'llm' ELSE 'human' END AS verdict_source FROM rt LEFT JOIN w USING (channel_id) LEFT JOIN t USING (channel_id)",
         "fin", _ROUTED, ("v", "SELECT channel_id, 'm1' AS model, a_primary_iso AS iso FROM rt UNION ALL SELECT channel_id, 'm2', b_primary_iso FROM rt UNION ALL SELECT channel_id, 'm3', CASE WHEN length(channel_id) % 2 = 0 THEN a_primary_iso ELSE 'und' END FROM rt"),
-        ("w", "SELECT channel_id, iso, count(*) AS n FROM v WHERE iso IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, iso) = 1"), ("t", "SELECT channel_id, count(*) AS total, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM v WHERE iso IS NOT NULL GROUP BY channel_id"),
+        ("w", "SELECT channel_id, iso, count(*) AS n FROM v WHERE iso IS NOT NULL GROUP BY channel_id, iso QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, iso) = 1"), ("t", "SELECT channel_id, count(*) AS total, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM v WHERE iso IS NOT NULL GROUP BY channel_id"),
     ),
     "result_parse": "SELECT 'r' || event_id AS request_id, CASE event_id % 5 WHEN 0 THEN '200' WHEN 2 THEN 'succeeded' WHEN 4 THEN 'error' END AS status, CASE WHEN event_id % 5 = 4 THEN 'could_not_extract_text' END AS error, CASE WHEN event_id % 5 < 4 THEN CASE event_id % 4 WHEN 0 THEN '10' WHEN 1 THEN '27' WHEN 2 THEN '20' END END AS category_id, CASE WHEN event_id % 5 < 4 THEN least(1.0, event_id % 3)::DOUBLE END AS confidence, event_id % 5 < 4 AS ambiguous, CASE WHEN event_id % 5 = 4 THEN 'invalid_or_missing_json' WHEN event_id % 4 = 3 THEN 'invalid_category_id:nonsense' END AS parse_error FROM events",
 }

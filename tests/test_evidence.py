@@ -50,7 +50,7 @@ def test_subscribers(spark, raw, n):
 
 @pytest.mark.parametrize(
     ("text", "valid", "reason"),
-    [("a" * 39, False, "below_min_clean_chars_latin_or_mixed"), ("a" * 40, True, None), ("न" * 11, False, "below_min_clean_chars_non_latin"), ("न" * 12, True, None), ("123 http://x.y", False, "no_letters"), ("न" * 12 + "a" * 12, True, None), ("த" * 12, True, None), ("न" * 14 + "த" * 13, False, "low_dominant_script_share")],
+    [("a" * 39, False, "below_min_clean_chars_latin_or_mixed"), ("a" * 40, True, None), ("न" * 11, False, "below_min_clean_chars_non_latin"), ("न" * 12, True, None), ("123 http://x.y", False, "no_letters"), ("न" * 12 + "a" * 12, False, "below_min_clean_chars_latin_or_mixed"), ("த" * 12, True, None), ("न" * 14 + "த" * 13, False, "low_dominant_script_share")],
 )
 def test_validity(spark, text, valid, reason):
     df = spark.createDataFrame([("c", "v", "t", text)], "channel_id string, video_id string, segment_type string, text string")
