@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import map_batches, record, sliced
+from glossaria.llm.common import map_batches, record, sliced, slices
 
 ROWS = 4_000
 #: Languages learned at most, the most frequent ones.
@@ -32,6 +32,8 @@ BUCKETS, DIMS = 1 << 16, 16
 EPOCHS, RATE = 6, 4.0
 REJECT = 0.001
 UND = "und"
+#: Bytes of text whose n-grams are held at a time; a longer text stands alone.
+SLICE = 1 << 17
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 _tables: list[np.ndarray] = []
@@ -99,7 +101,11 @@ class Model:
     least_seen: float = 0.0
 
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logits, share of n-grams seen in training, letters) of each text."""
+        """(logits, share of n-grams seen in training, letters) of each text, SLICE bytes of text at a time."""
+        parts = [self._logits(texts[i:j]) for i, j in slices(np.array([len(t) for t in texts], dtype=np.int64), SLICE)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else self._logits([])
+
+    def _logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         gram, row, letters = ngrams(texts)
         order = np.argsort(row, kind="stable") if len(row) else row
         gram, row = gram[order], row[order]
