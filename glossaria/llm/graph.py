@@ -19,9 +19,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     maps: list[DataFrame] = []
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        over = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        up = scratch.table(up.join(over, "to").select("node", F.col("next").alias("to")))
+        # written first: an aggregate between shuffle and join would keep Spark from splitting the part of a hub
+        near = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        over = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        up = scratch.table(near.join(over, "to").select("node", F.col("next").alias("to")))
+        scratch.drop(near)
         maps.append(up)
         at = lambda c: up.select(F.col("node").alias(c), F.col("to").alias(f"{c}2"))  # noqa: E731, B023
         moved = live.join(at("a"), "a").join(at("b"), "b").filter("a2 <> b2")
