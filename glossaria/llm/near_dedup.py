@@ -3,7 +3,7 @@
 1. Each text is turned into its set of distinct hashed shingles (64 bits), a fingerprint of the set and a signature.
 2. Documents with equal sets are one class; its smallest doc_id stands for it, so copies are never paired.
 3. The forest (regions.py) joins class representatives whose signatures agree well below the threshold into
-   provisional clusters, in several sorted orders with adaptive depth.
+   provisional clusters, in several sorted orders, at every size of a region.
 4. Each cluster's texts meet in one task (a heavy cluster's in the groups of its blocks), which decides every pair that
    could still join two parts, on the full sets: no link between different texts of a cluster is lost.
 5. Components of the confirmed links, by DataFrame joins.
@@ -30,7 +30,7 @@ from glossaria.llm.regions import EDGES, Sets, forest_links, groups
 SHINGLE = 5
 #: A link: 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Hash values in a signature, sorted orders, and values in the shortest prefix: two sets of similarity 0.75 share the
+#: Hash values in a signature, sorted orders, and values in a prefix: two sets of similarity 0.75 share the
 #: prefix of one of 24 orders with probability 1 - (1 - 0.75 ** 3) ** 24 = 0.999998.
 VALUES, ORDERS, DEPTH = 72, 24, 3
 #: Signatures must agree in this many of 72 places (0.51; 0.75 less 4.6 standard errors) to join a provisional cluster.
@@ -133,10 +133,9 @@ def sketches(documents: DataFrame) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("node"), "text"), make, "node long, n long, print binary, sig binary")
 
 
-def _prefix(order: Column, depth: int) -> Column:
-    """The hash of an order's first values; order t begins at value DEPTH * t and runs on around the signature."""
-    twice = F.concat("sig", "sig")
-    return F.xxhash64(order, F.substring(twice, order * (4 * DEPTH) + 1, F.lit(4 * depth)))
+def _prefix(order: Column) -> Column:
+    """The hash of an order's first values; order t begins at value DEPTH * t."""
+    return F.xxhash64(order, F.substring("sig", order * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
 
 
 def _alike(one: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -210,7 +209,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     heads = scratch.table(heads)
     reps = heads.select("node", "sig").dropDuplicates(["node"])
     payload = "unhex(regexp_replace(hex(sig), '......(..)', '$1'))"
-    links = scratch.table(forest_links(reps, scratch, _prefix, ORDERS, [DEPTH, 2 * DEPTH, 4 * DEPTH, 8 * DEPTH, VALUES], payload, VALUES, _alike))
+    links = scratch.table(forest_links(reps, scratch, _prefix, ORDERS, payload, VALUES, _alike))
     comps = connected_components(links, scratch)
     sized = scratch.table(comps.join(documents.groupBy(F.col("doc_id").cast("long").alias("node")).agg(F.sum(F.octet_length("text")).alias("weight")), "node"))
     exact = scratch.table(confirmed_links(documents, scratch.table(cluster_blocks(sized, BLOCK_BYTES))))

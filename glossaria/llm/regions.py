@@ -1,9 +1,13 @@
 """Candidate clusters from several sorted orders of hash values (LSH forest).
 
 Each order ranks the items by a different rotation of their signature. Items that share a prefix of an order form a
-region; the depth of the prefix adapts: a region with more than ``most`` items is divided by a longer prefix, again
-and again, down to regions whose items share the whole signature. Within a region, signatures are compared, and
-the items found similar enough are joined in a spanning star, so that a region gives fewer rows than it has items.
+region. Within a region, signatures are compared, and the items found similar enough are joined in a spanning star, so
+that a region gives fewer rows than it has items.
+
+A region with more than ``most`` items is compared in two passes of bounded groups. The first deals it into blocks, with
+a few of its items as pivots in all of them, which joins most of what is alike. After that, whatever lies outside the
+region's largest component meets all items of the region, in pairs of blocks: no pair is left out, unless its items
+are joined already. That work is in proportion to the items times the items outside the largest component.
 """
 
 from __future__ import annotations
@@ -12,10 +16,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import Scratch, map_batches, record
+from glossaria.llm.graph import connected_components
+
+#: Items of a crowded region that are in each of its blocks.
+PIVOTS = 16
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -65,49 +73,62 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def spanning(sig: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each row of ``sig`` the smallest row that it reaches by rows found alike."""
-    n, sets = len(sig), Sets(len(sig))
-    for i in range(0, n - 1):
-        for j in (np.flatnonzero(alike(sig[i], sig[i + 1 :])) + i + 1).tolist():
-            sets.join(i, j)
-        if i % 64 == 0 and n > 64 and not sets.roots().any():
-            break  # all are joined already
-    return sets.roots()
-
+def spanning(sig: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], label: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """For each row of ``sig`` the smallest row that it reaches by rows found alike, or by rows of an equal ``label``.
 
-def forest_links(items: DataFrame, scratch: Scratch, key: Callable[[Column, int], Column], orders: int, depths: list[int], payload: str, width: int, alike: Callable, most: int = 2048) -> DataFrame:
-    """Distinct links (a, b) between items that share a region and look alike.
-
-    items: (node, sig binary). key(order, depth): an expression for the hash of that order's prefix; order is a column.
+    Rows of the largest group need not be pivots: whatever lies outside it becomes one, and is compared with all rows
+    outside its own group that were no pivots before. Rows of an equal ``own`` are not compared.
+    """
+    n = len(sig)
+    root = np.arange(n)
+    if label is not None:
+        _, first, back = np.unique(label, return_index=True, return_inverse=True)
+        root = first[back]
+    size = np.bincount(root, minlength=n)
+    waiting = np.ones(n, dtype=bool)
+    while True:
+        rest = waiting & (root != np.argmax(size))
+        if not rest.any():
+            return root
+        pivot = int(np.argmax(rest))
+        waiting[pivot] = False
+        others = np.flatnonzero(waiting & (root != root[pivot]) if own is None else waiting & (root != root[pivot]) & (own != own[pivot]))
+        near = others[alike(sig[pivot], sig[others])]
+        if len(near):
+            parts = np.unique(np.append(root[near], root[pivot]))
+            total = size[parts].sum()
+            root[np.isin(root, parts)] = parts[0]
+            size[parts] = 0
+            size[parts[0]] = total
+
+
+def forest_links(items: DataFrame, scratch: Scratch, key: Callable[[Column], Column], orders: int, payload: str, width: int, alike: Callable, most: int = 2048) -> DataFrame:
+    """Links (a, b) that join whatever items share a region and look alike, at every size of a region.
+
+    items: (node, sig binary). key(order): an expression for the hash of that order's prefix; order is a column.
     payload: the expression that the regions compare, ``width`` bytes.
     """
     rows = items.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("ord"))
-    found: DataFrame | None = None
-    for k, depth in enumerate(depths):
-        keyed = rows.select("node", "ord", key(F.col("ord"), depth).alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = scratch.table(keyed.join(sizes, "key").select("node", "ord", "key", "n"))
-        last = k == len(depths) - 1
-        small = shared if last else shared.filter(F.col("n") <= most)
-        if last:  # these agree in all of their signatures
-            dense = small.filter(F.col("n") > most)
-            roots = dense.groupBy("key").agg(F.min("node").alias("b"))
-            stars = dense.join(roots, "key").select(F.col("node").alias("a"), "b")
-            small = small.filter(F.col("n") <= most)
-        seen = small.select("key", "node").join(items.select("node", F.expr(payload).alias("look")), "node").select("key", "node", "look")
+    keyed = rows.select("node", key(F.col("ord")).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.table(keyed.join(sizes, "key").select("node", "key", "n"))
+    looks = items.select("node", F.expr(payload).alias("look"))
+
+    def compared(members: DataFrame) -> DataFrame:
+        """The links of each group. members: (key, i, j, own, comp, node); in a group of two parts only pairs across them are compared."""
 
         def make() -> Callable:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a: list[np.ndarray] = []
                 b: list[np.ndarray] = []
-                for _, t in groups(batches, 1):
-                    node = t.column("node").to_numpy()
+                for (_, i, j), t in groups(batches, 3):
+                    own, comp, node = (t.column(c).to_numpy() for c in ("own", "comp", "node"))
                     look = np.frombuffer(b"".join(t.column("look").to_pylist()), dtype=np.uint8).reshape(len(node), width)
-                    roots = spanning(look, alike)
-                    moved = np.flatnonzero(roots != np.arange(len(node)))
+                    root = spanning(look, alike, comp, None if i == j else own)
+                    first = np.unique(comp, return_index=True)[1]
+                    moved = first[root[first] != first]
                     a.append(node[moved])
-                    b.append(node[roots[moved]])
+                    b.append(node[root[moved]])
                     if sum(map(len, a)) > 50_000:
                         yield record(EDGES, a=np.concatenate(a), b=np.concatenate(b))
                         a, b = [], []
@@ -116,12 +137,30 @@ def forest_links(items: DataFrame, scratch: Scratch, key: Callable[[Column, int]
 
             return run
 
-        links = map_batches(seen.repartition("key").sortWithinPartitions("key", "node"), make, "a long, b long")
-        if last:
-            links = links.union(stars)
-        links = scratch.table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = links if found is None else found.union(links)
-        if last or shared.filter(F.col("n") > most).isEmpty():
-            break
-        rows = shared.filter(F.col("n") > most).select("node", "ord").join(items, "node").select("node", "sig", "ord")
-    return found.distinct()
+        seen = members.join(looks, "node").select("key", "i", "j", "own", "comp", "node", "look")
+        links = map_batches(seen.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node"), make, "a long, b long")
+        return scratch.table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    zero = F.lit(0)
+    small = shared.filter(F.col("n") <= most).select("key", zero.alias("i"), zero.alias("j"), zero.alias("own"), F.col("node").alias("comp"), "node")
+    hot = shared.filter(F.col("n") > most)
+    if hot.isEmpty():
+        return compared(small)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    rank = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    pivots = hot.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= PIVOTS)
+    dealt = hot.select("key", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int").alias("i"), "node")
+    dealt = dealt.union(pivots.select("key", F.explode(F.sequence(zero, parts - 1)).alias("i"), "node")).distinct()
+    first = compared(small.union(dealt.select("key", "i", F.col("i").alias("j"), zero.alias("own"), F.col("node").alias("comp"), "node")))
+    comps = connected_components(first, scratch)
+    named = scratch.table(hot.join(comps, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp")))
+    groups_of = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    largest = groups_of.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.first("n").alias("n")).filter("top.c < n")
+    left = F.ceil((F.col("n") - F.col("top.c")) / most).cast("int").alias("left")
+    opened = named.drop("n").join(largest.select("key", F.col("top.comp").alias("base"), left, F.ceil(F.col("top.c") / most).cast("int").alias("based")), "key")
+    based = F.col("comp") == F.col("base")
+    own = F.when(based, F.col("left") + F.pmod(F.xxhash64("node"), "based")).otherwise(F.pmod(F.xxhash64("node"), "left")).cast("int")
+    other = F.explode(F.sequence(zero, F.col("left") - 1 + F.when(based, 0).otherwise(F.col("based"))))
+    pairs = opened.withColumn("own", own).withColumn("other", other)
+    again = compared(pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "node"))
+    return first.union(again)

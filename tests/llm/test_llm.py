@@ -1,5 +1,6 @@
 """Each operator against brute force on a fixture of nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import functools
 import hashlib
 import json
 import random
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glossaria.llm import decontaminate, embedding_dedup, html, langid, licenses, near_dedup, packing, secrets, tokens, urls
+from glossaria.llm import decontaminate, embedding_dedup, html, langid, licenses, near_dedup, packing, regions, secrets, tokens, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, words string, node long"
 RNG = random.Random(5)
@@ -101,6 +102,38 @@ def test_near_duplicates(spark, docs, none):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(i for i in ids if comp[i] == i)
 
 
+def test_crowded_regions_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "forest_links", functools.partial(near_dedup.forest_links, most=4))
+    rng = random.Random(3)
+    texts = []
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(200)] if family else ["same"] * 3 + [f"b{k}" for k in range(400)]
+        for k in range((60, 8, 3)[family]):
+            edited = list(base)
+            for e in range(3):
+                edited[rng.randrange(len(edited))] = f"edit{family}x{k}x{e}"
+            texts.append(" ".join(edited))
+    sets = [shingles(t) for t in texts]
+    comp = list(range(len(texts)))
+    for _ in range(4):
+        comp = [min(comp[b] for b, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)) for x in sets]
+    assert len(set(comp)) < 10
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(got)] == comp
+
+
+def test_spanning_joins_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        sig = rng.integers(0, 3, (30, 8), dtype=np.uint8)
+        label, own = rng.integers(0, 25, 30), rng.integers(0, 2, 30)
+        near = ((sig[:, None] == sig[None]).sum(axis=2) >= 6) & (own[:, None] != own[None]) | (label[:, None] == label[None])
+        want = np.arange(30)
+        for _ in range(30):
+            want = np.where(near, want[None, :], 99).min(axis=1)
+        assert regions.spanning(sig, lambda one, rest: (rest == one).sum(axis=1) >= 6, label, own).tolist() == want.tolist()
+
+
 def test_exact_links_join_all_pairs():
     rng = np.random.default_rng(1)
     base = np.sort(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
