@@ -4,7 +4,8 @@ Three strong kinds are always reported: assignments, access identifiers and long
 names and mail addresses (kind id), key-like tokens and short key assignments (kind key), addresses of services (kind
 endpoint) - are ordinary text by themselves. They are reported only where complementary parts stand in one scope: an
 interval join links each secret (strong or weak) with the identifiers and endpoints whose interval lies within REACH
-characters of its own and on the same or a neighbouring line.
+characters of its own, or in the same run of setting lines (.env, INI, JSON; a blank line or prose ends the run). Of a
+URL that holds a credential, user, password and host are parts of their own, so that they link with each other.
 
 Defined results: null texts are empty; a text without spans gives empty strings and the digest of nothing; rows that repeat
 a doc_id are each judged by their text; other columns are ignored. Places are code points.
@@ -39,11 +40,15 @@ _NAME = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id
 _NAME_WORDS = (b"user", b"login", b"account", b"client", b"access")
 _MAIL = re.compile(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+#: Of a URL's authority: user, password, host.
+_AUTHORITY = re.compile(r"://([^\s/?#:]*)(?::([^\s/?#]*))?@([^\s/?#@]+)|://([^\s/?#@]+)")
 _HOST = re.compile(r"""(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,}""", re.ASCII | re.IGNORECASE)
 _HOST_WORDS = (b"host", b"endpoint", b"server")
 _IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _SHORT = re.compile(r"""\b(?:pwd|pass|auth|bearer|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.ASCII | re.IGNORECASE)
+#: A line that sets a value, or goes on with such lines (brackets, sections, comments).
+_SETTING = re.compile(r"""\s*(?:(?:(?:export|set|-)\s+)?["']?[\w.-]+["']?\s*(?::(?!//)|=)(?:.{0,200}|\s*\S+\s*)|[\[\]{}(),;]+\s*|["']?[\w.-]*["']?\s*[\[{(]\s*|\[[^\]]+\]\s*|[#;].{0,200})""")
 _SHORT_WORDS = (b"pwd", b"pass", b"auth", b"bearer", b"key")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -67,6 +72,36 @@ def _key_like(s: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) >= 3.0
 
 
+def _url_parts(url: re.Match) -> list[Span]:
+    """User, password and host of a URL that holds a credential."""
+    text, at = url[0], url.start()
+    m = _AUTHORITY.search(text)
+    if m is None:
+        return []
+    host = 3 if m[3] else 4
+    parts = []
+    if m[2]:
+        parts += [(m.start(1), 3, m.end(1))] * bool(m[1]) + [(m.start(2), 4, m.end(2))]
+    elif m[1] and len(m[1]) >= 16 and _key_like(m[1]):
+        parts += [(m.start(1), 4, m.end(1))]
+    elif not (_SHORT.search(text, m.end()) or any(len(x[2]) >= LEAST_ASSIGNED for x in ASSIGN.finditer(text, m.end()))):
+        return []
+    return [(at + s, k, at + e) for s, k, e in [*parts, (m.start(host), 5, m.end(host))]]
+
+
+def setting_runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each run of setting lines."""
+    out: list[tuple[int, int]] = []
+    at, inside = 0, False
+    for line in text.split("\n"):
+        now = bool(line.strip()) and _SETTING.fullmatch(line) is not None
+        if now:
+            out.append((out.pop()[0] if inside else at, at + len(line)))
+        inside = now
+        at += len(line) + 1
+    return out
+
+
 def weak_spans(text: str, low: bytes) -> list[Span]:
     out: list[Span] = []
     if any(w in low for w in _NAME_WORDS):
@@ -77,25 +112,30 @@ def weak_spans(text: str, low: bytes) -> list[Span]:
     if any(w in low for w in _SHORT_WORDS):
         out += [(m.start(), 4, m.end()) for m in _SHORT.finditer(text)]
     if b"://" in low:
-        out += [(m.start(), 5, m.end()) for m in _URL.finditer(text)]
+        for m in _URL.finditer(text):
+            out.append((m.start(), 5, m.end()))
+            out += _url_parts(m)
     if any(w in low for w in _HOST_WORDS):
         out += [(m.start(), 5, m.end()) for m in _HOST.finditer(text)]
     out += [(m.start(), 5, m.end()) for m in _IP.finditer(text)]
     return out
 
 
-def linked(strong: list[Span], weak: list[Span], breaks: list[int], reach: int = REACH) -> list[Span]:
-    """The weak spans that have a complementary part in their scope. breaks: places of line ends."""
+def linked(strong: list[Span], weak: list[Span], runs: list[tuple[int, int]], reach: int = REACH) -> list[Span]:
+    """The weak spans that have a complementary part in their scope. runs: of setting_runs()."""
     secrets = sorted([s for s in strong if s[1] != 1] + [w for w in weak if w[1] == 4])
     others = sorted([s for s in strong if s[1] == 1] + [w for w in weak if w[1] != 4])
-    line = lambda at: bisect_right(breaks, at)
+
+    begins = [r[0] for r in runs]
 
     def near(one: Span, side: list[Span], starts: list[int], longest: int) -> bool:
-        for k in range(bisect_left(starts, one[0] - reach - longest), len(side)):
+        run = runs[k] if (k := bisect_right(begins, one[0]) - 1) >= 0 and one[0] < runs[k][1] else (one[0], one[0])
+        since, upto = min(run[0], one[0] - reach - longest), max(run[1], one[2] + reach)
+        for k in range(bisect_left(starts, since), len(side)):
             s = side[k]
-            if s[0] > one[2] + reach:
+            if s[0] > upto:
                 return False
-            if s[2] >= one[0] - reach and (s[2] <= one[0] or s[0] >= one[2]) and abs(line(s[0]) - line(one[0])) <= 1:
+            if (s[2] <= one[0] or s[0] >= one[2]) and (one[0] - reach <= s[2] and s[0] <= one[2] + reach or run[0] <= s[0] < run[1]):
                 return True
         return False
 
@@ -114,7 +154,7 @@ def all_spans(text: str, low: bytes) -> tuple[list[Span], list[Span]]:
         first, upto = [s for s, _ in covered], -1
         reach = [upto := max(upto, e) for _, e in covered]
         weak = [w for w in weak if not ((k := bisect_right(first, w[0])) and reach[k - 1] >= w[2])]
-    found = linked(strong, weak, [m.start() for m in re.finditer("\n", text)]) if weak and len(weak) + len(strong) > 1 else []
+    found = linked(strong, weak, setting_runs(text)) if weak and len(weak) + len(strong) > 1 else []
     return strong, sorted({*strong, *found})
 
 

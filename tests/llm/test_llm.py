@@ -269,6 +269,23 @@ def test_secrets(docs, none):
     assert "04dbeb" not in secrets.redact(TEXTS[16]) and secrets.redact(BASE) == BASE and secrets.scan_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("host = db.example.com\nport = 5432\nuser = admin\nregion = x\npwd = hunter22x", ["host = db.example.com", "user = admin", "pwd = hunter22x"]),
+        ("postgres://admin:S3cretPassw0rd99x@db.example.com/prod", ["admin", "S3cretPassw0rd99x", "db.example.com"]),
+        ("see amqp://u:pw1@mq:5672/v.", ["u", "pw1", "mq:5672"]),
+        ("https://api.example.com/v1?key=AbC123xyz", ["api.example.com", "key=AbC123xyz"]),
+        ('{\n "host": "db.example.com",\n' + ' "option": "a value of no interest",\n' * 20 + ' "pwd": "hunter22x"\n}', ['host": "db.example.com', 'pwd": "hunter22x']),
+        ("[db]\nlogin=alice\n# comment\n" + "option = value\n" * 30 + "auth=hunter22x", ["login=alice", "auth=hunter22x"]),
+        ("see https://cdn.example.com/a1b2c3d4e5f6g7h8i9j0/x.js", []), ("http://example.com/a?b=c ssh://git@example.com/x", []),
+        ("user=bob " + "plain words " * 40 + "pwd=hunter22x", []), ("user=bob\n" + "plain words\n" * 40 + "pwd=hunter22x", []), ("user=bob\n\n" + "option = value\n" * 30 + "pwd=hunter22x", []),
+    ],
+)
+def test_parts_of_one_credential_are_linked(text, want):
+    assert [text[s:e] for s, _, e in secrets.all_spans(text, text.encode().lower())[1]] == want
+
+
 def test_redacted_documents_keep_all_else(docs):
     a, b = ({(r.doc_id, r.text): r for r in x.collect()} for x in (docs, secrets.redact_documents(docs)))
     assert len(a) == len(b) and all(k in b for k in a if not k[1] or "=" not in k[1] and ":" not in k[1])
