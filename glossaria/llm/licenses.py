@@ -1,10 +1,11 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line, or two neighbouring lines together (notices are wrapped). A template's tokens are ordered by their
-frequency in the whole corpus, rarest first. For containment of at least THRESHOLD a block must hold ``need`` of a
-template's n tokens, hence one of its first n - need + 1 (prefix filter); it must have at least ``need`` tokens that any
-template has (length filter); and from the first common token on, both orders must still have enough tokens left
-(positional filter). Blocks that pass are counted exactly; the filters drop no block that qualifies.
+A block is a run of consecutive lines, those without words skipped; between its first and its last line it may have SPAN
+times the words of the template. A template's tokens are ordered by their frequency in the whole corpus, rarest first.
+For containment of at least THRESHOLD a text must hold ``need`` of a template's n tokens, hence one of its first
+n - need + 1 (prefix filter); it must have at least ``need`` tokens that any template has (length filter); and from the
+first common token on, both orders must still have enough tokens left (positional filter). Of a text that passes, the
+longest blocks are counted exactly for the template; the filters drop no block that qualifies.
 
 Beside that, places of fixed phrases are found in the words of the whole text.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from glossaria.llm.common import ascii_words, map_batches, record, sliced
 
 THRESHOLD = 0.9
+SPAN = 2
 
 #: Phrases whose places are reported, and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -76,21 +79,23 @@ def token_order(documents: DataFrame, templates: list[tuple[str, str]]) -> dict[
 
 
 class Matcher:
-    """Finds the templates that a block contains to THRESHOLD or more."""
+    """Finds the templates that a text or one of its blocks contains to THRESHOLD or more."""
 
     def __init__(self, templates: list[tuple[str, str]], order: dict[bytes, int], threshold: float) -> None:
         self.order = order
-        self.items: list[tuple[str, list[int], frozenset[int], int]] = []
+        self.items: list[tuple[str, list[int], frozenset[int], int, int]] = []
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for label, text in templates:
-            ids = sorted({order[w] for w in ascii_words(text.encode())})
+            words = ascii_words(text.encode())
+            ids = sorted({order[w] for w in words})
             need = math.ceil(threshold * len(ids) - 1e-9)
             for place, x in enumerate(ids[: len(ids) - need + 1]):
                 self.prefix.setdefault(x, []).append((len(self.items), place))
-            self.items.append((label, ids, frozenset(ids), need))
+            self.items.append((label, ids, frozenset(ids), need, SPAN * len(words)))
         self.starts = frozenset(t for t, k in order.items() if k in self.prefix)
 
-    def block(self, words: set[bytes]) -> list[tuple[str, float]]:
+    def whole(self, words: set[bytes]) -> list[int]:
+        """Places of the templates that all the words together contain."""
         order = self.order
         ids = sorted(order[w] for w in words if w in order)
         have, out, tried = frozenset(ids), [], set()
@@ -99,13 +104,29 @@ class Matcher:
                 if k in tried:
                     continue
                 tried.add(k)
-                label, all_ids, as_set, need = self.items[k]
-                if len(ids) >= need and min(len(all_ids) - place, len(ids) - at) >= need:
-                    n = len(as_set & have)
-                    if n >= need:
-                        out.append((label, n / len(all_ids)))
+                _, all_ids, as_set, need, _ = self.items[k]
+                if len(ids) >= need and min(len(all_ids) - place, len(ids) - at) >= need and len(as_set & have) >= need:
+                    out.append(k)
         return out
 
+    def blocks(self, lines: list[list[bytes]], k: int) -> tuple[str, float] | None:
+        """Label and highest containment of a template in a block, if that is enough. lines: words of lines that have some."""
+        label, ids, as_set, need, most = self.items[k]
+        held = [[x for w in line if (x := self.order.get(w)) in as_set] for line in lines]
+        upto = list(accumulate(map(len, lines), initial=0))
+        seen: Counter = Counter()
+        best = first = 0
+        for last, line in enumerate(held):
+            seen.update(line)
+            while upto[last] - upto[min(first + 1, last)] > most:
+                for x in held[first]:
+                    seen[x] -= 1
+                    if not seen[x]:
+                        del seen[x]
+                first += 1
+            best = max(best, len(seen))
+        return (label, best / len(ids)) if best >= need else None
+
 
 def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     out = []
@@ -144,12 +165,9 @@ def scan_licenses(documents: DataFrame, templates: list[tuple[str, str]] = TEMPL
                     places = phrase_places(words, fixed)
                     base = {label for _, label in places}
                     labels, score = set(base), 1.0 if base else 0.0
-                    lines = [set(ascii_words(x)) for x in t.split(b"\n")]
-                    hot = [not match.starts.isdisjoint(x) for x in lines]
-                    blocks = [x for x, h in zip(lines, hot, strict=True) if h]
-                    blocks += [x | y for x, y, h, g in zip(lines, lines[1:], hot, hot[1:], strict=False) if h or g]
-                    for b in blocks:
-                        for label, s in match.block(b):
+                    if whole := match.whole(set(words)):
+                        lines = [x for y in t.split(b"\n") if (x := ascii_words(y))]
+                        for label, s in filter(None, (match.blocks(lines, k) for k in whole)):
                             labels.add(label)
                             score = max(score, s)
                     at = [p for p, _ in places]

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -249,6 +250,25 @@ def test_licenses(docs, none):
     assert any("gpl-3" in w[6] for w in want) and any(w[2] >= 2 for w in want) and licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    apache = "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"
+    texts = [(None, apache), ("apache-2", apache.replace("#", "")), ("apache-2", "some code\n\n" + apache.replace("\n", "\r\n"))]
+    for label, t in licenses.TEMPLATES:
+        for width in (20, 50, 60, 200):
+            texts.append((label, prose(40) + "\n" + " * " + "\n * ".join(textwrap.wrap(t, width)) + "\n" + prose(40)))
+            texts.append((label, "\n\n".join(textwrap.wrap(t, width))))
+    texts += [(None, "\n".join(f"{w}\n" + "other words " * 30 for w in t.split())) for _, t in licenses.TEMPLATES]
+    got = [r.labels.split(",") for r in sorted(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect())]
+    templates = [(label, words(t)) for label, t in licenses.TEMPLATES]
+    for (label, text), found in zip(texts, got, strict=True):
+        lines = [w for x in text.split("\n") if (w := words(x))]
+        want = {la for la, t in templates for i in range(len(lines)) for j in range(i, len(lines)) if sum(map(len, lines[i + 1 : j])) <= 2 * len(t) and len(set(t) & set().union(*lines[i : j + 1])) >= 0.9 * len(set(t)) - 1e-9}
+        w = words(text)
+        want |= {la for p, la in licenses.PHRASES if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+        assert set(filter(None, found)) == want and (label is None or label in want)
+    assert got[0] == ["apache-2"] and all(g == [""] for g in got[-len(templates) :])
+
+
 def test_secrets(docs, none):
     want = []
     for r in ROWS:
