@@ -1,8 +1,9 @@
 """MinHash near-duplicate documents over an LSH forest, confirmed on full sets of 5-word shingles.
 
 1. Each text is turned into its set of distinct hashed shingles (64 bits), a fingerprint of the set and a signature.
-2. Documents with equal sets are one class; its smallest doc_id stands for it, so copies are never paired.
-3. The forest (regions.py) joins class representatives whose signatures agree well below the threshold into
+2. Documents with equal sets are one class; its smallest doc_id stands for it, so copies are never paired. A doc_id whose
+   rows have different sets may stand for several classes.
+3. The forest (regions.py) joins classes whose signatures agree well below the threshold into
    provisional clusters, in several sorted orders, at every size of a region.
 4. Each cluster's texts meet in one task (a heavy cluster's in the groups of its blocks), which decides every pair that
    could still join two parts, on the full sets: no link between different texts of a cluster is lost.
@@ -206,11 +207,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     sketch = scratch.table(sketches(documents))
     known = sketch.filter("node is not null and print is not null")
     heads = known.groupBy("print").agg(F.min(F.struct("node", "sig")).alias("head"), F.count("*").alias("rows")).select("print", "head.node", "head.sig", "rows")
-    heads = scratch.table(heads)
-    reps = heads.select("node", "sig").dropDuplicates(["node"])
+    heads = scratch.table(heads.withColumn("class", F.monotonically_increasing_id()))
     payload = "unhex(regexp_replace(hex(sig), '......(..)', '$1'))"
-    links = scratch.table(forest_links(reps, scratch, _prefix, ORDERS, payload, VALUES, _alike))
-    comps = connected_components(links, scratch)
+    links = scratch.table(forest_links(heads.select(F.col("class").alias("node"), "sig"), scratch, _prefix, ORDERS, payload, VALUES, _alike))
+    classes = connected_components(links, scratch).withColumnRenamed("node", "class")
+    comps = classes.join(heads.select("class", "node"), "class").select("node", "comp").distinct()
     sized = scratch.table(comps.join(documents.groupBy(F.col("doc_id").cast("long").alias("node")).agg(F.sum(F.octet_length("text")).alias("weight")), "node"))
     exact = scratch.table(confirmed_links(documents, scratch.table(cluster_blocks(sized, BLOCK_BYTES))))
     copies = known.join(heads.filter("rows > 1").select("print", F.col("node").alias("rep")), "print").select(F.col("node").alias("a"), F.col("rep").alias("b"))

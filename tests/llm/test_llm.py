@@ -103,6 +103,18 @@ def test_near_duplicates(spark, docs, none):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(i for i in ids if comp[i] == i)
 
 
+def test_repeated_ids_link_by_every_row(spark):
+    a, b = ([f"{c}{k}" for k in range(100)] for c in "ab")
+    text = lambda w, *more: " ".join([*w, *more])
+    rows = [(1, text(a)), (1, text(b)), (5, text(a, "x")), (6, text(b, "y")), (7, text(b)), (8, text(a[:50])), (9, text(b[50:]))]
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 9)]
+    x, y, z = np.random.default_rng(6).standard_normal((3, 16))
+    rows = [(1, x), (1, y), (5, x + 0.05 * z), (6, y + 0.05 * z), (7, y), (8, z), (9, y - 0.05 * z)]
+    got = embedding_dedup.near_duplicate_vectors(spark, spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (1, 3, 1), (5, 1, 1), (6, 3, 1), (7, 3, 1), (8, 0, 8), (9, 3, 1)]
+
+
 def test_crowded_regions_are_compared(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "forest_links", functools.partial(near_dedup.forest_links, most=4))
     rng = random.Random(3)
