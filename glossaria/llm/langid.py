@@ -15,19 +15,20 @@ from, all rows are; rows whose doc_id is null are predicted but not learned from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import map_batches, record, sliced, slices
+from glossaria.llm.common import bounded_broadcast, map_batches, record, sliced, slices
 
 ROWS = 4_000
-#: Languages learned at most, the most frequent ones.
-LABELS = 200
+#: Rows of a language, however many languages there are.
+LEAST_ROWS = 20
 BUCKETS, DIMS = 1 << 16, 16
 EPOCHS, RATE = 6, 4.0
 REJECT = 0.001
@@ -192,23 +193,28 @@ def held_out(doc_id: str = "doc_id"):  # noqa: ANN201
 
 
 def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
-    """Train on at most ``rows`` labelled documents that are not held out, chosen by hash values of their ids."""
+    """Train on the labelled documents that are not held out: of each language the same number, by smallest hash of the id.
+
+    That number is a share of ``rows``, but LEAST_ROWS at least, so that every language is learned.
+    """
     known = documents.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    each = rows / len(counts)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, each / r["n"]) * 1_000_000)))])
+    each = max(math.ceil(rows / languages), LEAST_ROWS)
     draw = F.xxhash64(F.col("doc_id"), F.lit("learn"))
-    part = known.filter(F.coalesce(F.pmod(draw, F.lit(1_000_000)) < F.element_at(rate, F.col("lang")), F.lit(False)))
-    got = part.orderBy(draw, "text", "lang").limit(rows).select("text", "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(8)) == 0).alias("aside")).collect()
+    # what has a hash below a share with room to spare holds the smallest ones; the rest need not be sorted
+    some = known.join(bounded_broadcast(counts), "lang").filter(draw.cast("double") / 2.0**64 + 0.5 <= (4 * each + 100) / F.col("n"))
+    part = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))).filter(F.col("rank") <= each)
+    got = part.orderBy(draw, "text", "lang").select("text", "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(8)) == 0).alias("aside")).collect()
     return train([r["text"].encode("utf-8", "replace") for r in got], [r["lang"] for r in got], np.array([r["aside"] for r in got], dtype=bool))
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, lang_pred, score, rejected; only the text decides."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and LABELS
+    shared = spark.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the languages
 
     def make() -> Callable:
         m = shared.value

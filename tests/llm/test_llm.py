@@ -182,6 +182,11 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicate_vectors(spark, v.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(4 * i + k, f"word{i} again", f"l{i:03}") for i in range(210) for k in range(4)]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).labels == [f"l{i:03}" for i in range(210)]
+
+
 def test_language(spark, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     m = langid.learn(d)
