@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
+import math
 import os
 import tempfile
 import uuid
@@ -15,11 +17,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which an (id, number...) table is broadcast after its rows have been counted.
 BROADCAST_ROWS = 300_000
+#: Bytes of its strings up to which that is done.
+BROADCAST_BYTES = 32_000_000
 
 #: ASCII characters that end a word of the contracts' class [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (after A-Z became a-z).
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -28,13 +33,17 @@ _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir() was given.
+
+    Where neither is set, a local master gets a folder of its own; on a cluster no executor could read that, so it raises.
+    """
     sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if told:
         return told
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="glossaria-"))
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="glossaria-"))
     return sc.getCheckpointDir()
 
 
@@ -57,12 +66,12 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage, so that a lost executor costs a rescan and no recomputation.
 
-    ``drop()`` removes the tables that the result no longer reads; what it still reads goes when the driver ends.
+    ``keep()`` at the end of an operator removes all tables but those that its result still reads; these go when the driver ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top, self.open = spark, f"{shared_dir(spark)}/glossaria-{uuid.uuid4().hex}", set()
-        atexit.register(self.drop)
+        atexit.register(_remove, weakref.ref(spark), self.top)
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{uuid.uuid4().hex}"
@@ -73,20 +82,38 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        paths = {t._scratch for t in tables} if tables else {self.top}
-        try:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-            for p in paths:
-                at = hadoop(p)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
-        self.open -= paths
+        for path in {t._scratch for t in tables} & self.open:
+            _remove(weakref.ref(self.spark), path)
+            self.open.remove(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        for path in self.open - {t._scratch for t in tables}:
+            _remove(weakref.ref(self.spark), path)
+            self.open.remove(path)
+
+
+def _remove(session: weakref.ref, path: str) -> None:
+    """Delete a path of the shared folder, unless the session has ended."""
+    spark = session()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(OSError, Py4JError):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(spark: SparkSession, rows: int, least: int = 8_000, most: int = 250_000) -> int:
+    """A number of partitions for so many short rows: two for each core, unless they had more than ``most`` or less than ``least`` rows."""
+    return max(1, math.ceil(rows / most), min(math.ceil(rows / least), 2 * spark.sparkContext.defaultParallelism))
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count (of at most rows + 1) proves it small, else df as it is: Spark then shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, of numbers and short strings, with a broadcast hint if a count (of at most rows + 1) and the size of its strings
+    prove it small, else df as it is: Spark then shuffles."""
+    strings = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
 
 
 def slices(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

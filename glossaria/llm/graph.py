@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import Scratch
 
+#: Members of a heavy cluster that are in each of its first blocks.
+PIVOTS = 16
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for each node of the links (a, b) of longs; comp is the smallest node reachable.
@@ -38,7 +41,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def cluster_blocks(members: DataFrame, size: int) -> DataFrame:
-    """(node, own, comp, i, j, parts): the groups of blocks in which each member of a cluster has to be compared.
+    """(node, own, comp, i, j): the groups of blocks in which each member of a cluster has to be compared with all others.
 
     members: (node, comp, weight). A cluster of a weight up to ``size`` is the one group (0, 0). A heavier one is dealt
     into parts by a hash of its members, and each pair of parts is a group, so that every two members meet, in the
@@ -49,5 +52,42 @@ def cluster_blocks(members: DataFrame, size: int) -> DataFrame:
     dealt = members.join(heavy, "comp", "left").select("node", "comp", F.coalesce("parts", F.lit(1)).alias("parts"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = dealt.select("node", "comp", "own", "parts", other.alias("other")).select("node", "own", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "parts")
-    return pairs
+    return dealt.select("node", "comp", "own", other.alias("other")).select("node", "own", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def first_blocks(members: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(node, key, i): light clusters whole, as block 0, and heavy ones dealt into blocks, with PIVOTS members in all.
+
+    members: (key, node, ...); heavy: (key, parts). That joins most of what belongs together in a heavy cluster.
+    """
+    if heavy.isEmpty():
+        return members.select("node", "key", F.lit(0).cast("long").alias("i"))
+    light = members.join(heavy, "key", "left_anti").select("node", "key", F.lit(0).cast("long").alias("i"))
+    big = members.join(heavy, "key")
+    dealt = big.select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("i"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(1)), "node")
+    chosen = big.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
+    return light.union(dealt).union(chosen.select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i")))
+
+
+def left_over_blocks(members: DataFrame, size: int) -> DataFrame:
+    """Groups (key, i, j) of at most about twice ``size`` in which whatever lies outside its key's largest component meets all
+    members of the key whose band differs by one at most; members of one component only form no group.
+
+    members: (key, node, comp, weight, band, ...); the other columns stay. ``own`` tells a group's two blocks apart.
+    """
+    comps = members.groupBy("key", "comp").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("w", "comp"))["comp"].alias("base"), F.count("*").alias("comps"))
+    opened = members.join(comps.filter("comps > 1").select("key", "base"), "key").withColumn("based", F.col("comp") == F.col("base"))
+    blocks = opened.groupBy("key", "band", "based").agg(F.ceil(F.sum("weight") / size).cast("long").alias("parts"))
+    known = blocks.groupBy("key").agg(F.collect_list(F.struct("band", "based", "parts")).alias("blocks"))  # two for each band, of which there are few
+    name = lambda band, based, part: (band.cast("long") * 2 + based.cast("long")) * (1 << 32) + part
+    told = opened.join(known, "key")
+    own_block = F.filter("blocks", lambda b: (b["band"] == F.col("band")) & (b["based"] == F.col("based")))
+    told = told.withColumn("own", name(F.col("band"), F.col("based"), F.pmod(F.xxhash64("node"), F.get(own_block, F.lit(0))["parts"])))
+
+    def meets(b: Column) -> Column:
+        return (F.abs(b["band"] - F.col("band")) <= 1) & ~(b["based"] & F.col("based"))
+
+    others = F.flatten(F.transform(F.filter("blocks", meets), lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["parts"] - 1), lambda p: name(b["band"], b["based"], p))))
+    told = told.withColumn("other", F.explode(others))
+    return told.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other", "base", "based")

@@ -3,54 +3,52 @@
 1. Each text is turned into its set of distinct hashed shingles (64 bits), a fingerprint of the set and a signature.
 2. Documents with equal sets are one class; its smallest doc_id stands for it, so copies are never paired. A doc_id whose
    rows have different sets may stand for several classes.
-3. The forest (regions.py) joins classes whose signatures agree well below the threshold into
-   provisional clusters, in several sorted orders, at every size of a region.
-4. Each cluster's texts meet in one task (a heavy cluster's in the groups of its blocks), which decides every pair that
-   could still join two parts, on the full sets: no link between different texts of a cluster is lost.
+3. The forest (regions.py) sorts the classes' signatures in several orders, and joins those whose signatures agree well
+   below the threshold into provisional clusters, at every size of a region.
+4. Each cluster's texts meet in one task, which decides every pair that could still join two parts, on the full sets. A heavy
+   cluster is dealt into blocks that share some members; then whatever lies outside its largest component meets all
+   members of a size that a link allows, in pairs of blocks. No link between different texts of a cluster is lost.
 5. Components of the confirmed links, by DataFrame joins.
 
-Defined results: null or empty texts, and texts of white space, have an empty set and stand alone; rows that repeat a
-doc_id are one node, with every row's links; a null doc_id gives component_id null and kept true; other columns are
-ignored, and an empty table gives an empty result.
+Defined results: null or empty texts, and texts of white space, have an empty set and stand alone; a very long text is
+one set, held by one task; rows that repeat a doc_id are one node, with every row's links; of equal texts the smallest doc_id
+stands for all; a null doc_id gives component_id null and kept true; other columns are ignored, and an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import Scratch, bounded_broadcast, map_batches, record, sliced
-from glossaria.llm.graph import cluster_blocks, connected_components
-from glossaria.llm.regions import EDGES, Sets, forest_links, groups
+from glossaria.llm.common import Scratch, bounded_broadcast, map_batches, record, sliced, spread
+from glossaria.llm.graph import connected_components, first_blocks, left_over_blocks
+from glossaria.llm.regions import EDGES, Look, Sets, forest_links, groups, mix
 
 SHINGLE = 5
 #: A link: 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Hash values in a signature, sorted orders, and values in a prefix: two sets of similarity 0.75 share the
-#: prefix of one of 24 orders with probability 1 - (1 - 0.75 ** 3) ** 24 = 0.999998.
+#: Hash values in a signature, sorted orders, and values of the least common prefix of two candidates: two sets of
+#: similarity 0.75 share that prefix in one of 24 orders with probability 1 - (1 - 0.75 ** 3) ** 24 = 0.999998.
 VALUES, ORDERS, DEPTH = 72, 24, 3
 #: Signatures must agree in this many of 72 places (0.51; 0.75 less 4.6 standard errors) to join a provisional cluster.
 AGREE = 37
 #: Bytes of text that one block of a cluster may have.
 BLOCK_BYTES = 12_000_000
+#: Sizes of linked sets differ by 100 / PERCENT at most, hence their logarithms to this base by less than 1.
+BAND = 1.34
 
-SKETCH = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sig", pa.binary())])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit (splitmix64's finish)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+SKETCH = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("look", pa.binary())])
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
-    return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -83,21 +81,21 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     power, inverse = _power(len(buf))
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    h = _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     stops = np.cumsum([len(t) + 1 for t in texts])
     bounds = np.searchsorted(start, stops - 1, side="left") if len(start) else np.zeros(len(texts), dtype=np.int64)
     out, at = [], 0
     full = np.zeros(max(0, len(h) - SHINGLE + 1), dtype=np.uint64)
     for k in range(SHINGLE if len(full) else 0):
         full += h[k : k + len(full)] * _PLACE[k]
-    full = _mix(full)
+    full = mix(full)
     for to in bounds.tolist():
         n = to - at
         if n >= SHINGLE:
             s = np.sort(full[at : to - SHINGLE + 1])
             s = s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif n:
-            s = _mix(np.array([(h[at:to] * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64))
+            s = mix(np.array([(h[at:to] * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64))
         else:
             s = full[:0]
         out.append(s)
@@ -114,8 +112,22 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def order_keys(sig: np.ndarray) -> np.ndarray:
+    """For each signature and order t the hash of t and of the DEPTH values that begin the order, those from DEPTH * t on."""
+    v = sig.astype(np.uint64).reshape(len(sig), ORDERS, DEPTH)
+    out = np.broadcast_to(_odd(ORDERS, 15), (len(sig), ORDERS))
+    for k in range(DEPTH):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + v[:, :, k])
+    return out.view(np.int64)
+
+
+#: Looks are the low bytes of the values, in the order of the signature.
+LOOK = Look(VALUES, lambda x, y: (x == y).sum(axis=-1) >= AGREE, lambda x: x, PERCENT / 100, (3, 6, 9, 15))
+
+
 def sketches(documents: DataFrame) -> DataFrame:
-    """(node, n, print, sig) of each row: set size, fingerprint of the set, signature; empty sets have neither."""
+    """(node, n, bytes, print, keys, look) of each row: sizes of set and text, fingerprint of the set, the forest's keys and look;
+    empty sets have none of the last three."""
 
     def make() -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,31 +135,25 @@ def sketches(documents: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts)
                 n = np.array([len(s) for s in sets])
                 some = np.flatnonzero(n)
-                sig, mark = [None] * len(sets), [None] * len(sets)
+                mark, keys, look = ([None] * len(sets) for _ in range(3))
                 if len(some):
-                    for i, row in zip(some.tolist(), signatures([sets[i] for i in some]), strict=True):
-                        sig[i], mark[i] = row.astype(">u4").tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                yield record(SKETCH, node=part.column("node"), n=n, print=mark, sig=sig)
+                    sig = signatures([sets[i] for i in some])
+                    low = sig.astype(np.uint8)
+                    for i, row, short in zip(some.tolist(), order_keys(sig), low, strict=True):
+                        keys[i], look[i], mark[i] = row, short.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                yield record(SKETCH, node=part.column("node"), n=n, bytes=[len(t) for t in texts], print=mark, keys=keys, look=look)
 
         return run
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("node"), "text"), make, "node long, n long, print binary, sig binary")
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("node"), "text"), make, "node long, n long, bytes long, print binary, keys array<long>, look binary")
 
 
-def _prefix(order: Column) -> Column:
-    """The hash of an order's first values; order t begins at value DEPTH * t."""
-    return F.xxhash64(order, F.substring("sig", order * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
-
-
-def _alike(one: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return (rest == one).sum(axis=1) >= AGREE
-
-
-def link_exactly(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the smallest index that it reaches by links of PERCENT or more, every decisive pair compared.
+def link_exactly(ids: np.ndarray, sets: list[np.ndarray], comp: np.ndarray | None = None, based: np.ndarray | None = None) -> np.ndarray:
+    """For each set the id of the first set that it reaches by links of PERCENT or more, every decisive pair compared.
 
     A pivot's intersections with all sets come from one pass over an inverted index. Sets of the largest component
-    need not be pivots: whatever lies outside it becomes one.
+    need not be pivots: whatever lies outside it becomes one. Sets of one ``comp`` are joined beforehand; if any are
+    ``based``, these are the ones that need not be pivots.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -159,8 +165,13 @@ def link_exactly(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum(size)))
     weight = np.add.reduceat(count[where], first[:-1]) / np.maximum(size, 1)
     waiting = np.ones(n, dtype=bool)
-    pivot = int(np.argmax(weight))
-    while True:
+    if comp is not None:
+        for k, head in enumerate(np.unique(comp, return_index=True)[1][np.unique(comp, return_inverse=True)[1]].tolist()):
+            joint.join(k, head)
+    if based is not None and based.any():
+        waiting &= ~based
+    pivot = int(np.argmax(np.where(waiting, weight, -1)))
+    while waiting[pivot]:
         waiting[pivot] = False
         at = where[first[pivot] : first[pivot + 1]]
         lens = count[at]
@@ -172,33 +183,51 @@ def link_exactly(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         roots = joint.roots()
         names, sizes = np.unique(roots, return_counts=True)
         if len(names) == 1:
-            return roots
-        rest = waiting & (roots != names[np.argmax(sizes)])
+            break
+        rest = waiting & (roots != (names[np.argmax(sizes)] if based is None or not based.any() else roots[np.argmax(based)]))
         if not rest.any():
-            return roots
+            break
         pivot = int(np.flatnonzero(rest)[np.argmax(weight[rest])])
+    return ids[joint.roots()]
 
 
-def confirmed_links(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(a, b): links that join, within each group of blocks, what full sets join."""
+def confirmed_links(documents: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
+    """(a, b): links that join, within each group of blocks, what full sets join. blocks: key, i, j, node, comp, based."""
 
     def make() -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, t in groups(batches, 3):
-                ids = t.column("node").to_numpy()
+                ids, comp, based = t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("based").to_numpy()
                 sets: list[np.ndarray] = []
                 for _, texts in sliced(t.select(["text"]).to_batches(), "text"):
                     sets += shingle_sets(texts)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 if len(some) < 2:
                     continue
-                roots = link_exactly(ids[some], [sets[i] for i in some])
-                yield record(EDGES, a=ids[some], b=ids[some][roots])
+                a, b = ids[some], link_exactly(ids[some], [sets[i] for i in some], comp[some], based[some])
+                yield record(EDGES, a=a[a != b], b=b[a != b])
 
         return run
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(bounded_broadcast(blocks.select("node", "comp", "i", "j")), "node").select("comp", "i", "j", "node", "text")
-    return map_batches(rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), make, "a long, b long")
+    wanted = bounded_broadcast(blocks.select("node", "key", "i", "j", "comp", "based"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").select("key", "i", "j", "node", "comp", "based", "text")
+    return map_batches(rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node"), make, "a long, b long").distinct()
+
+
+def exact_links(documents: DataFrame, members: DataFrame, scratch: Scratch, size: int = BLOCK_BYTES) -> DataFrame:
+    """The links that join what belongs together in each cluster. members: (key, node, weight, band), weights in bytes."""
+    spark = documents.sparkSession
+    of = lambda rows: spread(spark, rows, 1_000, 10_000)  # noqa: E731  texts, not short rows
+    weights = members.groupBy("key").agg(F.sum("weight").alias("w"))
+    heavy = scratch.table(weights.filter(F.col("w") > size).select("key", F.ceil(F.col("w") / size).alias("parts")))
+    blocks = first_blocks(members, heavy).select("key", "i", F.col("i").alias("j"), "node", F.col("node").alias("comp"), F.lit(False).alias("based")).distinct()
+    found = scratch.table(confirmed_links(documents, blocks, of(members.count())))
+    if heavy.isEmpty():
+        return found
+    big = members.join(heavy.select("key"), "key", "left_semi").join(connected_components(found, scratch), "node", "left")
+    named = scratch.table(big.select("key", "node", "weight", "band", F.coalesce("comp", "node").alias("comp")))
+    left = scratch.table(left_over_blocks(named, size).select("key", "i", "j", "node", "comp", "based").distinct())
+    return found.union(scratch.table(confirmed_links(documents, left, of(left.count()))))
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -206,16 +235,18 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     sketch = scratch.table(sketches(documents))
     known = sketch.filter("node is not null and print is not null")
-    heads = known.groupBy("print").agg(F.min(F.struct("node", "sig")).alias("head"), F.count("*").alias("rows")).select("print", "head.node", "head.sig", "rows")
+    heads = known.groupBy("print").agg(F.min(F.struct("node", "n", "keys", "look")).alias("head"), F.count("*").alias("rows")).select("print", "head.*", "rows")
     heads = scratch.table(heads.withColumn("class", F.monotonically_increasing_id()))
-    payload = "unhex(regexp_replace(hex(sig), '......(..)', '$1'))"
-    links = scratch.table(forest_links(heads.select(F.col("class").alias("node"), "sig"), scratch, _prefix, ORDERS, payload, VALUES, _alike))
+    links = forest_links(heads.select(F.col("class").alias("node"), "keys", "look"), scratch, LOOK, DEPTH)
     classes = connected_components(links, scratch).withColumnRenamed("node", "class")
-    comps = classes.join(heads.select("class", "node"), "class").select("node", "comp").distinct()
-    sized = scratch.table(comps.join(documents.groupBy(F.col("doc_id").cast("long").alias("node")).agg(F.sum(F.octet_length("text")).alias("weight")), "node"))
-    exact = scratch.table(confirmed_links(documents, scratch.table(cluster_blocks(sized, BLOCK_BYTES))))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int").alias("band")
+    clusters = scratch.table(classes.join(heads.select("class", "node", "n"), "class").select(F.col("comp").alias("key"), "node", band).distinct())
+    weights = known.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("bytes").alias("weight"))
+    members = scratch.table(clusters.join(weights, "node"))
+    exact = exact_links(documents, members, scratch)
     copies = known.join(heads.filter("rows > 1").select("print", F.col("node").alias("rep")), "print").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     final = scratch.table(connected_components(exact.union(copies), scratch))
+    scratch.keep(sketch, final)
     return (
         sketch.select("node", "n").join(final, "node", "left")
         .select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))

@@ -1,31 +1,66 @@
-"""Candidate clusters from several sorted orders of hash values (LSH forest).
+"""Candidate links from several sorted orders of signatures (LSH forest).
 
-Each order ranks the items by a different rotation of their signature. Items that share a prefix of an order form a
-region. Within a region, signatures are compared, and the items found similar enough are joined in a spanning star, so
-that a region gives fewer rows than it has items.
+Each item has a key in each of several orders, a hash of the least prefix that two candidates must share there, and a look:
+the signature in short, turned so that it begins where the order does. Items are sorted by key and look, so that the items with
+the longest common prefix stand next to each other. A region is a run of one key.
 
-A region with more than ``most`` items is compared in two passes of bounded groups. The first deals it into blocks, with
-a few of its items as pivots in all of them, which joins most of what is alike. After that, whatever lies outside the
-region's largest component meets all items of the region, in pairs of blocks: no pair is left out, unless its items
-are joined already. That work is in proportion to the items times the items outside the largest component.
+Neighbours in an order are compared first, which joins most of what is alike. What is left in a region of up to ``most`` items
+is compared by pivots until every two items that are alike are joined. The depth of a region adapts to its size: a
+crowded one is sorted over many tasks, each item is compared with its next neighbours, and regions that are joined then are
+done. If few items are left outside of the largest component, they meet all items of the region, in bounded blocks. If many
+are, the prefix is made longer until regions are small, and the orders of the region grow in number with its prefix, so that
+two items at the threshold still meet with probability MEET; what is crowded even then is compared in blocks of all its
+items. Links are spanning stars: a region gives fewer rows than it has items.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import Scratch, map_batches, record
-from glossaria.llm.graph import connected_components
+from glossaria.llm.common import Scratch, map_batches, record, spread
+from glossaria.llm.graph import connected_components, left_over_blocks
 
-#: Items of a crowded region that are in each of its blocks.
-PIVOTS = 16
+#: Next neighbours with which an item of a crowded region is compared.
+NEXT = 8
+#: Blocks of items outside the largest component that may meet a whole region.
+LEFT = 8
+#: Chance that two items at the threshold meet in one of a crowded region's longer prefixes.
+MEET = 0.9
+#: Rows that a task compares at a time.
+CHUNK = 20_000
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("look", pa.binary())])
+_PROFILE = pa.schema([("key", pa.int64()), ("depth", pa.int32()), ("sub", pa.int64())])
+
+
+@dataclass(frozen=True)
+class Look:
+    """Looks of ``width`` bytes. near(x, y): for each row, whether two looks are alike. units(x): their units, one column
+    each, of which two items at the threshold share one with chance ``agree``. depths: units by which a prefix grows."""
+
+    width: int
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    units: Callable[[np.ndarray], np.ndarray]
+    agree: float
+    depths: tuple[int, ...]
+
+    def orders(self, depth: int) -> int:
+        return math.ceil(math.log(1 - MEET) / math.log(1 - self.agree**depth))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit (splitmix64's finish)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Sets:
@@ -50,6 +85,15 @@ class Sets:
         return np.array([self.root(i) for i in range(len(self.up))], dtype=np.int64)
 
 
+def _changes(b: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
+    """Whether a row differs from the one before it in the first ``keys`` columns; the first row does."""
+    out = np.zeros(b.num_rows, dtype=bool)
+    out[:1] = True
+    for c in (b.column(k).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b.column(k).to_numpy() for k in range(keys)):
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows, sorted by the first ``keys`` columns, that agree in them; one run at a time is held."""
     held: list[pa.RecordBatch] = []
@@ -57,13 +101,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [np.asarray(b.column(i)) for i in range(keys)]
-        change = np.zeros(b.num_rows, dtype=bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        cuts = [*np.flatnonzero(_changes(b, keys)).tolist(), b.num_rows]
         for s, e in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[s].item() for c in cols)
+            key = tuple(b.column(k)[s].as_py() for k in range(keys))
             if key != now and held:
                 yield now, pa.Table.from_batches(held)
                 held = []
@@ -73,13 +113,34 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def spanning(sig: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], label: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
-    """For each row of ``sig`` the smallest row that it reaches by rows found alike, or by rows of an equal ``label``.
+def chunks(batches: Iterator[pa.RecordBatch], keys: int, least: int = CHUNK) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs, of about ``least`` rows, and the places where their runs begin."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= least:
+            t = pa.Table.from_batches(held)
+            starts = np.flatnonzero(_changes(t, keys))
+            if starts[-1]:
+                yield t.slice(0, int(starts[-1])), starts[:-1]
+            held = t.slice(int(starts[-1])).to_batches()
+            rows = t.num_rows - int(starts[-1])
+            least = max(CHUNK, 2 * rows)  # a run that is long is not cut anew with each batch
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.flatnonzero(_changes(t, keys))
+
+
+def spanning(look: np.ndarray, near: Callable, label: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """For each row of ``look`` the smallest row that it reaches by rows found alike, or by rows of an equal ``label``.
 
     Rows of the largest group need not be pivots: whatever lies outside it becomes one, and is compared with all rows
     outside its own group that were no pivots before. Rows of an equal ``own`` are not compared.
     """
-    n = len(sig)
+    n = len(look)
     root = np.arange(n)
     if label is not None:
         _, first, back = np.unique(label, return_index=True, return_inverse=True)
@@ -93,74 +154,183 @@ def spanning(sig: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarr
         pivot = int(np.argmax(rest))
         waiting[pivot] = False
         others = np.flatnonzero(waiting & (root != root[pivot]) if own is None else waiting & (root != root[pivot]) & (own != own[pivot]))
-        near = others[alike(sig[pivot], sig[others])]
-        if len(near):
-            parts = np.unique(np.append(root[near], root[pivot]))
+        found = others[near(look[pivot][None, :], look[others])]
+        if len(found):
+            parts = np.unique(np.append(root[found], root[pivot]))
             total = size[parts].sum()
             root[np.isin(root, parts)] = parts[0]
             size[parts] = 0
             size[parts[0]] = total
 
 
-def forest_links(items: DataFrame, scratch: Scratch, key: Callable[[Column], Column], orders: int, payload: str, width: int, alike: Callable, most: int = 2048) -> DataFrame:
+def _looks(t: pa.Table, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("look").to_pylist()), dtype=np.uint8).reshape(t.num_rows, width)
+
+
+def region_stars(look: np.ndarray, starts: np.ndarray, near: Callable, comp: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """For each row the head of what it is joined with, in its run; rows of one ``comp`` are joined beforehand.
+
+    Neighbours are compared for all runs at once. Only runs that are not joined then are looked at one by one.
+    """
+    n = len(look)
+    begins = np.zeros(n, dtype=bool)
+    begins[starts] = True
+    linked = near(look[1:], look[:-1]) & ~begins[1:]
+    run = np.concatenate(([0], np.cumsum(~linked)))
+    head = np.flatnonzero(np.concatenate(([True], ~linked)))[run]
+    stops = np.append(starts[1:], n)
+    open_ = (run[stops - 1] > run[starts]) & (stops - starts > 2)
+    if comp is not None:
+        open_ = np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)
+    for s, e in zip(starts[open_].tolist(), stops[open_].tolist(), strict=True):
+        label = run[s:e]
+        if comp is not None:
+            names, back = np.unique(comp[s:e], return_inverse=True)
+            sets = Sets(len(names))
+            for x, y in zip(back[1:][linked[s : e - 1]].tolist(), back[:-1][linked[s : e - 1]].tolist(), strict=True):
+                sets.join(x, y)
+            label = sets.roots()[back]
+        head[s:e] = s + spanning(look[s:e], near, label, None if own is None or len(set(own[s:e].tolist())) == 1 else own[s:e])
+    return head
+
+
+def _compared(members: DataFrame, parts: int, look: Look, blocks: bool) -> DataFrame:
+    """Links of each group. members: key, (if ``blocks``) i, j, comp, own, then look, node."""
+    keys = ["key", "i", "j"] if blocks else ["key"]
+
+    def make() -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, starts in chunks(batches, len(keys)):
+                node = t.column("node").to_numpy()
+                comp, own = (t.column("comp").to_numpy(), t.column("own").to_numpy()) if blocks else (None, None)
+                head = region_stars(_looks(t, look.width), starts, look.near, comp, own)
+                moved = np.flatnonzero(head != np.arange(len(head)))
+                if comp is not None:
+                    moved = moved[comp[moved] != comp[head[moved]]]
+                a, b = (node if comp is None else comp)[moved], (node if comp is None else comp)[head[moved]]
+                pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+                yield record(EDGES, a=pair[:, 0], b=pair[:, 1])
+
+        return run
+
+    cols = [*keys, *(["comp", "own"] if blocks else []), "look", "node"]
+    return map_batches(members.select(*cols).repartition(parts, *keys).sortWithinPartitions(*keys, "look", "node"), make, "a long, b long").distinct()
+
+
+def _next_neighbours(crowded: DataFrame, look: Look) -> DataFrame:
+    """Links of each item of crowded regions with the NEXT items behind it in its order; a task has a range of an order."""
+
+    def make() -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tail: list[pa.RecordBatch] = []
+            for b in batches:
+                t = pa.Table.from_batches([*tail, b])
+                key, node, seen = t.column("key").to_numpy(), t.column("node").to_numpy(), _looks(t, look.width)
+                a, c = [], []
+                joined = np.zeros(t.num_rows, dtype=np.int64)
+                for step in range(1, min(NEXT + 1, t.num_rows)):
+                    ok = (key[step:] == key[:-step]) & look.near(seen[step:], seen[:-step])
+                    if step == 1:
+                        joined = np.concatenate(([0], np.cumsum(~ok)))
+                    else:
+                        ok &= joined[step:] != joined[:-step]
+                    at = np.flatnonzero(ok)
+                    a.append(node[at])
+                    c.append(node[at + step])
+                if a:
+                    x, y = np.concatenate(a), np.concatenate(c)
+                    yield record(EDGES, a=np.minimum(x, y), b=np.maximum(x, y))
+                tail = t.slice(max(0, t.num_rows - NEXT)).to_batches()
+
+        return run
+
+    return map_batches(crowded.sortWithinPartitions("key", "look", "node").select("key", "node", "look"), make, "a long, b long").distinct()
+
+
+def _prefix(units: np.ndarray, key: np.ndarray, depth: int, order: int) -> np.ndarray:
+    """Hashes of a region's key and ``depth`` units, chosen at random for each order."""
+    places = np.random.default_rng([depth, order]).choice(units.shape[1], depth, replace=False)
+    out = mix(key.astype(np.int64).view(np.uint64) + np.uint64(order * 1009 + depth))
+    for p in places.tolist():
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + units[:, p].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def _deepened(named: DataFrame, look: Look, most: int) -> DataFrame:
+    """(key, node, comp, look) of the regions of longer prefixes. named: the same, of regions that are crowded.
+
+    The prefix of a region grows until the region that an item finds itself in has at most ``most`` items on average.
+    """
+
+    def profile() -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                key, units = t.column("key").to_numpy(), look.units(_looks(t, look.width))
+                for d in look.depths:
+                    yield record(_PROFILE, key=key, depth=np.full(len(key), d, dtype=np.int32), sub=_prefix(units, key, d, 0))
+
+        return run
+
+    met = map_batches(named.select("key", "look"), profile, "key long, depth int, sub long").groupBy("key", "depth", "sub").agg(F.count("*").alias("c"))
+    small = F.sum(F.col("c") * F.col("c")) <= most * F.sum("c")
+    depths = met.groupBy("key", "depth").agg(small.alias("small")).groupBy("key").agg(F.coalesce(F.min(F.when(F.col("small"), F.col("depth"))), F.lit(look.depths[-1])).alias("depth"))
+
+    def make() -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                told = t.column("depth").to_numpy()
+                for d in np.unique(told).tolist():
+                    part = t.filter(pa.array(told == d)).select(["key", "node", "comp", "look"]).combine_chunks()
+                    key, units = part.column("key").to_numpy(), look.units(_looks(part, look.width))
+                    rest = {c: part.column(c).combine_chunks() for c in ("node", "comp", "look")}
+                    for order in range(look.orders(d)):
+                        yield record(_KEYS, key=_prefix(units, key, d, order), **rest)
+
+        return run
+
+    return map_batches(named.join(depths, "key").select("key", "node", "comp", "look", "depth"), make, "key long, node long, comp long, look binary")
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """named without the regions whose items are all joined."""
+    return named.join(named.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("key"), "key", "left_semi")
+
+
+def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0, most: int = 2048) -> DataFrame:
     """Links (a, b) that join whatever items share a region and look alike, at every size of a region.
 
-    items: (node, sig binary). key(order): an expression for the hash of that order's prefix; order is a column.
-    payload: the expression that the regions compare, ``width`` bytes.
+    items: (node, keys array<long>, look binary). A key holds the number of its order and what its prefix begins with. In
+    order t the look is turned by ``step`` * (t + 1) bytes.
     """
-    rows = items.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("ord"))
-    keyed = rows.select("node", key(F.col("ord")).alias("key"))
+    spark = items.sparkSession
+    keyed = items.select("node", F.posexplode("keys").alias("ord", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.table(keyed.join(sizes, "key").select("node", "key", "n"))
-    looks = items.select("node", F.expr(payload).alias("look"))
-
-    def compared(members: DataFrame) -> DataFrame:
-        """The links of each group. members: (key, i, j, own, comp, node); in a group of two parts only pairs across them are compared."""
-
-        def make() -> Callable:
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                a: list[np.ndarray] = []
-                b: list[np.ndarray] = []
-                for (_, i, j), t in groups(batches, 3):
-                    own, comp, node = (t.column(c).to_numpy() for c in ("own", "comp", "node"))
-                    look = np.frombuffer(b"".join(t.column("look").to_pylist()), dtype=np.uint8).reshape(len(node), width)
-                    root = spanning(look, alike, comp, None if i == j else own)
-                    first = np.unique(comp, return_index=True)[1]
-                    moved = first[root[first] != first]
-                    a.append(node[moved])
-                    b.append(node[root[moved]])
-                    if sum(map(len, a)) > 50_000:
-                        yield record(EDGES, a=np.concatenate(a), b=np.concatenate(b))
-                        a, b = [], []
-                if a:
-                    yield record(EDGES, a=np.concatenate(a), b=np.concatenate(b))
-
-            return run
-
-        seen = members.join(looks, "node").select("key", "i", "j", "own", "comp", "node", "look")
-        links = map_batches(seen.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node"), make, "a long, b long")
-        return scratch.table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    zero = F.lit(0)
-    small = shared.filter(F.col("n") <= most).select("key", zero.alias("i"), zero.alias("j"), zero.alias("own"), F.col("node").alias("comp"), "node")
-    hot = shared.filter(F.col("n") > most)
-    if hot.isEmpty():
-        return compared(small)
-    parts = F.ceil(F.col("n") / most).cast("int")
-    rank = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-    pivots = hot.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= PIVOTS)
-    dealt = hot.select("key", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int").alias("i"), "node")
-    dealt = dealt.union(pivots.select("key", F.explode(F.sequence(zero, parts - 1)).alias("i"), "node")).distinct()
-    first = compared(small.union(dealt.select("key", "i", F.col("i").alias("j"), zero.alias("own"), F.col("node").alias("comp"), "node")))
-    comps = connected_components(first, scratch)
-    named = scratch.table(hot.join(comps, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp")))
-    groups_of = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    largest = groups_of.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.first("n").alias("n")).filter("top.c < n")
-    left = F.ceil((F.col("n") - F.col("top.c")) / most).cast("int").alias("left")
-    opened = named.drop("n").join(largest.select("key", F.col("top.comp").alias("base"), left, F.ceil(F.col("top.c") / most).cast("int").alias("based")), "key")
-    based = F.col("comp") == F.col("base")
-    own = F.when(based, F.col("left") + F.pmod(F.xxhash64("node"), "based")).otherwise(F.pmod(F.xxhash64("node"), "left")).cast("int")
-    other = F.explode(F.sequence(zero, F.col("left") - 1 + F.when(based, 0).otherwise(F.col("based"))))
-    pairs = opened.withColumn("own", own).withColumn("other", other)
-    again = compared(pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "node"))
-    return first.union(again)
+    shared = scratch.table(keyed.join(sizes, "key").select("node", "key", "ord", "n"))
+    turn = (F.col("ord") + 1) * step % look.width
+    turned = F.concat(F.substring("look", turn + 1, F.lit(look.width)), F.substring("look", F.lit(1), turn)) if step else F.col("look")
+
+    def seen(rows: DataFrame) -> DataFrame:
+        return rows.join(items.select("node", "look"), "node").select("key", "node", "n", turned.alias("look"))
+
+    usual, rows = shared.agg(F.count_if(F.col("n") <= most), F.count_if(F.col("n") > most)).first()
+    first = scratch.table(_compared(seen(shared.filter(F.col("n") <= most)), spread(spark, usual), look, blocks=False))
+    if not rows:
+        scratch.drop(shared)
+        return first
+    crowded = scratch.table(seen(shared.filter(F.col("n") > most)))
+    scratch.drop(shared)
+    near = scratch.table(_next_neighbours(crowded.repartitionByRange(spread(spark, rows), "key", "look", "node"), look))
+    found = first.union(near)
+    named = scratch.table(_open(crowded.join(connected_components(found, scratch), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), "look")))
+    scratch.drop(crowded)
+    by = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") - F.max("c")).alias("left"))
+    many = scratch.table(by.filter(F.col("left") > LEFT * most).select("key"))
+    rest = named
+    if not many.isEmpty():
+        deep = scratch.table(_open(_deepened(named.join(many, "key", "left_semi"), look, most)))
+        rest = named.join(many, "key", "left_anti").select("key", "node", "comp", "look").union(deep.select("key", "node", "comp", "look"))
+    blocks = left_over_blocks(rest.withColumns({"weight": F.lit(1), "band": F.lit(0)}), most)
+    again = scratch.table(_compared(blocks, spread(spark, rest.count()), look, blocks=True))
+    return found.union(again)

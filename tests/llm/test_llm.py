@@ -14,6 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glossaria.llm import decontaminate, embedding_dedup, html, langid, licenses, near_dedup, packing, regions, secrets, tokens, urls
+from glossaria.llm.common import Scratch
+from glossaria.llm.graph import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, words string, node long"
 RNG = random.Random(5)
@@ -373,3 +375,53 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} == {r.doc_id for r in clean.collect()}
     total = sum(len(tokens.token_ids(secrets.redact(r.text))) + 1 for r in d.join(clean.select("doc_id"), "doc_id").collect())
     assert sum(r.length for r in out) == total
+
+
+def test_crowded_regions_keep_their_recall(spark, monkeypatch):
+    """Vectors that crowd every bucket (mutual cosine 0.65) and, among them, pairs just above the threshold."""
+    rng = np.random.default_rng(8)
+    n, dims, pairs = 1500, 64, 200
+    centre = rng.standard_normal(dims) / 8
+    x = np.sqrt(0.65) * centre / np.linalg.norm(centre) + np.sqrt(0.35) * rng.standard_normal((n, dims)) / 8
+    far = rng.standard_normal((pairs, dims))
+    unit = x[:pairs] / np.linalg.norm(x[:pairs], axis=1, keepdims=True)
+    far -= (far * unit).sum(axis=1, keepdims=True) * unit
+    twins = 0.905 * unit + np.sqrt(1 - 0.905**2) * far / np.linalg.norm(far, axis=1, keepdims=True)
+    y = np.concatenate((x, twins))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.9
+    np.fill_diagonal(near, False)
+    most = []
+    real = regions._deepened
+    monkeypatch.setattr(regions, "_deepened", lambda named, look, size: most.append(size) or real(named, look, size))
+    monkeypatch.setattr(regions, "LEFT", 0)
+    monkeypatch.setattr(embedding_dedup, "forest_links", functools.partial(embedding_dedup.forest_links, most=64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(spark, df).collect()}
+    assert most and sum(got.values()) >= 0.99 * near.sum() and all(got[i] <= k for i, k in enumerate(near.sum(axis=1).tolist()))
+
+
+def test_heavy_clusters_equal_brute_force(spark):
+    """A cluster of ten blocks: one large family, small ones of other sizes, and single documents."""
+    rng, texts = random.Random(9), []
+    base = [f"b{k}" for k in range(120)]
+    for family in range(12):
+        own = [f"f{family}x{k}" for k in range(60)] if family else []
+        for k in range((60, 2)[family > 0]):
+            body = base[: 120 - 5 * family] + own
+            body[rng.randrange(len(body))] = f"e{family}x{k}"
+            texts.append(" ".join(body))
+    sets = [shingles(t) for t in texts]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        comp = [min(comp[b] for b, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)) for x in sets]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    band = lambda s: int(np.floor(np.log(len(s)) / np.log(near_dedup.BAND)))
+    members = spark.createDataFrame([(1, i, len(t), band(s)) for (i, t), s in zip(rows, sets, strict=True)], "key long, node long, weight long, band int")
+    scratch = Scratch(spark)
+    size = sum(map(len, texts)) // 10
+    links = near_dedup.exact_links(docs, members, scratch, size)
+    found = dict(connected_components(links, scratch).collect())
+    assert [found.get(i, i) for i in range(len(texts))] == comp and len(set(comp)) > 5
+    assert links.count() <= 10 * len(texts)
