@@ -1,20 +1,25 @@
 """HTML extraction by layout-aware rendering.
 
 A tree builder closes elements whose end tags may be left out (p, li, td, tr, option, dt, dd and the like) and ignores end
-tags that fit nothing. The renderer walks the tree without recursion and emits all visible text: head, scripts, styles,
-templates, form data and whatever is hidden by attribute or inline style emit none. Paragraph-like blocks are set off by
-blank lines, other blocks by line ends; list items get bullets or numbers and indents; tables become lines whose cells
-are padded to the width of their column; pre keeps its white space.
-
-Defined results: null and empty html give an empty text; markup that is cut off anywhere is read as far as it goes; rows
-that repeat a page_id are each rendered; other columns are ignored.
+tags that fit nothing. It knows where each open element stands, so that its time does not grow with the depth. The renderer
+walks the tree without recursion and emits all visible text: head, scripts, styles, templates, fallback contents, closed
+dialogs and whatever is hidden by attribute or inline style emit none (a part made visible within an invisible one does);
+of a select the chosen options count. Paragraph-like blocks are set off by blank lines, other blocks by line ends; list items
+get bullets or numbers and indents; tables become lines whose cells, spanning ones included, are padded to the width of
+their columns; pre keeps its white space.
+
+Defined results: null and empty html give an empty text; a tag or comment that is cut off by the end is dropped, other
+markup that is cut off is read as far as it goes; very long pages are one text, read by one task; rows that repeat a page_id are
+each rendered; other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +27,20 @@ from pyspark.sql import functions as F
 
 from glossaria.llm.common import map_batches, record, sliced
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Comments; other markup declarations; tags. A quote opens a string only where a value begins; a tag that ends with the text is none.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?|=)*+)(>|\Z)""",
+    re.DOTALL,
+)
+_ATTR = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*))?)?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_STYLE_SPACE = re.compile(r"\s+|/\*.*?\*/", re.DOTALL)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template title meta link base noscript noembed noframes iframe object audio video canvas svg math datalist select textarea param source track area map dialog".split())
+UNSEEN = frozenset("head script style template title meta link base noscript noembed noframes iframe object audio video canvas datalist param source track area desc metadata defs symbol annotation annotation-xml".split())
 #: Blocks with blank lines around them, and other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details div dt figcaption footer form header hgroup legend li main menu nav optgroup option section summary caption tbody thead tfoot tr td th".split())
@@ -42,10 +53,15 @@ ENDS = {
     "body": (("head",), ()),
 }
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
+_PRE = ("pre", "textarea")
 _P_SHIELD = ("td", "th", "table", "button", "caption", "object")
 _HEAD = frozenset("title meta link base script style template noscript".split())
 
 
+#: Most columns and rows that a cell may span.
+SPAN_COLUMNS, SPAN_ROWS = 1000, 65534
+
+
 class Node:
     __slots__ = ("attrs", "kids", "tag")
 
@@ -58,31 +74,38 @@ def build_tree(source: str) -> Node:
     """The elements and texts of a page; texts have their entities resolved."""
     top = Node("html")
     stack = [top]
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            places[stack.pop().tag].pop()
 
-    def close(names: tuple[str, ...], shield: tuple[str, ...] = ()) -> bool:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return True
-            if stack[k].tag in shield:
-                return False
-        return False
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((p[-1] for n in names if (p := places.get(n))), default=0)
+
+    def close(names: tuple[str, ...], shield: tuple[str, ...] = ()) -> None:
+        if (at := innermost(names)) and at >= innermost(shield):
+            cut(at)
 
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and s.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].kids.append(entities.unescape(s))
 
     at = 0
     while m := _TOKEN.search(source, at):
         text(source[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if not m[2] or not m[4]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].kids.append(Node("p"))
             elif tag == "br":
                 stack[-1].kids.append(Node("br"))
@@ -93,45 +116,72 @@ def build_tree(source: str) -> Node:
             top.attrs += m[3]
             continue
         if stack[-1].tag == "head" and tag not in _HEAD and tag != "head":
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in ENDS_P:
             close(("p",), _P_SHIELD)
         if tag in ENDS:
             close(*ENDS[tag])
-        if tag in ("td", "th") and not any(n.tag == "tr" for n in stack[-1:]) and any(n.tag == "table" for n in stack):
+        if tag in ("td", "th") and stack[-1].tag != "tr" and places.get("table"):
             row = Node("tr")
             stack[-1].kids.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, m[3])
         stack[-1].kids.append(node)
         if tag in VOID:
             continue
-        if tag in RAW or tag in ESCAPABLE:
+        if tag in RAW or tag in ESCAPABLE and not places.get("svg"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             inner, at = (source[at : end.start()], end.end()) if end else (source[at:], len(source))
             if tag in ESCAPABLE:
                 node.kids.append(entities.unescape(inner))
             continue
-        stack.append(node)
-    tail = source[at:]
-    text(tail)
+        push(node)
+    text(source[at:])
     return top
 
 
-def _hidden(node: Node) -> bool:
-    if node.tag in UNSEEN:
-        return True
-    if not node.attrs or ("hidden" not in (low := node.attrs.lower()) and "none" not in low):
-        return False
+def attributes(node: Node) -> dict[str, str]:
+    """Names and values, in lower case; of a repeated name the first counts."""
+    out: dict[str, str] = {}
     for m in _ATTR.finditer(node.attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" and value != "until-found":
-            return True
-        if name == "style":
-            style = re.sub(r"\s+", "", value)
-            if "display:none" in style or "visibility:hidden" in style:
-                return True
-    return False
+        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _seen(node: Node, visible: bool) -> bool | None:
+    """Whether an element's text is visible, given whether its parent's is; None if it is not laid out at all."""
+    if node.tag in UNSEEN:
+        return None
+    if not node.attrs:
+        return None if node.tag == "dialog" else visible
+    low = node.attrs.lower()
+    if node.tag != "dialog" and "hidden" not in low and "none" not in low and "visib" not in low and "collapse" not in low:
+        return visible
+    told = attributes(node)
+    style = _STYLE_SPACE.sub("", told.get("style", "")).split(";")
+    if told.get("hidden", "until-found") != "until-found" or node.tag == "dialog" and "open" not in told or any(x.startswith("display:none") for x in style):
+        return None
+    for x in style:
+        if x.startswith("visibility:"):
+            visible = not x.startswith(("visibility:hidden", "visibility:collapse"))
+    return visible
+
+
+def _chosen(select: Node) -> list[Node]:
+    """The options that a select shows: all of a list, else the selected one, else the first."""
+    options, work = [], list(reversed(select.kids))
+    while work:
+        k = work.pop()
+        if isinstance(k, Node):
+            if k.tag == "option":
+                options.append(k)
+            else:
+                work.extend(reversed(k.kids))
+    told = attributes(select) if select.attrs else {}
+    if "multiple" in told or told.get("size", "1") not in ("", "0", "1"):
+        return options
+    picked = [o for o in options if o.attrs and "selected" in attributes(o)]
+    return picked[-1:] or options[:1]
 
 
 class Box:
@@ -172,35 +222,67 @@ class Box:
             self.lines += lines
 
 
-def _grid(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table's rows of cells, each column as wide as its widest cell line."""
-    widths: list[int] = []
+Cell = tuple[list[str], int, int]  # lines, columns, rows
+
+
+def _grid(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table's rows of cells, each column as wide as its widest line; what spans columns may be as wide as all of them."""
+    placed: list[list[tuple[int, Cell]]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell above still takes
+    widths: dict[int, int] = {}
     for r in rows:
-        for k, cell in enumerate(r):
-            w = max(map(len, cell), default=0)
-            if k == len(widths):
-                widths.append(w)
-            widths[k] = max(widths[k], w)
+        at, line = 0, []
+        for cell in r:
+            while taken.get(at):
+                at += 1
+            line.append((at, cell))
+            widths.setdefault(at, 0)
+            at += cell[1]
+        taken = {k: n - 1 for k, n in taken.items() if n > 1}
+        for k, cell in line:
+            if cell[2] > 1:
+                taken |= dict.fromkeys(range(k, k + cell[1]), cell[2] - 1)
+            if cell[1] == 1:
+                widths[k] = max(widths[k], max(map(len, cell[0]), default=0))
+        placed.append(line)
+    columns = sorted(widths)  # those in which a cell begins
+    for line in placed:
+        for k, (lines, span, _) in line:
+            inside = columns[bisect_left(columns, k) : bisect_left(columns, k + span)]
+            if span > 1:
+                widths[inside[-1]] += max(0, max(map(len, lines), default=0) - sum(widths[c] + 2 for c in inside) + 2)
+    start = dict(zip(columns, accumulate((widths[c] + 2 for c in columns), initial=0), strict=False))
     out = []
-    for r in rows:
-        for i in range(max(map(len, r), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(w) for cell, w in zip(r, widths, strict=False)).rstrip(" "))
+    for line in placed:
+        for i in range(max((len(c[0]) for _, c in line), default=0)):
+            s = ""
+            for k, (lines, _, _) in line:
+                if i < len(lines):
+                    s = s.ljust(start[k]) + lines[i]
+            out.append(s.rstrip(" "))
     return out
 
 
+def _span(told: dict[str, str], name: str, most: int) -> int:
+    n = re.match(r"\s*(\d{1,9})", told.get(name, ""))
+    return max(1, min(most, int(n[1]))) if n else 1
+
+
 def render(source: str | None) -> str:
     """The visible text of a page."""
     if not source:
         return ""
     boxes = [Box()]
     lists: list[list] = []  # of each open list: kind, number
-    tables: list[list[list[list[str]]]] = []  # of each open table: its rows of cells
+    tables: list[list[list[Cell]]] = []  # of each open table: its rows of cells
     pre = 0
-    work: list[tuple[str, Node | str]] = [("in", build_tree(source))]
+    work: list[tuple[str, Node | str, bool]] = [("in", build_tree(source), True)]
     while work:
-        step, node = work.pop()
+        step, node, visible = work.pop()
         box = boxes[-1]
         if isinstance(node, str):
+            if not visible:
+                continue
             if pre:
                 for k, line in enumerate(node.replace("\r\n", "\n").split("\n")):
                     if k:
@@ -214,7 +296,8 @@ def render(source: str | None) -> str:
             continue
         tag = node.tag
         if step == "in":
-            if _hidden(node):
+            seen = _seen(node, visible)
+            if seen is None:
                 continue
             if tag == "br":
                 box.begun = True
@@ -239,11 +322,11 @@ def render(source: str | None) -> str:
             if tag in ("ul", "ol", "menu"):
                 start = re.search(r"start\s*=\s*[\"']?(-?\d{1,9})", node.attrs) if tag == "ol" else None
                 lists.append([tag, int(start[1]) if start else 1])
-            pre += tag == "pre"
-            work.append(("out", node))
-            work.extend(("in", k) for k in reversed(node.kids))
+            pre += tag in _PRE
+            work.append(("out", node, seen))
+            work.extend(("in", k, seen) for k in reversed(node.kids if tag != "select" else _chosen(node)))
             continue
-        pre -= tag == "pre"
+        pre -= tag in _PRE
         if tag in ("ul", "ol", "menu"):
             lists.pop()
         if tag in ("td", "th", "caption") and tables:
@@ -253,7 +336,8 @@ def render(source: str | None) -> str:
             if tag == "caption":
                 boxes[-1].put(lines)
             else:
-                tables[-1][-1].append(lines)
+                told = attributes(node) if "span" in node.attrs.lower() else {}
+                tables[-1][-1].append((lines, _span(told, "colspan", SPAN_COLUMNS), _span(told, "rowspan", SPAN_ROWS)))
         elif tag == "li":
             box.wrap()
             lines = box.lines
@@ -264,7 +348,7 @@ def render(source: str | None) -> str:
                 lists[-1][1] += 1
             boxes[-1].put([(mark if k == 0 else " " * len(mark) if x else "") + x for k, x in enumerate(lines)])
         elif tag == "table":
-            boxes[-1].put(_grid([r for r in tables.pop() if any(r)]))
+            boxes[-1].put(_grid([r for r in tables.pop() if r]))
             boxes[-1].wrap(blank=True)
         elif tag in BLOCK and tag != "tr":
             box.wrap(blank=tag in SPACED and not (tag in ("ul", "ol") and lists))
