@@ -4,13 +4,15 @@ A text's letters are lower-cased, anything else becomes one blank, and its 2- to
 hashed to rows of an embedding table; their average goes through a linear softmax. As both steps are linear, the trained
 tables are multiplied once, and a text costs one small row for each n-gram.
 
-The model learns from a bounded sample of labelled rows (``rows`` at most, about the same number for each language) that
-hash values of doc_id choose; an eighth of it is set aside to fit a temperature, which calibrates the score, and two
+The model learns from a bounded sample of labelled rows (``rows`` at most, about the same number for each language, LEAST_ROWS
+at least; of each text at most STRETCH characters) that hash values of doc_id choose; an eighth of it is set aside to fit a temperature, which calibrates the score, and two
 floors for rejection: on the score, and on the share of n-grams that training has seen. Both floors lie where at most
 ``reject`` of the set-aside texts would fall below, so that texts in a learned language stay.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; if there is nothing to learn
-from, all rows are; rows whose doc_id is null are predicted but not learned from; other columns are ignored.
+Defined results: null texts, empty ones and texts without a letter are ``und`` with score 0 and rejected; if there is nothing to
+learn from, all rows are; a very long text is predicted as a whole, by one task; of languages that tie the first by name is
+predicted; rows that repeat a doc_id are each predicted by their text; rows whose doc_id is null are predicted but not learned
+from; other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from glossaria.llm.common import bounded_broadcast, map_batches, record, sliced, slices
 
 ROWS = 4_000
+#: Characters that are learned from of a text: a longer one gives a stretch of so many, at a place that a hash chooses.
+STRETCH = 8_000
 #: Rows of a language, however many languages there are.
 LEAST_ROWS = 20
 BUCKETS, DIMS = 1 << 16, 16
@@ -207,7 +211,8 @@ def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
     # what has a hash below a share with room to spare holds the smallest ones; the rest need not be sorted
     some = known.join(bounded_broadcast(counts), "lang").filter(draw.cast("double") / 2.0**64 + 0.5 <= (4 * each + 100) / F.col("n"))
     part = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))).filter(F.col("rank") <= each)
-    got = part.orderBy(draw, "text", "lang").select("text", "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(8)) == 0).alias("aside")).collect()
+    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("stretch")), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
+    got = part.orderBy(draw, "text", "lang").select(F.substring("text", at, F.lit(STRETCH)).alias("text"), "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(8)) == 0).alias("aside")).collect()
     return train([r["text"].encode("utf-8", "replace") for r in got], [r["lang"] for r in got], np.array([r["aside"] for r in got], dtype=bool))
 
 
