@@ -4,10 +4,12 @@ Counts: a document's text is cut into pre-tokens, and the token count and length
 edit replaces a range of the text: the leaves it touches are cut anew from two leaves before it (the pattern looks at
 most two characters beyond a pre-token) until a new boundary meets an old one behind the edit, from where on all is as
 before, because each match depends only on what follows. Sums on the paths to the changed leaves are updated; no other
-part of the text is encoded again.
+part of the text is encoded again. token_trees() and edited_trees() keep the trees as a table from one edit to the next.
 
-Defined results: null texts are empty and have 0 tokens; rows that repeat a doc_id are counted each by their text; other
-columns are ignored. The name of a special token in a text is ordinary text.
+Defined results: null and empty texts have 0 tokens; a very long text takes time in proportion to its length, but for single
+pre-tokens of very many characters, which take the encoder's; rows that repeat a doc_id are counted each by their text; edits that
+touch the same place apply in the order of seq; other columns are ignored, and an empty table gives an empty result. The
+name of a special token in a text is ordinary text, since an edit may make or break it.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from glossaria.llm.common import map_batches, record, sliced
 
 BPE = "byte_bpe_50k.json"
-#: Distinct pre-tokens whose counts a worker keeps.
-CACHE = 400_000
+#: Distinct pre-tokens whose counts a worker keeps, and the length up to which it keeps one.
+CACHE, KEPT_LENGTH = 400_000, 64
 #: Pre-tokens to a leaf of a tree.
 LEAF = 16
 
@@ -77,7 +79,9 @@ class Counts(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        n = self[piece] = len(self.enc._encode_single_piece(piece))  # noqa: SLF001
+        n = len(self.enc._encode_single_piece(piece))  # noqa: SLF001
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = n
         return n
 
 
@@ -104,10 +108,13 @@ class Edit(NamedTuple):
 class TokenTree:
     """A text's pre-tokens in leaves of a segment tree of (tokens, characters); the root has the text's sums."""
 
-    def __init__(self, text: str, known: Counts) -> None:
+    def __init__(self, text: str, known: Counts, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """leaves: of pre_tokens(), if the tree was built before; nothing is encoded then."""
         self.text, self.known, self.encoded = text, known, 0
-        pieces = _pattern().findall(text)
-        self._build(np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        if leaves is None:
+            pieces = _pattern().findall(text)
+            leaves = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self._build(*leaves)
 
     def _build(self, tokens: np.ndarray, chars: np.ndarray) -> None:
         cuts = np.arange(0, len(tokens), LEAF)
@@ -132,6 +139,12 @@ class TokenTree:
     def n_pretokens(self) -> int:
         return len(self.flat[0]) if self.leaves is None else sum(len(t) for t, _ in self.leaves)
 
+    def pre_tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and characters of each pre-token."""
+        if self.leaves is None:
+            return self.flat
+        return np.concatenate([t for t, _ in self.leaves]), np.concatenate([c for _, c in self.leaves])
+
     def _open(self) -> list[tuple[np.ndarray, np.ndarray]]:
         if self.leaves is None:
             t, c = self.flat
@@ -222,8 +235,9 @@ class TokenTree:
             self._build(t, np.concatenate([x for _, x in leaves]))
 
 
-#: Personal data that the counting query masks: mail addresses, IPv4 addresses, runs of 13 to 19 digits.
-MASK = regex.compile(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])|(?<![0-9])[0-9]{13,19}(?![0-9])")
+#: Personal data that the counting query masks: mail addresses, IPv4 addresses, runs of 13 to 19 digits. A run is tried from its
+#: first character only and never given back, so that the time is linear in the text.
+MASK = regex.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])|(?<![0-9])[0-9]{13,19}(?![0-9])")
 
 
 def mask_edits(text: str) -> list[Edit]:
@@ -264,8 +278,7 @@ def token_counts(documents: DataFrame, edits: Callable[[str], list[Edit]] = mask
 
 def recount(documents: DataFrame, edits: DataFrame, name: str = BPE) -> DataFrame:
     """As token_counts(), with edits (doc_id, seq, start, stop, text) from a table, made in the order of seq."""
-    listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", F.col("text").alias("new")))).alias("edits"))
-    rows = documents.select("doc_id", "text").join(listed, "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits")
+    rows = documents.select("doc_id", "text").join(_listed(edits), "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits")
 
     def make() -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,3 +289,48 @@ def recount(documents: DataFrame, edits: DataFrame, name: str = BPE) -> DataFram
         return run
 
     return map_batches(rows, make, _SCHEMA)
+
+
+_TREES = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("tokens", pa.list_(pa.int32())), ("chars", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_reencoded", pa.int64())])
+_TREES_DDL = "doc_id long, text string, tokens array<int>, chars array<int>, n_tokens long, n_reencoded long"
+
+
+def token_trees(documents: DataFrame, name: str = BPE) -> DataFrame:
+    """A table of trees to keep: doc_id, text, tokens and chars of each pre-token, n_tokens, n_reencoded (0)."""
+
+    def make() -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in sliced(batches, "text"):
+                yield _kept(part.column("doc_id"), [TokenTree(t.decode("utf-8", "replace"), counts(name)) for t in texts])
+
+        return run
+
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, _TREES_DDL)
+
+
+def edited_trees(trees: DataFrame, edits: DataFrame, name: str = BPE) -> DataFrame:
+    """The table after edits (doc_id, seq, start, stop, text), made in the order of seq; what they don't touch isn't encoded."""
+    rows = trees.join(_listed(edits), "doc_id", "left").select("doc_id", "text", "tokens", "chars", "edits")
+
+    def make() -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in sliced(batches, "text"):
+                out = []
+                for t, a, b, todo in zip(texts, *(part.column(c).to_pylist() for c in ("tokens", "chars", "edits")), strict=True):
+                    out.append(TokenTree(t.decode("utf-8", "replace"), counts(name), (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))))
+                    for e in todo or []:
+                        out[-1].edit(Edit(e["start"], e["stop"], e["new"] or ""))
+                yield _kept(part.column("doc_id"), out)
+
+        return run
+
+    return map_batches(rows, make, _TREES_DDL)
+
+
+def _listed(edits: DataFrame) -> DataFrame:
+    return edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", F.col("text").alias("new")))).alias("edits"))
+
+
+def _kept(ids: pa.Array, trees: list[TokenTree]) -> pa.RecordBatch:
+    both = [t.pre_tokens() for t in trees]
+    return record(_TREES, doc_id=ids, text=[t.text for t in trees], tokens=[a for a, _ in both], chars=[b for _, b in both], n_tokens=[t.n_tokens for t in trees], n_reencoded=[t.encoded for t in trees])
