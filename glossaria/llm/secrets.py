@@ -7,8 +7,12 @@ interval join links each secret (strong or weak) with the identifiers and endpoi
 characters of its own, or in the same run of setting lines (.env, INI, JSON; a blank line or prose ends the run). Of a
 URL that holds a credential, user, password and host are parts of their own, so that they link with each other.
 
-Defined results: null texts are empty; a text without spans gives empty strings and the digest of nothing; rows that repeat
-a doc_id are each judged by their text; other columns are ignored. Places are code points.
+The join is by searches in the sorted starts and ends of one text's spans, as no link leaves a text; its time grows with the
+spans times the logarithm of their number.
+
+Defined results: null and empty texts give empty strings and the digest of nothing, as do texts without spans; a very long text
+takes time in proportion to its length; spans that tie in place are listed by kind; rows that repeat a doc_id are each judged by
+their text; other columns are ignored, and an empty table gives an empty result. Places are code points.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +43,11 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 _NAME = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}""", re.ASCII | re.IGNORECASE)
 _NAME_WORDS = (b"user", b"login", b"account", b"client", b"access")
-_MAIL = re.compile(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+_MAIL = re.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: What stands before and behind :// in a URL; the scheme is looked for from there, so that long runs of letters cost nothing.
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_REST = re.compile(r"""://[^\s"'<>]+""")
+SCHEME_LENGTH = 40
 #: Of a URL's authority: user, password, host.
 _AUTHORITY = re.compile(r"://([^\s/?#:]*)(?::([^\s/?#]*))?@([^\s/?#@]+)|://([^\s/?#@]+)")
 _HOST = re.compile(r"""(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,}""", re.ASCII | re.IGNORECASE)
@@ -72,9 +80,21 @@ def _key_like(s: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) >= 3.0
 
 
-def _url_parts(url: re.Match) -> list[Span]:
-    """User, password and host of a URL that holds a credential."""
-    text, at = url[0], url.start()
+def url_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each URL; a scheme has SCHEME_LENGTH characters at most."""
+    out: list[tuple[int, int]] = []
+    upto = 0
+    while m := _REST.search(text, upto):
+        if scheme := _SCHEME.search(text[max(upto, m.start() - SCHEME_LENGTH) : m.start()]):
+            out.append((m.start() - len(scheme[0]), m.end()))
+            upto = m.end()
+        else:
+            upto = m.start() + 3
+    return out
+
+
+def _url_parts(text: str, at: int) -> list[Span]:
+    """User, password and host of a URL that holds a credential. at: its place."""
     m = _AUTHORITY.search(text)
     if m is None:
         return []
@@ -112,9 +132,9 @@ def weak_spans(text: str, low: bytes) -> list[Span]:
     if any(w in low for w in _SHORT_WORDS):
         out += [(m.start(), 4, m.end()) for m in _SHORT.finditer(text)]
     if b"://" in low:
-        for m in _URL.finditer(text):
-            out.append((m.start(), 5, m.end()))
-            out += _url_parts(m)
+        for at, end in url_places(text):
+            out.append((at, 5, end))
+            out += _url_parts(text[at:end], at)
     if any(w in low for w in _HOST_WORDS):
         out += [(m.start(), 5, m.end()) for m in _HOST.finditer(text)]
     out += [(m.start(), 5, m.end()) for m in _IP.finditer(text)]
@@ -128,21 +148,27 @@ def linked(strong: list[Span], weak: list[Span], runs: list[tuple[int, int]], re
 
     begins = [r[0] for r in runs]
 
-    def near(one: Span, side: list[Span], starts: list[int], longest: int) -> bool:
-        run = runs[k] if (k := bisect_right(begins, one[0]) - 1) >= 0 and one[0] < runs[k][1] else (one[0], one[0])
-        since, upto = min(run[0], one[0] - reach - longest), max(run[1], one[2] + reach)
-        for k in range(bisect_left(starts, since), len(side)):
-            s = side[k]
-            if s[0] > upto:
-                return False
-            if (s[2] <= one[0] or s[0] >= one[2]) and (one[0] - reach <= s[2] and s[0] <= one[2] + reach or run[0] <= s[0] < run[1]):
-                return True
-        return False
+    def near(one: Span, side: Side) -> bool:
+        k = bisect_right(begins, one[0]) - 1
+        run = runs[k] if k >= 0 and one[0] < runs[k][1] else (one[0], one[0])
+        behind = bisect_left(side.starts, one[2])
+        before = bisect_right(side.ends, one[0])
+        return (
+            behind < len(side.starts) and side.starts[behind] <= max(one[2] + reach, run[1] - 1)
+            or before > 0 and side.ends[before - 1] >= one[0] - reach
+            or side.least_end[bisect_left(side.starts, run[0])] <= one[0] and run[0] < run[1]
+        )
+
+    sides = {True: Side(others), False: Side(secrets)}
+    return [w for w in weak if near(w, sides[w[1] == 4])]
+
+
+class Side:
+    """Spans by start; their ends in order; the smallest end of all spans from each place on."""
 
-    by = {True: others, False: secrets}
-    starts = {k: [s[0] for s in v] for k, v in by.items()}
-    longest = {k: max((s[2] - s[0] for s in v), default=0) for k, v in by.items()}
-    return [w for w in weak if near(w, by[k := w[1] == 4], starts[k], longest[k])]
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts, self.ends = [s[0] for s in spans], sorted(s[2] for s in spans)
+        self.least_end = [*list(accumulate((s[2] for s in reversed(spans)), min))[::-1], math.inf]
 
 
 def all_spans(text: str, low: bytes) -> tuple[list[Span], list[Span]]:
