@@ -6,7 +6,11 @@ import json
 import random
 import re
 import textwrap
+import time
+import types
 import zlib
+from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glossaria.llm import decontaminate, embedding_dedup, html, langid, licenses, near_dedup, packing, regions, secrets, tokens, urls
-from glossaria.llm.common import Scratch
+from glossaria.llm.common import Scratch, shared_dir
 from glossaria.llm.graph import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, words string, node long"
@@ -425,3 +429,146 @@ def test_heavy_clusters_equal_brute_force(spark):
     found = dict(connected_components(links, scratch).collect())
     assert [found.get(i, i) for i in range(len(texts))] == comp and len(set(comp)) > 5
     assert links.count() <= 10 * len(texts)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p class=it's>Hello</p> <p>it's</p>", "Hello\n\nit's"), ("<p title=don't>Hello", "Hello"), ('<p title="a>b">x</p>', "x"), ("<a href=x/y>t</a><p =x y>q", "t\n\nq"),
+        ("<math><mi>x</mi></math> <svg><title>t</title><text>in svg</text></svg>", "x in svg"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<select><option>a<option selected>b</select> <select multiple><option>c<option>d</select>", "b\nc\nd"), ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span></div>", "yes"),
+        ("<table><tr><td colspan=2>head of both<td>z<tr><td>a<td>b<td>c</table>", "head of both  z\na  b          c"), ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+        ("<textarea>a\nb</textarea>", "a\nb"), ("a<!-->b<!-- c --!>d</ >e</>f", "abdef"), ("<p hidden=until-found>n<p hidden>v", "n"),
+    ],
+)
+def test_visible_text(source, text):
+    assert html.render(source) == text
+
+
+@pytest.mark.parametrize("source", ["<div>" * 30_000, "<p><button>" + "<div>" * 30_000, "<p title='" + "a" * 1_000_000, "<p " + "= " * 300_000, "<" * 300_000, "<p " + "a " * 300_000 + ">", "<table><tr><td>" * 3000, "<!--" * 200_000])
+def test_rendering_takes_linear_time(source):
+    began = time.time()
+    html.render(source + "deep")
+    assert time.time() - began < 10
+
+
+class Words(HTMLParser):
+    """The words of a page's visible text, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__()
+        self.off, self.words, self.line = 0, [], ""
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style", "head", "template", "noscript")
+        self.line += " " if tag in html.BLOCK or tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style", "head", "template", "noscript")
+        self.line += " " if tag in html.BLOCK else ""
+
+    def handle_data(self, data):
+        self.line += "" if self.off else data
+
+
+def test_no_visible_word_is_lost(spark):
+    n = 0
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        if not r.html or re.search("hidden|display|visib|<select|<dialog|<svg", r.html):
+            continue
+        other = Words()
+        other.feed(r.html)
+        want = sorted(w for w in other.line.split() if not re.fullmatch(r"[-]|\d+\.", w))
+        assert sorted(w for w in html.render(r.html).split() if not re.fullmatch(r"[-]|\d+\.", w)) == want
+        n += len(want)
+    assert n > 1000
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for t in ("a" * 1_000_000, "a." * 500_000, "x@" * 300_000, "ab1" * 300_000, "http://" * 100_000, "pwd=hunter22x user=bob " * 30_000):
+        secrets.all_spans(t, t.encode().lower())
+        tokens.mask_edits(t)
+    assert time.time() - began < 30
+    tokens.TokenTree("a" * 1_000_000, tokens.counts())
+    assert time.time() - began < 60
+
+
+def test_parts_link_as_every_pair_would():
+    rng = random.Random(1)
+    for _ in range(500):
+        some = lambda kinds: [(a := rng.randrange(3000), rng.choice(kinds), a + rng.randrange(1, 60)) for _ in range(rng.randrange(0, 6))]  # noqa: E731, B023
+        strong, weak, cuts = sorted(some([0, 1, 2])), some([3, 4, 5]), sorted(rng.sample(range(3000), 4))
+        runs = [(cuts[0], cuts[1]), (cuts[2], cuts[3])]
+        want = []
+        for w in weak:
+            run = next((r for r in runs if r[0] <= w[0] < r[1]), (w[0], w[0]))
+            side = [s for s in strong + weak if (s[1] in (1, 3, 5)) == (w[1] == 4)]
+            if any((s[2] <= w[0] or s[0] >= w[2]) and (w[0] - 200 <= s[2] and s[0] <= w[2] + 200 or run[0] <= s[0] < run[1]) for s in side):
+                want.append(w)
+        assert secrets.linked(strong, weak, runs) == want
+
+
+def test_kept_trees(spark, docs, none):
+    trees = tokens.token_trees(docs).cache()
+    assert {(r.doc_id, r.n_tokens) for r in trees.collect()} == {(r[0], len(tokens.encoding().encode_ordinary(r[1] or ""))) for r in ROWS}
+    change = "doc_id long, seq int, start int, stop int, text string"
+    once = tokens.edited_trees(trees, spark.createDataFrame([(5, 1, 3, 9, "new words"), (8, 1, 0, 0, "x ")], change))
+    twice = {r.doc_id: r for r in tokens.edited_trees(once, spark.createDataFrame([(5, 1, 20, 21, ""), (5, 2, 0, 1, "é")], change)).collect()}
+    text = BASE[:3] + "new words" + BASE[9:]
+    text = "é" + (text[:20] + text[21:])[1:]
+    assert twice[5].text == text and twice[5].n_tokens == len(tokens.encoding().encode_ordinary(text)) and 0 < twice[5].n_reencoded < len(twice[5].tokens)
+    assert twice[8].text == "x " + TEXTS[8] and twice[8].n_reencoded == 0 and tokens.token_trees(none).count() == 0
+
+
+def test_url_classifier():
+    assert urls.held_out_accuracy() > 0.88
+    w, b = urls.weights()
+    chance = lambda u: urls.score(*urls._halves(u), w, b)
+    for u in ("www.bestcasino.co.uk/bonus", "torrentdownloads.me/movie", "adserver.foo.com/click", "warez-bb.org/", "phishing-login.example.com/verify", "adult-video.example.org/watch/9", "m.ads-track.example.com/es/4"):
+        assert chance(u) >= 0.5
+    for u in ("news.test/world", "bbc.co.uk/news/politics", "wikipedia.org/wiki/Paris", "www.essex.ac.uk/study", "sussex.ac.uk/", "arxiv.org/abs/1234", "github.com/apache/spark", "middlesex.gov.uk/", "www.threed.example.com/en/6950", "classes.example.com/assess"):
+        assert chance(u) < 0.5
+
+
+def test_url_rules_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(3000):
+        host = ".".join(rng.choice(["net", "example", "com", "org", "x", "EXAMPLE", "a-b"]) for _ in range(rng.randint(1, 4)))
+        rows.append((k, rng.choice(["http://", "x://", "//", "a://b://"]) + host + rng.choice(["", "/", "/de/", "/en/x", "/fr/1", "/de"]) + rng.choice(["", "?a=/de/", "#/en/"]), "h", "allow"))
+    rows += [rows[0], (None, None, None, None), (7, "", "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule) for r in urls.filter_urls(df).collect()), key=str)
+    want = []
+    for page, url, _, _ in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1], m[2]) if m else ("", "")
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        rules = [h + p for _, h, p in urls.RULES if ("." + host).endswith("." + h) and path.startswith(p)]
+        want.append((page, host, path, max(rules, key=len, default=None)))
+    assert got == sorted(want, key=str) and len({w[3] for w in want}) == 5
+    assert urls.filter_urls(df.limit(0)).count() == 0
+
+
+def test_empty_tables_null_ids_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(None, "<p>x", "t", 1)], "page_id long, html string, text string, n_lines int")
+    assert [tuple(r) for r in html.extract_text(pages).collect()] == [(None, "x", 1)] and html.extract_text(pages.limit(0)).count() == 0
+    v = spark.createDataFrame([(None, [1.0, 2.0], 1, "k"), (4, [1.0, 2.0], 1, "k"), (4, [2.0, 4.0], 1, "k"), (9, [5.0, 10.0], 1, "k")], "vec_id long, embedding array<double>, node int, keys string")
+    got = sorted(map(tuple, embedding_dedup.near_duplicate_vectors(spark, v).collect()), key=str)
+    assert got == [(4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False), (None, 0, None, True)]
+
+
+def test_scratch_is_removed_and_shared(spark, docs):
+    before = {p.name for p in Path(shared_dir(spark)).glob("glossaria-*/*")}
+    near_dedup.near_duplicates(spark, docs).collect()
+    assert len({p.name for p in Path(shared_dir(spark)).glob("glossaria-*/*")} - before) == 2
+    sc = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: types.SimpleNamespace(get=lambda _: None), getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda *_: None)))
+
+
+def test_many_languages_and_long_texts_are_learned(spark):
+    rows = [(4 * i + k, f"word{i} again " * (1 if k else 2000), f"l{i:03}") for i in range(300) for k in range(4)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 300
