@@ -26,21 +26,40 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s\s+", " ")
 
 
+def without_urls(c: Column) -> Column:
+    """URLs become blanks; texts that hold no beginning of one skip the pattern."""
+    low = F.lower(c)
+    return F.when(F.contains(low, F.lit("http")) | F.contains(low, F.lit("www.")), F.regexp_replace(c, URL, " ")).otherwise(c)
+
+
 def clean(c: Column | str) -> Column:
     """Lower-case words only: no URLs, digits, punctuation or symbols."""
-    words = squeeze(F.regexp_replace(F.lower(one_line(col(c))), URL, " "))
+    words = squeeze(without_urls(F.lower(one_line(col(c)))))
     return strip(squeeze(F.regexp_replace(words, r"(?U)[^\w\p{Zs}]|\d", "")))
 
 
 def clean_native(c: Column | str) -> Column:
     """Without line ends and URLs; case, digits and punctuation stay."""
-    return strip(squeeze(F.regexp_replace(one_line(col(c)), URL, " ")))
+    return strip(squeeze(without_urls(one_line(col(c)))))
+
+
+#: ASCII characters that are no letters.
+_ASCII_REST = "".join(c for c in map(chr, range(128)) if not c.isalpha())
+
+
+def script_columns(text: Column | str, beyond: Column | str) -> dict[str, Column]:
+    """Letter counts by script of a cleaned text; ``other`` counts letters of any further script.
+
+    beyond: of beyond_ascii(). ASCII letters are counted in one pass, and the patterns read only what is left.
+    """
+    plain = F.length(F.translate(col(text), _ASCII_REST, "")) - F.length(col(beyond))
+    counts = {s: F.when(col(beyond) == "", 0).otherwise(F.regexp_count(col(beyond), F.lit(p))) for s, p in {"letter": r"\p{L}", **SCRIPTS}.items()}
+    counts |= {"letter": counts["letter"] + plain, "latin": counts["latin"] + plain}
+    return {"clean_letter_count": counts.pop("letter"), **{f"{s}_char_count": n for s, n in counts.items()}}
 
 
-def script_columns(text: Column | str) -> dict[str, Column]:
-    """Letter counts by script of a cleaned text; ``other`` counts letters of any further script."""
-    counts = {f"{s}_char_count": F.regexp_count(col(text), F.lit(p)) for s, p in SCRIPTS.items()}
-    return {"clean_letter_count": F.regexp_count(col(text), F.lit(r"\p{L}")), **counts}
+def beyond_ascii(text: Column | str) -> Column:
+    return F.when(F.octet_length(col(text)) == F.length(col(text)), F.lit("")).otherwise(F.regexp_replace(col(text), r"[\x00-\x7F]+", ""))
 
 
 def dominant_script(names: list[str]) -> Column:

@@ -1,13 +1,20 @@
-"""Votes under several configurations in one pass over stored predictions, compared with a baseline."""
+"""Votes under several configurations in one pass over stored predictions, and how far each departs from the baselines."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.constants import LEGACY_WEIGHTS, NOISE_LABEL, SEGMENT_WEIGHTS
+from glossaria.config import Config
+from glossaria.constants import LEGACY_WEIGHTS, SEGMENT_WEIGHTS
+from glossaria.functions import text as X
+from glossaria.operators import mixed, votes
+
+#: Languages whose channels are counted for each variant.
+COUNTED = ["srd", "ast", "vec", "gug", "eng", "spa", "ita", "por"]
+CONSENSUS = "default_consensus"
 
 
 @dataclass(frozen=True)
@@ -25,38 +32,57 @@ class Variant:
 
 
 def default_variants() -> list[Variant]:
-    no = {**SEGMENT_WEIGHTS, "video_description": 0.0}
+    described = lambda w: {**SEGMENT_WEIGHTS, "channel_description": w}
     return [
-        Variant("legacy_a", "a", LEGACY_WEIGHTS, 0.0, 0.0, 0.0, 0.35), Variant("default_a", "a"), Variant("no_second_a", "a", use_second=False), Variant("no_description_a", "a", no),
+        Variant("legacy_a", "a", LEGACY_WEIGHTS, 0.0, 0.0, 0.0, 0.35), Variant("default_a", "a"), Variant("no_second_a", "a", use_second=False), Variant("description_1_a", "a", described(1.0)), Variant("no_description_a", "a", described(0.0)),
         Variant("min_letters_50_a", "a", min_letters=50), Variant("top1_rollup_a", "a", use_second=False, rollup=True), Variant("default_b", "b"), Variant("no_second_b", "b", use_second=False),
     ]
 
 
-def ablation(spark: SparkSession, long: DataFrame, letters: DataFrame, variants: list[Variant]) -> DataFrame:
-    """(variant, channel_id, label): each channel's first label under each variant.
+def outcomes(spark: SparkSession, long: DataFrame, variants: list[Variant], cfg: Config) -> DataFrame:
+    """(variant, channel_id, label, iso, screen, credible): each channel's first label under each variant, and its mixed flags.
 
-    long: of predictions.long(); letters: (segment_id, clean_letter_count). Votes without weight don't count.
+    long: of predictions.long(). Votes without weight don't count, so that a kind of segment that weighs nothing gives no label.
     """
     kinds = sorted({k for v in variants for k in v.weights})
     rows = [(v.name, v.model, [v.weights.get(k, 1.0) for k in kinds], v.primary_min, v.secondary_min, v.ratio, v.secondary_weight, v.use_second, v.min_letters, v.rollup) for v in variants]
-    table = spark.createDataFrame(rows, "variant string, lid_model string, w array<double>, p1 double, p2 double, r2 double, w2 double, second boolean, letters int, rollup boolean")
-    df = long.filter("prediction_rank <= 2 and label is not null").filter(~F.lower("label").rlike(NOISE_LABEL)).join(letters, "segment_id").join(F.broadcast(table), "lid_model")
-    first = (F.col("prediction_rank") == 1) & (F.col("score") >= F.col("p1"))
-    second = (F.col("prediction_rank") == 2) & F.col("second") & (F.col("score") >= F.col("p2")) & (F.col("score_1") > 0) & (F.try_divide("score", "score_1") >= F.col("r2"))
-    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("segment_type")).cast("int")
-    weight = F.coalesce(F.get("w", place - 1), F.lit(1.0)) * F.when(F.col("prediction_rank") == 1, 1.0).otherwise(F.col("w2"))
-    df = df.filter((first | second) & (F.col("clean_letter_count") >= F.col("letters"))).withColumn("ws", F.col("score") * weight).filter("ws > 0")
-    df = df.withColumn("name", F.when(F.col("rollup"), F.col("iso639_3")).otherwise(F.col("label")))
-    votes = df.groupBy("variant", "channel_id", "name").agg(F.round(F.sum("ws"), 9).alias("ws"), F.countDistinct("segment_id").alias("seg"), F.max("score").alias("best"))
-    order = Window.partitionBy("variant", "channel_id").orderBy(F.desc("ws"), F.desc("seg"), F.desc("best"), F.asc("name"))
-    return votes.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("variant", "channel_id", F.col("name").alias("label"))
-
-
-def churn(labels: DataFrame, variants: list[Variant], baselines: dict[str, str]) -> DataFrame:
-    """Each variant: channels with a label, and channels of its model's baseline whose label differs."""
-    pairs = labels.sparkSession.createDataFrame([(v.name, baselines[v.model]) for v in variants], "variant string, baseline string")
-    base = labels.select(F.col("variant").alias("baseline"), "channel_id", F.col("label").alias("base_label")).join(F.broadcast(pairs), "baseline")
-    both = base.select("variant", "channel_id", "base_label").join(labels, ["variant", "channel_id"], "full_outer")
-    differs = F.col("base_label").isNotNull() & (F.coalesce("label", F.lit("__none__")) != F.col("base_label"))
-    out = both.groupBy("variant").agg(F.count("label").alias("labelled"), F.count("base_label").alias("baseline_labelled"), F.sum(differs.cast("long")).alias("churned"))
-    return out.withColumn("churn_share", F.round(F.try_divide("churned", "baseline_labelled"), 6))
+    table = spark.createDataFrame(rows, "variant string, lid_model string, w array<double>, p1 double, p2 double, r2 double, w2 double, seconds boolean, letters int, rollup boolean")
+    c = F.col
+    df = long.join(F.broadcast(table), "lid_model").filter(F.coalesce("clean_letter_count", F.lit(0)) >= c("letters"))
+    place = F.array_position(F.array(*map(F.lit, kinds)), c("segment_type")).cast("int")
+    admitted = votes.admitted(df, c("p1"), c("p2"), c("r2"), c("w2"), F.coalesce(F.get("w", place - 1), F.lit(1.0)), c("seconds")).filter("weighted_score > 0")
+    named = admitted.withColumn("label", F.when(c("rollup"), c("iso639_3")).otherwise(c("label")))
+    first = votes.ranks_in_columns(votes.channel_votes(named, "variant"), "variant")
+    for r in ("primary", "secondary"):
+        first = first.withColumn(f"{r}_cluster", X.cluster_of(f"{r}_label", f"{r}_iso"))
+    flags = mixed.evidence(F.col, F.lit(False), cfg)
+    return first.withColumn("secondary_high_risk", X.high_risk("secondary_label")).select("variant", "channel_id", c("primary_label").alias("label"), c("primary_iso").alias("iso"), flags["screen"].alias("screen"), flags["credible"].alias("credible"))
+
+
+def consensus_outcomes(decided: DataFrame) -> DataFrame:
+    """The consensus of both models as one more variant. decided: of consensus() and mixed_language()."""
+    return decided.select(F.lit(CONSENSUS).alias("variant"), "channel_id", F.col("consensus_label").alias("label"), F.col("consensus_iso").alias("iso"), F.col("mixed_screen").alias("screen"), F.col("mixed_credible").alias("credible"))
+
+
+def summary(cells: DataFrame, candidates: DataFrame, baseline: str = "default_a") -> DataFrame:
+    """One row for each variant: counts, and channels whose label or credible flag is not the baseline's or the consensus's.
+
+    cells: of outcomes() and consensus_outcomes(); candidates: (channel_id) with a Hindi or Indic signal. A label that a baseline
+    has and the variant lacks counts as changed.
+    """
+    c = F.col
+    of = lambda v, x: F.max(F.when(c("variant") == v, c(x)))
+    bases = cells.groupBy("channel_id").agg(of(baseline, "label").alias("base"), of(CONSENSUS, "label").alias("agreed"), of(CONSENSUS, "credible").alias("agreed_credible"))
+    grid = bases.crossJoin(F.broadcast(cells.select("variant").distinct())).join(cells, ["variant", "channel_id"], "left")
+    grid = grid.join(candidates.select("channel_id", F.lit(True).alias("candidate")), "channel_id", "left")
+    n = lambda e: F.count_if(F.coalesce(e, F.lit(False)))
+    changed = lambda b: b.isNotNull() & ~c("label").eqNullSafe(b)
+    there = c("label").isNotNull() | c("screen").isNotNull()
+    out = grid.groupBy("variant").agg(
+        F.count("label").alias("classified"), n(c("screen")).alias("screened"), n(c("credible")).alias("credible"), n(X.high_risk("label")).alias("high_risk"), n(c("iso") == "hin").alias("hindi"), n(c("candidate") & there).alias("hindi_indic"),
+        *[n(c("iso") == i).alias(f"n_{i}") for i in COUNTED],
+        n(changed(c("base"))).alias("changed_base"), F.count("base").alias("_b"), n(changed(c("agreed"))).alias("changed_consensus"), F.count("agreed").alias("_a"),
+        n(F.coalesce("credible", F.lit(False)) != F.coalesce("agreed_credible", F.lit(False))).alias("changed_credible"),
+    )
+    share = lambda x, y, name: F.round(F.try_divide(x, y), 6).alias(name)
+    return out.select("*", share("changed_base", "_b", "share_changed_base"), share("changed_consensus", "_a", "share_changed_consensus")).drop("_a", "_b")

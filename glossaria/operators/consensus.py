@@ -63,9 +63,9 @@ def consensus_columns(cfg: Config) -> dict[str, Column]:
         (b.isNull(), row("openlid_high_confidence_glotlid_missing_or_error", null, ca, roll("a"), manual=True)),
         (a.isNull() & (sb >= cfg.high_share) & ~rb, row("glotlid_fallback_openlid_low_confidence", b, cb, roll("b"))),
         (a.isNull(), review),
-        (arabic, row("taxonomy_normalized_agreement", F.lit("ara_Arab"), null, F.lit("ara"))),
+        (arabic, row("taxonomy_normalized_agreement", F.lit("ara_Arab"), F.coalesce(ca, cb), F.lit("ara"))),
         (ra | rb, row("high_risk_tail_label_needs_review", manual=True)),
-        (F.coalesce(ia == ib, F.lit(False)), row("iso_or_script_variant_agreement", null, ca, roll("a"))),
+        (F.coalesce(ia == ib, F.lit(False)), row("iso_or_script_variant_agreement", null, F.coalesce(ca, cb), F.coalesce(ca, cb, ia))),
         (F.coalesce(ca == cb, F.lit(False)), row("cluster_model_agreement", null, ca, ca)),
         ((sa < cfg.low_share) & (sb >= cfg.high_share), row("glotlid_fallback_openlid_low_confidence", b, cb, roll("b"))),
     ]

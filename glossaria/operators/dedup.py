@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """A hash of a row's canonical text, nulls marked."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns or df.columns]), 256)
+    """A hash of a row's values, each with its length before it and nulls as a dash, so that different rows have different texts."""
+
+    def told(c: str) -> Column:
+        value = F.col(c).cast("string") if df.schema[c].dataType.typeName() not in ("struct", "array", "map") else F.to_json(F.struct(c))
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.sha2(F.concat(*[told(c) for c in columns or df.columns]), 256)
 
 
 def keep_top(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:

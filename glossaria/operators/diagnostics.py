@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.constants import HIGH_RISK_LABELS, HINDI_CLUSTER, HINDI_RELATED_ISO, INDIC_AUDIT_ISO, ROMANCE_ISO, ROMANIZED_HINDI_KEYWORDS, ROMANIZED_INDIC_KEYWORDS, SOURCE_HINDI_CODES, SOURCE_INDIC_CODES
@@ -23,11 +23,21 @@ def text_features(segments: DataFrame) -> DataFrame:
         F.count("*").alias("segment_count"), n("is_valid").alias("valid_segment_count"), n("clean_letter_count").alias("letters"), n("devanagari_char_count").alias("devanagari_chars"),
         F.sum((F.col("devanagari_char_count") > 0).cast("long")).alias("devanagari_segments"), n("hindi_keyword_count").alias("hindi_keywords"), n("indic_keyword_count").alias("indic_keywords"),
         F.array_sort(F.collect_set("segment_type")).alias("segment_types"), F.max(F.col("is_valid_non_latin_rule").cast("int")).alias("non_latin_any"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keyword_examples")))), 1, 25).alias("keyword_examples"),
+        F.slice(F.array_sort(F.array_compact(F.array(*[F.max(F.when(F.array_contains("keyword_examples", w), F.lit(w))) for w in ROMANIZED_INDIC_KEYWORDS]))), 1, 25).alias("keyword_examples"),
         F.max(F.struct("clean_letter_count", "text"))["text"].alias("longest_text"),
     )
 
 
+def aggregation_signals(summary: DataFrame) -> DataFrame:
+    """One row a channel: whether a model's first or second label is Hindi-related or Indic, and both models' votes as JSON."""
+    among = lambda isos, *cs: F.max(F.coalesce(F.greatest(*[F.coalesce(F.col(c).isin(isos), F.lit(False)) for c in (*cs, cs[0])]), F.lit(False)))
+    votes = lambda m: F.max(F.when(F.col("lid_model") == m, F.col("language_votes_json"))).alias(f"{m}_votes_json")
+    return summary.groupBy("channel_id").agg(
+        among(HINDI_RELATED_ISO, "primary_iso").alias("hindi_primary"), among(HINDI_RELATED_ISO, "primary_iso", "secondary_iso").alias("hindi_position"),
+        among(INDIC_AUDIT_ISO, "primary_iso", "secondary_iso").alias("indic_position"), votes("a"), votes("b"),
+    )
+
+
 def vote_presence(long: DataFrame) -> DataFrame:
     """One row a channel: whether any top-k label of each model is Hindi-related, or Indic."""
     any_of = lambda m, isos, n: F.max(F.coalesce((F.col("lid_model") == m) & F.col("iso639_3").isin(isos), F.lit(False))).alias(n)
@@ -73,8 +83,6 @@ def redirect_summary(rows: DataFrame, sample: int, seed: str, strategy: str = "x
     keys = ["model_label_source", "high_risk_label"]
     sigs = [c for c in rows.columns if c.startswith("sig_")]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("channels"), *[F.sum(F.col(s).cast("long")).alias(s.replace("sig_", "n_")) for s in sigs], F.round(F.avg("vote_share"), 6).alias("mean_share"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*keys).orderBy(X.order_hash("channel_id", F.lit(seed), strategy=strategy), "channel_id")
     ids = rows.select(*keys, "channel_id").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("channel_id")), ",").alias("sample_ids"))
     return counts.join(ids, keys, "left")

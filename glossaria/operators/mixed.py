@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.config import Config
 
 
-def _z(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+def evidence(c: Callable[[str], Column], exact: Column, cfg: Config) -> dict[str, Column]:
+    """Of one model's first two labels: cross_script, same_cluster, screen and credible. c: a column by its name without the
+    model; exact: whether the other model has the same second label."""
+    false = F.lit(False)
+    z = lambda n: F.coalesce(c(n).cast("double"), F.lit(0.0))
+    has = c("secondary_label").isNotNull()
+    cross = F.coalesce(c("secondary_script") != c("primary_script"), false)
+    same = F.coalesce(c("secondary_cluster") == c("primary_cluster"), false)
+    screen = has & (z("secondary_ratio") >= cfg.screen_ratio) & (z("secondary_segment_count") >= cfg.screen_segments)
+    credible = (
+        has & (z("secondary_ratio") >= cfg.credible_ratio) & (z("secondary_segment_count") >= cfg.credible_segments) & (z("secondary_top1_segment_count") >= cfg.credible_top1)
+        & (z("secondary_mean") >= cfg.credible_mean) & ((z("secondary_max") >= cfg.credible_max) | cross) & (z("secondary_margin_ratio") >= cfg.credible_margin)
+        & (cross | (z("secondary_type_count") >= cfg.credible_types)) & ~same & ~(c("secondary_high_risk") & ~exact)
+    )
+    return {"cross_script": cross, "same_cluster": same, "screen": screen, "credible": credible}
 
 
 def mixed_language(compared: DataFrame, cfg: Config) -> DataFrame:
@@ -17,16 +32,7 @@ def mixed_language(compared: DataFrame, cfg: Config) -> DataFrame:
     false = F.lit(False)
     cols: dict[str, Column] = {}
     for p in ("a", "b"):
-        has = F.col(f"{p}_secondary_label").isNotNull()
-        cross = F.coalesce(F.col(f"{p}_secondary_script") != F.col(f"{p}_primary_script"), false)
-        same = F.coalesce(F.col(f"{p}_secondary_cluster") == F.col(f"{p}_primary_cluster"), false)
-        cols[f"{p}_cross_script"], cols[f"{p}_same_cluster"] = cross, same
-        cols[f"{p}_screen"] = has & (_z(f"{p}_secondary_ratio") >= cfg.screen_ratio) & (_z(f"{p}_secondary_segment_count") >= cfg.screen_segments)
-        cols[f"{p}_credible"] = (
-            has & (_z(f"{p}_secondary_ratio") >= cfg.credible_ratio) & (_z(f"{p}_secondary_segment_count") >= cfg.credible_segments) & (_z(f"{p}_secondary_top1_segment_count") >= cfg.credible_top1)
-            & (_z(f"{p}_secondary_mean") >= cfg.credible_mean) & ((_z(f"{p}_secondary_max") >= cfg.credible_max) | cross) & (_z(f"{p}_secondary_margin_ratio") >= cfg.credible_margin)
-            & (cross | (_z(f"{p}_secondary_type_count") >= cfg.credible_types)) & ~same & ~(F.col(f"{p}_secondary_high_risk") & ~F.col("agree_exact_secondary"))
-        )
+        cols |= {f"{p}_{n}": e for n, e in evidence(lambda c, p=p: F.col(f"{p}_{c}"), F.col("agree_exact_secondary"), cfg).items()}
     df = compared.withColumns(cols)
     c = F.col
     either = c("a_credible") | c("b_credible")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glossaria.functions import text as X
 
-CARRY = ["channel_id", "segment_id", "segment_type"]
+CARRY = ["channel_id", "segment_id", "segment_type", "clean_letter_count", "dominant_script"]
 
 
 class LanguageModel(Protocol):
@@ -62,7 +62,7 @@ def run_model(segments: DataFrame, model: str, load: Callable[[], LanguageModel]
             rows = [[{"prediction_rank": r + 1, "label_raw": a, "score": float(s)} for r, (a, s) in enumerate(p)] if t.strip() else [] for p, t in zip(best, texts, strict=True)]
             yield f[CARRY].assign(lid_model=model, predictions=rows, lid_error=errors)
 
-    schema = "channel_id string, segment_id string, segment_type string, lid_model string, predictions array<struct<prediction_rank:int,label_raw:string,score:double>>, lid_error string"
+    schema = "channel_id string, segment_id string, segment_type string, clean_letter_count int, dominant_script string, lid_model string, predictions array<struct<prediction_rank:int,label_raw:string,score:double>>, lid_error string"
     return segments.select(*CARRY, "clean_text").mapInPandas(run, schema)
 
 
@@ -70,3 +70,34 @@ def long(predictions: DataFrame) -> DataFrame:
     """One row for each rank, labels parsed, with the first rank's score; segments without a prediction keep one row of nulls."""
     df = predictions.select(*CARRY, "lid_model", F.get(F.col("predictions")["score"], F.lit(0)).alias("score_1"), F.explode_outer("predictions").alias("p"))
     return df.select(*CARRY, "lid_model", F.col("p.prediction_rank").cast("int").alias("prediction_rank"), F.col("p.label_raw").alias("label_raw"), X.parsed_label("p.label_raw").alias("x"), F.col("p.score").alias("score"), "score_1").select(*CARRY, "lid_model", "prediction_rank", "label_raw", "x.*", "score", "score_1")
+
+
+def audit_segments(long: DataFrame, model: str, least: float = 0.50) -> DataFrame:
+    """(segment_id) of a model's segments without a label, with a weak first one, or with a high-risk one."""
+    first = long.filter((F.col("lid_model") == model) & F.coalesce(F.col("prediction_rank") == 1, F.lit(True)))
+    return first.filter(F.col("label").isNull() | (F.col("score") < least) | X.high_risk("label")).select("segment_id").distinct()
+
+
+def second_universe(valid: DataFrame, mode: str, long: DataFrame | None = None, model: str = "a") -> DataFrame | None:
+    """What the second model reads: nothing, all valid segments, or those that audit the first model. Only the results on all
+    valid segments may feed the main tables."""
+    if mode == "disabled":
+        return None
+    if mode == "all_valid_segments":
+        return valid
+    if mode != "audit_segments":
+        raise ValueError(f"unknown mode {mode!r}")
+    if long is None:
+        raise ValueError("audit_segments needs the predictions of the first model")
+    return valid.join(audit_segments(long, model), "segment_id", "left_semi")
+
+
+def native_audit(valid: DataFrame, fraction: float, allow_full: bool, seed: int) -> DataFrame:
+    """Segments with ``clean_text_native``, for an audit of the cleaning: a Bernoulli sample, or all of them if that is allowed.
+
+    A fraction of 0 stands for all.
+    """
+    full = fraction <= 0 or fraction >= 1
+    if full and not allow_full:
+        raise ValueError("the audit would read all valid segments: allow that, or give a fraction between 0 and 1")
+    return (valid if full else valid.sample(withReplacement=False, fraction=fraction, seed=seed)).withColumn("clean_text_native", X.clean_native("text"))

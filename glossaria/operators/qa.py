@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from glossaria.functions import text as X
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -39,9 +39,34 @@ def universe_parity(valid: DataFrame, predictions: DataFrame, models: list[str])
     return both.groupBy("lid_model").agg(n(F.col("v").isNotNull() & F.col("p").isNotNull()).alias("matched"), n(F.col("p").isNull()).alias("missing"), n(F.col("v").isNull()).alias("unexpected"), (sums("v") == sums("p")).alias("checksum_equal"))
 
 
+def checksum_parity(valid: DataFrame, predictions: DataFrame, bucket: Column, model: str) -> DataFrame:
+    """Each bucket: counts and order-free checksums of valid segments and of a model's predictions, and whether they are equal.
+
+    bucket: an expression on channel_id. A bucket that only one side has is not equal.
+    """
+    mark = F.conv(F.substring(F.md5("segment_id"), 1, 8), 16, 10).cast("decimal(38,0)")
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select("channel_id", "segment_id").distinct().groupBy(bucket.alias("bucket")).agg(F.count("*").alias(f"{p}_n"), F.sum(mark).alias(f"{p}_sum"))
+
+    both = side(valid, "valid").join(side(predictions.filter(F.col("lid_model") == model), "predicted"), "bucket", "full_outer")
+    equal = F.col("valid_n").eqNullSafe(F.col("predicted_n")) & F.col("valid_sum").eqNullSafe(F.col("predicted_sum"))
+    return both.fillna(0, ["valid_n", "predicted_n"]).select("bucket", "valid_n", "predicted_n", equal.alias("equal"))
+
+
+def strata_counts(sample: DataFrame, least: int) -> DataFrame:
+    """Channels of each stratum of a sample, and whether they are fewer than wanted."""
+    return sample.groupBy("primary_stratum").agg(F.count("*").alias("channels"), (F.count("*") < least).alias("below_minimum"))
+
+
+def model_qa(summary: DataFrame) -> DataFrame:
+    """Each model: channels with valid segments, with a first and a second label, and with a high-risk first label."""
+    return summary.groupBy("lid_model").agg(F.count("*").alias("channels"), F.count("primary_label").alias("with_primary"), F.count("secondary_label").alias("with_secondary"), F.count_if(X.high_risk("primary_label")).alias("high_risk"))
+
+
 def unclassified(universe: DataFrame, features: DataFrame, final: DataFrame) -> DataFrame:
-    """Channels without a consensus label or without a valid segment, and the texts they had."""
-    df = final.select("channel_id", "language_status", "consensus_label").join(features.select("channel_id", "segment_count", "valid_segment_count", "letters"), "channel_id", "left")
+    """Channels of the universe without a valid segment or that are left without a label, and the texts they had."""
+    df = universe.select("channel_id").join(final.select("channel_id", "language_status", "consensus_label"), "channel_id", "left").join(features.select("channel_id", "segment_count", "valid_segment_count", "letters"), "channel_id", "left")
     return df.fillna(0, ["segment_count", "valid_segment_count", "letters"]).filter("valid_segment_count = 0 or language_status = 'insufficient_text'")
 
 
@@ -57,4 +82,3 @@ def source_confusion(final: DataFrame) -> DataFrame:
     return final.groupBy("source_language", "a_primary_iso", "consensus_iso").agg(F.count("*").alias("channels"))
 
 
-__all__ = ["acceptance", "agreement_summary", "counts_by", "language_summary", "source_confusion", "unclassified", "universe_parity"]

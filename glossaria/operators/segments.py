@@ -21,8 +21,33 @@ def unpivot(df: DataFrame, entity: str, child: str | None, fields: dict[str, str
     return rows.withColumn("segment_id", F.sha2(F.concat_ws("||", "channel_id", F.coalesce("video_id", F.lit("")), "segment_type", "text"), 256))
 
 
-def bucket(c: Column | str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(X.col(c).cast("string")), F.lit(buckets)).cast("int")
+def bucket(c: Column | str, buckets: int, strategy: str = "xxhash64") -> Column:
+    """The hash bucket of an id; md5 gives one that other engines can follow."""
+    text = X.col(c).cast("string")
+    value = F.xxhash64(text) if strategy == "xxhash64" else F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.pmod(value, F.lit(buckets)).cast("int")
+
+
+def in_buckets(df: DataFrame, c: str, cfg: Config, strategy: str = "xxhash64") -> DataFrame:
+    """The rows of the run's range of buckets, to be taken before any deduplication or count; a full range needs no filter."""
+    if cfg.bucket_start == 0 and cfg.bucket_end == cfg.buckets - 1:
+        return df
+    return df.filter(bucket(c, cfg.buckets, strategy).between(cfg.bucket_start, cfg.bucket_end))
+
+
+def by_bucket(df: DataFrame, cfg: Config, partitions: int) -> DataFrame:
+    """Rows dealt by bucket, and by segment as well where there are more partitions than buckets."""
+    return df.repartition(partitions, "channel_hash_bucket", *(["segment_id"] if partitions > cfg.buckets else []))
+
+
+def first_channels(channels: DataFrame, n: int, strategy: str = "xxhash64") -> DataFrame:
+    """n channels in the order of their hash, ties by id: a distributed top-k. 0 takes all."""
+    return channels.orderBy(X.order_hash("channel_id", strategy=strategy), F.asc_nulls_last("channel_id")).limit(n) if n > 0 else channels
+
+
+def of_channels(df: DataFrame, channels: DataFrame) -> DataFrame:
+    """The rows of the given channels, each once however often a channel is listed."""
+    return df.join(channels.select("channel_id"), "channel_id", "left_semi")
 
 
 def with_metrics(segments: DataFrame, cfg: Config) -> DataFrame:
@@ -30,8 +55,9 @@ def with_metrics(segments: DataFrame, cfg: Config) -> DataFrame:
     names = [*SCRIPTS, "other"]
     # explode() of one value keeps the optimizer from copying the patterns below it into every filter and CASE above
     df = segments.select("*", F.explode(F.array(X.clean("text"))).alias("clean_text"))
-    counts = {"raw_text_len": F.length("text"), "clean_text_len": F.length("clean_text"), "clean_token_count": F.when(F.col("clean_text") == "", 0).otherwise(F.size(F.split("clean_text", r"(?U)\s+"))), **X.script_columns("clean_text")}
-    df = df.select("*", F.explode(F.array(F.struct(*[e.alias(n) for n, e in counts.items()]))).alias("_c")).select("*", "_c.*").drop("_c")
+    df = df.select("*", F.explode(F.array(X.beyond_ascii("clean_text"))).alias("_b"))
+    counts = {"raw_text_len": F.length("text"), "clean_text_len": F.length("clean_text"), "clean_token_count": F.when(F.col("clean_text") == "", 0).otherwise(F.size(F.split("clean_text", r"(?U)\s+"))), **X.script_columns("clean_text", "_b")}
+    df = df.select("*", F.explode(F.array(F.struct(*[e.alias(n) for n, e in counts.items()]))).alias("_c")).select("*", "_c.*").drop("_c", "_b")
     df = df.withColumn("other_char_count", F.greatest(F.lit(0), F.col("clean_letter_count") - sum((F.col(f"{s}_char_count") for s in SCRIPTS), F.lit(0))))
     df = df.withColumn("dominant_script", X.dominant_script(names))
     share = F.greatest(*[F.col(f"{s}_char_count") for s in names]) / F.col("clean_letter_count")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from glossaria.config import Config, plan_partitions
 from glossaria.functions import text as X
-from glossaria.operators import consensus, dedup, panel, segments
+from glossaria.operators import category, cohort, consensus, dedup, panel, predictions, qa, segments
 from glossaria.plans.oracles import ORACLE_SQL
 from glossaria.plans.queries import QUERIES
 from glossaria.schema import CANDIDATES, first_existing_column
-from glossaria.sources import sinks, tables
+from glossaria.sources import models, sinks, tables
 
 SF = "/root/testdata/sf0.001"
 SIDE = "{0}_primary_label string, {0}_primary_iso string, {0}_primary_cluster string, {0}_primary_high_risk boolean, {0}_vote_share double"
@@ -66,8 +66,8 @@ def test_dedup_does_not_depend_on_order(spark):
 
 def test_results_of_providers(spark):
     lines = ['{"custom_id":"r1","response":{"status_code":200,"body":{"choices":[{"message":{"content":"{}"}}]}}}', '{"key":"r4","response":{"candidates":[{"content":{"parts":[{"text":"t"}]}}]}}', "not json", '{"custom_id":"r6","result":{"type":"errored"}}']
-    got = [tuple(r.p) for r in spark.createDataFrame([(x,) for x in lines], "v string").select(panel.provider_text("v").alias("p")).collect()]
-    assert got == [("r1", "{}", "200", None), ("r4", "t", None, None), (None, None, None, "json_load_error"), ("r6", None, "errored", "could_not_extract_text")]
+    got = [(r.p.request_id, r.p.text, r.p.status, r.p.error) for r in spark.createDataFrame([(x,) for x in lines], "v string").select(panel.provider_text("v").alias("p")).collect()]
+    assert got == [("r1", "{}", "200", None), ("r4", "t", "succeeded", None), (None, None, "json_load_error", "json_load_error"), ("r6", None, "errored", "could_not_extract_text")]
     obj = spark.createDataFrame([('x {"a": 1} {"b": 2}',), ("{bad",), (None,)], "v string").select(panel.first_json_object("v").alias("o"))
     assert [r.o for r in obj.collect()] == ['{"a": 1}', None, None]
 
@@ -75,11 +75,18 @@ def test_results_of_providers(spark):
 def test_scoped_write_clears_stale_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("q", 1, "c")], "run_id string, channel_hash_bucket int, v string")
-    sinks.write_scoped(rows, path, "r", (0, 1), full=True)
-    sinks.write_scoped(rows.filter("v = 'a'"), path, "r", (0, 1), full=False)
-    assert sorted(r.v for r in spark.read.parquet(path).collect()) == ["a", "c"]
+    with pytest.raises(ValueError, match="rows outside"):
+        sinks.write_scoped(rows, path, "r", (0, 1), full=True)
+    with pytest.raises(ValueError, match="rows outside"):
+        sinks.write_scoped(rows.filter("run_id = 'r'"), path, "r", (0, 0), full=True)
+    sinks.write_scoped(rows.filter("run_id = 'q'"), path, "q", (0, 1), full=True)
+    sinks.write_scoped(rows.filter("run_id = 'r'"), path, "r", (0, 1), full=True)
+    sinks.write_scoped(spark.read.parquet(path).filter("v = 'a'"), path, "r", (0, 1), full=False)
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == ["a", "c"] and [p.name for p in tmp_path.iterdir()] == ["t"]
     with pytest.raises(ValueError, match="columns differ"):
         sinks.write_scoped(rows.withColumn("w", F.lit(1)), path, "r", (0, 1), full=False)
+    sinks.clear_scope(spark, path, "q", (1, 1))
+    assert [r.v for r in spark.read.parquet(path).collect()] == ["a"]
     cfg = Config(run_id="r", buckets=2, bucket_end=1)
     df = rows.withColumn("inference_hash_buckets", F.lit(2))
     assert tables.current_run(df, cfg).count() == 2
@@ -100,10 +107,10 @@ def rows_of(columns, rows):
     return sorted((tuple(r[k] for k in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["segment_metrics", "channel_votes", "consensus_labels", "final_channels", "validation_strata", "ablation_churn", "panel_verdict", "per_class_f1", "request_fanout", "cohort_band_sample", "result_parse", "dedup_latest"])
+@pytest.mark.parametrize("name", ["segment_metrics", "channel_votes", "consensus_labels", "final_channels", "validation_strata", "ablation_summary", "panel_verdict", "panel_prompts", "consensus_rules", "cohort_results", "run_modes", "evaluation", "imported_results", "request_files", "scoped_overwrite", "run_overwrite", "distributed_model", "per_class_f1", "request_fanout", "cohort_band_sample", "result_parse", "dedup_latest"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "customer", "orders", "events"):
+    for t in ("documents", "customer", "orders", "events", "nation", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.sql(ORACLE_SQL[name])
     df = QUERIES[name](spark, SF)
@@ -114,3 +121,95 @@ def test_queries_match_sql(spark, name):
 def test_native_operators_run_no_python(spark):
     plan = QUERIES["final_channels"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_language_predictions(spark):
+    rows = [
+        ('{"primary_language_label": "hin_Latn", "status": "classified", "is_romanized": "Yes", "is_mixed_language": 0, "mixed_languages": ["a", " "], "confidence": "high"}', ("hin_Latn", "hin", "Latn", "classified", True, False, ["a"], "high", None)),
+        ('{"primary_language_label": "eng", "primary_language_iso639_3": "fra", "primary_language_script": "Latn", "mixed_languages": " b ", "is_romanized": "?"}', ("eng", "fra", "Latn", None, None, None, ["b"], None, None)),
+        ("{}", (None, None, None, None, None, None, [], None, None)), (None, (None, None, None, None, None, None, [], None, "no_json_object")),
+    ]
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(rows)], "k int, o string").select("k", panel.language_prediction("o").alias("p")).orderBy("k")
+    names = ("label", "iso639_3", "script", "status", "is_romanized", "is_mixed", "mixed_languages", "confidence", "parse_error")
+    assert [tuple(r.p[n] for n in names) for r in df.collect()] == [w for _, w in rows]
+
+
+@pytest.mark.parametrize(("iso", "status", "result", "want"), [("eng", "Classified", "200", True), (None, "classified", "200", False), ("eng", "unsure", "200", False), ("eng", "classified", "429", False), ("eng", "classified", "Rate_Limited", False), ("eng", "classified", None, True)])
+def test_valid_votes(spark, iso, status, result, want):
+    df = spark.createDataFrame([(iso, status, result)], "i string, s string, r string").withColumn("n", F.lit(None).cast("string"))
+    assert df.select(panel.valid_vote(F.col("i"), F.col("s"), F.col("n"), F.col("n"), F.col("r")).alias("v")).first().v is want
+
+
+def test_modes_and_gates(spark):
+    df = spark.createDataFrame([("c", "s", "text")], "channel_id string, segment_id string, text string")
+    assert predictions.second_universe(df, "disabled") is None and predictions.second_universe(df, "all_valid_segments") is df
+    for call, match in ((lambda: predictions.second_universe(df, "other"), "unknown mode"), (lambda: predictions.second_universe(df, "audit_segments"), "needs the predictions"), (lambda: predictions.native_audit(df, 0, allow_full=False, seed=1), "allow that"), (lambda: category.chosen(df, "x", 1, 1, "s"), "unknown run mode"), (lambda: cohort.run_cohorts(df, ["a", "a"], None), "repeat"), (lambda: cohort.union_all([]), "no frame")):
+        with pytest.raises(ValueError, match=match):
+            call()
+
+
+def test_models_are_found_fetched_and_sent(spark, tmp_path):
+    path = tmp_path / "m" / "model.json"
+    with pytest.raises(FileNotFoundError):
+        models.ensure_model(str(path), ["x"])
+    tried = []
+
+    def fetch(name, folder):
+        tried.append(name)
+        if name != "model.bin":
+            raise OSError(name)
+        (tmp_path / "m" / name).write_text('{"eng_Latn": ["the"]}')
+        return str(tmp_path / "m" / name)
+
+    assert models.ensure_model(str(path), ["a", "", "b", "a"], fetch) == str(path) and tried == ["a", "b", "model.bin"]
+    assert models.ensure_model(str(path), ["a"], None) == str(path)
+    with pytest.raises(RuntimeError, match="no usable model"):
+        models.ensure_model(str(tmp_path / "n"), ["a"], lambda n, f: (_ for _ in ()).throw(OSError(n)))
+    told = models.distribute(spark, str(path))
+    assert models.WordListFile(told).predict(["the cat", ""], 2) == [[("eng_Latn", 1.0)], []] and models.distribute(spark, str(path), "direct") == str(path)
+
+
+def test_tables_and_fixtures(spark, tmp_path):
+    (tmp_path / "f.json").write_text('[{"a": 1, "b": "x"}]')
+    (tmp_path / "f.csv").write_text("a,b\n1,x\n")
+    assert tables.read_fixture(spark, str(tmp_path / "f.json")).collect()[0].a == 1 and tables.read_fixture(spark, str(tmp_path / "f.csv")).collect()[0].a == "1"
+    schema = spark.createDataFrame([], "a int").schema
+    assert tables.read_optional(spark, str(tmp_path / "none"), schema).count() == 0
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        tables.read_optional(spark, str(tmp_path / "bad.parquet"), schema).count()
+    sinks.write_run(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "t"), "r")
+    with pytest.raises(ValueError, match="dealt by"):
+        sinks.write_run(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "t"), "r", "a")
+
+    class Broken:
+        def submit(self, provider, model, path):
+            raise OSError("refused")
+
+    files = spark.createDataFrame([("p", "m", 0, "x")], "provider string, model string, chunk_id int, path string")
+    assert [(r.status, r.error) for r in sinks.submit(files, Broken(), "r").collect()] == [("error", "OSError('refused')")]
+
+
+def test_hash_tells_rows_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "-"), ("-", None), ("<null>", "-")], "x string, y string")
+    assert df.select(dedup.row_hash(df).alias("h")).distinct().count() == 5
+
+
+def test_parity_shows_what_is_missing(spark):
+    valid = spark.createDataFrame([("c", "s1"), ("c", "s2"), ("d", "s3")], "channel_id string, segment_id string")
+    seen = spark.createDataFrame([("c", "s1", "a"), ("d", "s3", "a"), ("e", "s4", "a")], "channel_id string, segment_id string, lid_model string")
+    got = sorted(map(tuple, qa.checksum_parity(valid, seen, F.col("channel_id"), "a").collect()))
+    assert got == [("c", 2, 1, False), ("d", 1, 1, True), ("e", 0, 1, False)]
+    r = qa.universe_parity(valid.select("segment_id"), seen, ["a"]).first()
+    assert (r.matched, r.missing, r.unexpected, r.checksum_equal) == (2, 1, 1, False)
+
+
+def test_streamed_segments(spark, tmp_path):
+    from glossaria.streaming.segments import stream_predictions
+
+    spark.createDataFrame([("c", "v", "the cat and the dog sat on the mat of the old house by the sea")], "channel_id string, video_id string, title string").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("channel_id string, video_id string, title string").json(str(tmp_path / "in"))
+    out = stream_predictions(stream, "channel_id", "video_id", {"video_title": "title"}, {"eng_Latn": ["the", "and"]}, Config())
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.predictions[0].label_raw for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["eng_Latn"]
