@@ -1,14 +1,11 @@
-"""Helpers shared by the operators: shared scratch tables, code shipping, batch slicing."""
+"""Helpers shared by the operators: bounded broadcasts, code shipping, batch slicing."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import hashlib
 import math
 import os
 import tempfile
-import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -17,10 +14,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossaria.sources.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "ascii_lower", "ascii_words", "bounded_broadcast", "map_batches", "record", "shared_dir", "sha256_joined", "ship", "sliced", "slices", "spread", "text_bytes", "words_of"]
+
 #: Rows up to which an (id, number...) table is broadcast after its rows have been counted.
 BROADCAST_ROWS = 300_000
 #: Bytes of its strings up to which that is done.
@@ -32,21 +32,6 @@ _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir() was given.
-
-    Where neither is set, a local master gets a folder of its own; on a cluster no executor could read that, so it raises.
-    """
-    sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if told:
-        return told
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="glossaria-"))
-    return sc.getCheckpointDir()
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once for each context."""
     sc = spark.sparkContext
@@ -63,45 +48,6 @@ def ship(spark: SparkSession) -> None:
     _shipped[sc] = to
 
 
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage, so that a lost executor costs a rescan and no recomputation.
-
-    ``keep()`` at the end of an operator removes all tables but those that its result still reads; these go when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.top, self.open = spark, f"{shared_dir(spark)}/glossaria-{uuid.uuid4().hex}", set()
-        atexit.register(_remove, weakref.ref(spark), self.top)
-
-    def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.top}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.open.add(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = path  # noqa: SLF001
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for path in {t._scratch for t in tables} & self.open:
-            _remove(weakref.ref(self.spark), path)
-            self.open.remove(path)
-
-    def keep(self, *tables: DataFrame) -> None:
-        for path in self.open - {t._scratch for t in tables}:
-            _remove(weakref.ref(self.spark), path)
-            self.open.remove(path)
-
-
-def _remove(session: weakref.ref, path: str) -> None:
-    """Delete a path of the shared folder, unless the session has ended."""
-    spark = session()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    with contextlib.suppress(OSError, Py4JError):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def spread(spark: SparkSession, rows: int, least: int = 8_000, most: int = 250_000) -> int:
     """A number of partitions for so many short rows: two for each core, unless they had more than ``most`` or less than ``least`` rows."""
     return max(1, math.ceil(rows / most), min(math.ceil(rows / least), 2 * spark.sparkContext.defaultParallelism))

@@ -74,7 +74,8 @@ def left_over_blocks(members: DataFrame, size: int) -> DataFrame:
     """Groups (key, i, j) of at most about twice ``size`` in which whatever lies outside its key's largest component meets all
     members of the key whose band differs by one at most; members of one component only form no group.
 
-    members: (key, node, comp, weight, band, ...); the other columns stay. ``own`` tells a group's two blocks apart.
+    members: (key, node, comp, weight, band, ...); the other columns stay. ``own`` tells a group's two blocks apart, and ``based`` the
+    members of the largest component.
     """
     comps = members.groupBy("key", "comp").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("w", "comp"))["comp"].alias("base"), F.count("*").alias("comps"))
     opened = members.join(comps.filter("comps > 1").select("key", "base"), "key").withColumn("based", F.col("comp") == F.col("base"))
@@ -90,4 +91,4 @@ def left_over_blocks(members: DataFrame, size: int) -> DataFrame:
 
     others = F.flatten(F.transform(F.filter("blocks", meets), lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["parts"] - 1), lambda p: name(b["band"], b["based"], p))))
     told = told.withColumn("other", F.explode(others))
-    return told.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other", "base", "based")
+    return told.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other", "base")

@@ -33,8 +33,8 @@ NEXT = 8
 LEFT = 8
 #: Chance that two items at the threshold meet in one of a crowded region's longer prefixes.
 MEET = 0.9
-#: Rows that a task compares at a time.
-CHUNK = 20_000
+#: Rows that a task reads at a time, and rows of a region that are compared all at once.
+CHUNK, SQUARE = 20_000, 96
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("look", pa.binary())])
@@ -163,6 +163,19 @@ def spanning(look: np.ndarray, near: Callable, label: np.ndarray | None = None,
             size[parts[0]] = total
 
 
+def _square(look: np.ndarray, near: Callable, label: np.ndarray) -> np.ndarray:
+    """As spanning(), for few rows: all pairs in one comparison, then the smallest row of each component."""
+    n = len(look)
+    met = near(look[:, None, :], look[None, :, :]) | (label[:, None] == label[None, :])
+    root = np.arange(n)
+    while True:
+        new = np.where(met, root[None, :], n).min(axis=1)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _looks(t: pa.Table, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("look").to_pylist()), dtype=np.uint8).reshape(t.num_rows, width)
 
@@ -190,7 +203,10 @@ def region_stars(look: np.ndarray, starts: np.ndarray, near: Callable, comp: np.
             for x, y in zip(back[1:][linked[s : e - 1]].tolist(), back[:-1][linked[s : e - 1]].tolist(), strict=True):
                 sets.join(x, y)
             label = sets.roots()[back]
-        head[s:e] = s + spanning(look[s:e], near, label, None if own is None or len(set(own[s:e].tolist())) == 1 else own[s:e])
+        if e - s <= SQUARE:
+            head[s:e] = s + _square(look[s:e], near, label)
+        else:
+            head[s:e] = s + spanning(look[s:e], near, label, None if own is None or len(set(own[s:e].tolist())) == 1 else own[s:e])
     return head
 
 
@@ -298,7 +314,7 @@ def _open(named: DataFrame) -> DataFrame:
     return named.join(named.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("key"), "key", "left_semi")
 
 
-def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0, most: int = 2048) -> DataFrame:
+def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0, most: int = 512) -> DataFrame:
     """Links (a, b) that join whatever items share a region and look alike, at every size of a region.
 
     items: (node, keys array<long>, look binary). A key holds the number of its order and what its prefix begins with. In
