@@ -7,9 +7,11 @@ the second rarest, moved likewise, is intersected with them; what is left is int
 Every join with postings has the document in its key, so that neither a common term nor a passage that a third of
 the documents share gathers in one task.
 
-Defined results: null and empty texts have no words; benchmark rows without words match nothing; rows that repeat a
-doc_id are judged each by its own text and each returned; an item whose id is null counts under the empty string;
-columns other than doc_id and text (item_id and text) are ignored, so that clashing names do no harm.
+Defined results: null and empty texts have no words; a very long text has as many postings as words that the benchmark has;
+benchmark rows without words match nothing; of terms that tie in rarity the first by name and place counts as rarer; rows that
+repeat a doc_id are judged each by its own text and each returned (a document is known by a 64-bit hash of id and text); an item
+whose id is null counts under the empty string; columns other than doc_id and text (item_id and text) are ignored, so that clashing
+names do no harm; an empty table gives an empty result, and with an empty benchmark nothing matches.
 """
 
 from __future__ import annotations
@@ -110,6 +112,7 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, win
     named = exact.select("doc", "win").distinct().join(items, "win").select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
     nears = near.join(items, "win").select("doc", "item").distinct().groupBy("doc").agg(F.count("*").alias("n_near_items"))
     report = scratch.table(words.join(named, "doc", "full").join(nears, "doc", "full"))
+    scratch.keep(index, report)
     return index, report
 
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import bounded_broadcast, map_batches, record, sliced, slices
@@ -196,6 +196,11 @@ def held_out(doc_id: str = "doc_id"):  # noqa: ANN201
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def drawn_share(n: Column, each: int) -> Column:
+    """The share of n hash values that holds the ``each`` smallest ones, with room to spare; the rest need not be sorted."""
+    return F.lit(4.0 * each + 100) / n
+
+
 def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
     """Train on the labelled documents that are not held out: of each language the same number, by smallest hash of the id.
 
@@ -208,8 +213,7 @@ def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
         return None
     each = max(math.ceil(rows / languages), LEAST_ROWS)
     draw = F.xxhash64(F.col("doc_id"), F.lit("learn"))
-    # what has a hash below a share with room to spare holds the smallest ones; the rest need not be sorted
-    some = known.join(bounded_broadcast(counts), "lang").filter(draw.cast("double") / 2.0**64 + 0.5 <= (4 * each + 100) / F.col("n"))
+    some = known.join(bounded_broadcast(counts), "lang").filter(draw.cast("double") / 2.0**64 + 0.5 <= drawn_share(F.col("n"), each))
     part = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))).filter(F.col("rank") <= each)
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("stretch")), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
     got = part.orderBy(draw, "text", "lang").select(F.substring("text", at, F.lit(STRETCH)).alias("text"), "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(8)) == 0).alias("aside")).collect()

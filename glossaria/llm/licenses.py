@@ -9,8 +9,11 @@ longest blocks are counted exactly for the template; the filters drop no block t
 
 Beside that, places of fixed phrases are found in the words of the whole text.
 
-Defined results: null and empty texts have no words; rows that repeat a doc_id are each judged by their text; other columns
-are ignored.
+Templates are few, a parameter: they go to every task, and the join runs there, text by text.
+
+Defined results: null and empty texts have no words; a very long text is judged as a whole, in time that grows with its words times
+the templates that pass its filters; of tokens that tie in frequency the first by name counts as rarer; rows that repeat a doc_id are
+each judged by their text; other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

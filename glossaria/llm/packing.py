@@ -6,7 +6,8 @@ starts as a partition of its own; the two partitions with the largest difference
 window are merged, the fullest windows of one with the emptiest of the other, until one is left. Its windows are nearly
 equal. If one exceeds the capacity, the number of windows rises and the group is divided again.
 
-Defined results: null and empty texts have only the end id; every row is packed, those that repeat a doc_id too, each as a
+Defined results: null and empty texts have only the end id; a very long text is one task's work and gives full sequences but for
+its rest; pieces of one length tie by their place; every row is packed, those that repeat a doc_id too, each as a
 document of its own; a null doc_id stays null; other columns are ignored; an empty table gives no pieces.
 """
 

@@ -572,3 +572,9 @@ def test_many_languages_and_long_texts_are_learned(spark):
     rows = [(4 * i + k, f"word{i} again " * (1 if k else 2000), f"l{i:03}") for i in range(300) for k in range(4)]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.labels) == 300
+
+
+def test_huge_languages_are_drawn_from(spark):
+    for n in (1, 10**4, 10**10, 10**13):
+        share = spark.range(1).select(langid.drawn_share(langid.F.lit(n), 1000)).first()[0]
+        assert share * n >= 4000 and share > 0
