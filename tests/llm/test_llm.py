@@ -367,18 +367,44 @@ def test_rendering_never_fails(source):
     html.render(source)
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline_equals_brute_force(spark):
+    """Each stage but the first against brute force on what the first has kept; that one has to keep every labelled text."""
     import corpus_pipeline
 
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secret_redaction", "packing"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    kept = near_dedup.near_duplicates(spark, d).filter("kept").select("doc_id")
-    clean = decontaminate.decontaminate(spark, d.join(kept, "doc_id"), bench).filter("not contaminated")
-    assert {r.doc_id for r in out} == {r.doc_id for r in clean.collect()}
-    total = sum(len(tokens.token_ids(secrets.redact(r.text))) + 1 for r in d.join(clean.select("doc_id"), "doc_id").collect())
-    assert sum(r.length for r in out) == total
+    kept = {r.doc_id: r.text for r in corpus_pipeline.language(spark, d, sf).collect()}
+    assert set(kept) >= {r.doc_id for r in d.filter("lang is not null").collect() if len(re.findall("[a-z]{3,}", low(r.text))) > 5}
+    sets = {i: shingles(t) for i, t in kept.items()}
+    comp = {i: i for i in kept}
+    links = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    for _ in links:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    clean = {}
+    for i, t in kept.items():
+        w = words(t)
+        if comp[i] == i and not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1)):
+            clean[i] = t
+    assert 0 < len(clean) < len(kept)
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in out} == set(clean)
+    strong = [r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"]
+    lengths, seen = {r.doc_id: r.doc_tokens for r in out}, 0
+    for i, t in clean.items():
+        new = secrets.redact(t)
+        assert not any(re.search(x, new, re.ASCII | (re.IGNORECASE if k == 0 else 0)) for k, x in enumerate(strong))
+        if not any(re.search(x, t, re.ASCII | (re.IGNORECASE if k == 0 else 0)) for k, x in enumerate(strong)) and "://" not in t and "@" not in t:
+            assert new == t
+            seen += 1
+        assert lengths[i] == len(tokens.tokenizer().encode(new, add_special_tokens=False).ids) + 1
+    assert seen > 10 and sum(r.length for r in out) == sum(lengths.values())
 
 
 def test_crowded_regions_keep_their_recall(spark, monkeypatch):
