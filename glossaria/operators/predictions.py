@@ -101,3 +101,10 @@ def native_audit(valid: DataFrame, fraction: float, allow_full: bool, seed: int)
     if full and not allow_full:
         raise ValueError("the audit would read all valid segments: allow that, or give a fraction between 0 and 1")
     return (valid if full else valid.sample(withReplacement=False, fraction=fraction, seed=seed)).withColumn("clean_text_native", X.clean_native("text"))
+
+
+def long_sample(long: DataFrame, run_id: str, fraction: float, strategy: str = "xxhash64") -> DataFrame:
+    """A share of the long predictions, all ranks of a segment and model or none, by a hash of segment, run and model."""
+    parts = [F.col("segment_id"), F.lit(run_id), F.col("lid_model")]
+    draw = F.xxhash64(*parts) if strategy == "xxhash64" else F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    return long.filter(F.pmod(draw, F.lit(1_000_000)) < int(fraction * 1_000_000))

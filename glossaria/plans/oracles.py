@@ -319,6 +319,8 @@ ORACLE_SQL: dict[str, str] = {
     "verdict_coverage": "SELECT 'one_verdict_per_routed_channel' AS \"check\", true AS ok",
     "smoke_channels": _with("SELECT channel_id, count(*) AS videos FROM vid WHERE channel_id IN (SELECT channel_id FROM uni ORDER BY md5(channel_id), channel_id LIMIT 50) GROUP BY channel_id", "uni"),
     "bucket_filter": _with(f"SELECT channel_hash_bucket, count(*) AS videos, count(DISTINCT channel_id) AS channels FROM (SELECT channel_id, {_bucket(64)} AS channel_hash_bucket FROM vid) WHERE channel_hash_bucket <= 15 GROUP BY channel_hash_bucket", "uni"),
+    "long_sample": _with("SELECT segment_id, lid_model, prediction_rank, label FROM lng WHERE CAST('0x' || substr(md5(concat_ws('|', segment_id, 'default', lid_model)), 1, 8) AS BIGINT) % 1000000 < 300000", "lng"),
+    "fixture_rows": "SELECT kind, channel_id, subscribers FROM (VALUES ('json'), ('csv')) k(kind), (VALUES ('a', 1234::BIGINT), ('b', 1200000), ('c', NULL)) t(channel_id, subscribers)",
     "distributed_model": _with("SELECT segment_id, prediction_rank, label, iso639_3, script, score FROM lng WHERE lid_model = 'a'", "lng"),
     "audit_universe": _with(f"SELECT segment_id, segment_type FROM met WHERE is_valid AND segment_id IN (SELECT segment_id FROM lng WHERE lid_model = 'a' AND coalesce(prediction_rank, 1) = 1 AND (label IS NULL OR score < 0.5 OR label IN {_in(HIGH_RISK_LABELS)}))", "lng"),
     "native_clean": _with(rf"SELECT segment_id, regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(13) || chr(10), '  '), '{_URL}', ' ', 'g'), '\s\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean_text_native FROM met WHERE is_valid", "met"),

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.config import Config
+from glossaria.config import Config, plan_partitions
 from glossaria.constants import CATEGORIES
 from glossaria.functions import text as X
 from glossaria.operators import ablation, category, channels, cohort, consensus, dedup, diagnostics, mixed, panel, predictions, qa, segments, votes
@@ -149,9 +149,9 @@ def smoke_channels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bucket_filter(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = Config(buckets=64, bucket_start=0, bucket_end=15).check()
-    some = segments.in_buckets(videos(spark, sf), "channel_id", cfg, "md5").withColumn("channel_hash_bucket", segments.bucket("channel_id", cfg.buckets, "md5"))
-    return segments.by_bucket(some, cfg, 8).groupBy("channel_hash_bucket").agg(F.count("*").alias("videos"), F.countDistinct("channel_id").alias("channels"))
+    cfg = Config(buckets=64, bucket_start=0, bucket_end=15, segments_per_partition=20, min_partitions=2, max_partitions=100).check()
+    some = segments.in_buckets(videos(spark, sf), "channel_id", cfg, "md5").withColumns({"channel_hash_bucket": segments.bucket("channel_id", cfg.buckets, "md5"), "segment_id": F.col("video_id")})
+    return segments.by_bucket(some, cfg, plan_partitions(some.count(), cfg)).groupBy("channel_hash_bucket").agg(F.count("*").alias("videos"), F.countDistinct("channel_id").alias("channels"))
 
 
 @query
@@ -159,6 +159,11 @@ def topk_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return Evidence(spark, sf).long.drop("score_1", "clean_letter_count", "dominant_script")
 
 
+@query
+def long_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return predictions.long_sample(Evidence(spark, sf).long, "default", 0.3, "md5").select("segment_id", "lid_model", "prediction_rank", "label")
+
+
 @query
 def distributed_model(spark: SparkSession, sf: str) -> DataFrame:
     """The word lists of model a as a file that is sent to the executors; read by the Python path for any model."""
@@ -748,3 +753,16 @@ def found_tables(spark: SparkSession, sf: str) -> DataFrame:
     key, text = (first_existing_column(df, CANDIDATES[c]) for c in ("video_id", "video_description"))
     none = tables.read_optional(spark, path + "-none", df.schema)
     return spark.table("glossaria_found").select(F.col(key).alias("key"), F.length(text).alias("chars"), "run_id").union(none.select("ID", F.length("Caption"), F.lit("none")))
+
+
+@query
+def fixture_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed rows as JSON and as CSV, where all values are text."""
+    rows = [{"channel_id": c, "follower_count": n} for c, n in (("a", "1,234"), ("b", "1.2M"), ("c", "abc"))]
+    folder = tempfile.mkdtemp(prefix="glossaria-fixture-")
+    with open(f"{folder}/f.json", "w", encoding="utf-8") as f:
+        json.dump(rows, f)
+    with open(f"{folder}/f.csv", "w", encoding="utf-8") as f:
+        f.write("channel_id,follower_count\n" + "".join(f'{r["channel_id"]},"{r["follower_count"]}"\n' for r in rows))
+    read = lambda kind: tables.read_fixture(spark, f"{folder}/f.{kind}").select(F.lit(kind).alias("kind"), "channel_id", X.subscribers("follower_count").alias("subscribers"))
+    return read("json").union(read("csv"))
