@@ -76,6 +76,10 @@ def prompt_lines(videos: DataFrame, n: int, title_chars: int, cap: int) -> DataF
     return top.groupBy("channel_id").agg(F.substring(F.array_join(F.transform(lines, lambda s: s["line"]), "\n"), 1, cap).alias("prompt"), F.count("*").alias("n_videos"))
 
 
+#: Rows up to which a table of models is broadcast.
+MODELS = 1000
+
+
 def request_id(run_id: str, form: str = "hash") -> Column:
     """The id of a request: a hash of run, provider, model and channel, or these in plain text."""
     parts = [F.lit(run_id), F.col("provider"), F.col("model"), F.col("channel_id")]
@@ -87,9 +91,10 @@ def request_id(run_id: str, form: str = "hash") -> Column:
 def fan_out(inputs: DataFrame, models: DataFrame, run_id: str, chunk: int, form: str = "hash") -> DataFrame:
     """A request for each input and model: its id and a chunk of at most ``chunk`` requests of one provider and model.
 
-    models: a parameter of a few rows, which Spark broadcasts by its size.
+    models are broadcast if there are at most MODELS of them.
     """
-    df = inputs.crossJoin(models).withColumn("request_id", request_id(run_id, form))
+    small = F.broadcast(models) if models.limit(MODELS + 1).count() <= MODELS else models
+    df = inputs.crossJoin(small).withColumn("request_id", request_id(run_id, form))
     return numbered_chunks(df, ["provider", "model"], "request_id", F.substring("request_id", 1, 5) if form == "hash" else F.substring("channel_id", 1, 4), chunk)
 
 
