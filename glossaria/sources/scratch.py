@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import tempfile
 import uuid
-import weakref
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,12 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage, so that a lost executor costs a rescan and no recomputation.
 
-    ``keep()`` at the end of an operator removes all tables but those that its result still reads; these go when the driver ends.
+    ``keep()`` at the end of an operator removes all tables but those that its result still reads; these go when the driver's JVM
+    ends, whether its session has been stopped before or not.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top, self.open = spark, f"{shared_dir(spark)}/glossaria-{uuid.uuid4().hex}", set()
-        atexit.register(_remove, weakref.ref(spark), self.top)
+        fs, at = _fs(spark, self.top)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def path(self) -> str:
         """A new path for a table."""
@@ -51,20 +50,19 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for path in {t._scratch for t in tables} & self.open:
-            _remove(weakref.ref(self.spark), path)
+            self._remove(path)
             self.open.remove(path)
 
     def keep(self, *tables: DataFrame) -> None:
         for path in self.open - {t._scratch for t in tables}:
-            _remove(weakref.ref(self.spark), path)
+            self._remove(path)
             self.open.remove(path)
 
+    def _remove(self, path: str) -> None:
+        fs, at = _fs(self.spark, path)
+        fs.delete(at, True)
 
-def _remove(session: weakref.ref, path: str) -> None:
-    """Delete a path of the shared folder, unless the session has ended."""
-    spark = session()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    with contextlib.suppress(OSError, Py4JError):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
