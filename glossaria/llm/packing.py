@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import Scratch, map_batches, record, sliced
+from glossaria.llm.common import Scratch, map_batches, record, sliced, spread
 from glossaria.llm.regions import groups
 from glossaria.llm.tokens import BPE, token_ids
 
@@ -132,4 +132,4 @@ def pack_documents(spark: SparkSession, documents: DataFrame, name: str = BPE, c
 
         return run
 
-    return map_batches(dealt.repartition("grp").sortWithinPartitions("grp", "row", "start"), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_batches(dealt.repartition(spread(spark, n, 4, 512), "grp").sortWithinPartitions("grp", "row", "start"), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
