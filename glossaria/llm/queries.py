@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossaria.llm import decontaminate, embedding_dedup, filter_audit, html, langid, licenses, near_dedup, packing, periodic, secrets, tokens, urls
+from glossaria.llm import decontaminate, embedding_dedup, filter_audit, html, langid, licenses, near_dedup, packing, periodic, secrets, tokens, toxicity, urls
 from glossaria.llm.oracles import ORACLE_SQL
 
 
@@ -59,6 +59,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(periodic.find_runs(_table(spark, sf_dir, "documents"), replant=True))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.learn(documents, _table(spark, sf_dir, "labels")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_benchmark_decontamination, op3_language_id, op4_token_counts, op5_license_scan,
-        op6_minhash_near_dedup, op7_packing, op8_secret_scan, op9_embedding_near_dedup, op10_url_filter, op11_periodic_runs, op13_filter_audit, pipeline,
+        op6_minhash_near_dedup, op7_packing, op8_secret_scan, op9_embedding_near_dedup, op10_url_filter, op11_periodic_runs, op12_toxicity, op13_filter_audit, pipeline,
     )
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
