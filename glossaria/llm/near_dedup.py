@@ -254,13 +254,36 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """documents with one row for each group of near duplicates; rows without a doc_id stay."""
-    gone = near_duplicates(spark, documents).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = documents.join(bounded_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+def told_apart(documents: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """documents with _node: the doc_id, but a number of its own for each (doc_id, text) of a doc_id that several rows have;
+    None if no doc_id is repeated. The numbers lie above all doc_ids."""
     again = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
     if again.isEmpty():
-        return left
-    many = bounded_broadcast(again)
-    once = left.join(many, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.union(left.join(many, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+        return None
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    above = documents.agg(F.max(F.col("doc_id").cast("long"))).first()[0] + 1
+    many = documents.join(bounded_broadcast(again), F.col("doc_id") == F.col("_again"), "left_semi").select(F.col("doc_id").alias("_again"), digest.alias("_digest")).distinct()
+    named = scratch.table(many.withColumn("_new", F.monotonically_increasing_id() + above))
+    at = (F.col("doc_id") == F.col("_again")) & (digest == F.col("_digest"))
+    return documents.join(bounded_broadcast(named), at, "left").withColumn("_node", F.coalesce("_new", F.col("doc_id").cast("long"))).drop("_again", "_digest", "_new")
+
+
+def drop_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """documents with one row for each group of near duplicates: that of the smallest doc_id.
+
+    Texts decide, not ids: rows that share a doc_id are near duplicates only if their texts are. Of rows with equal doc_id and
+    text the least by all columns stays. Rows without a doc_id stay, as do texts without words, which are like nothing.
+    """
+    scratch = Scratch(spark)
+    apart = told_apart(documents, scratch)
+    if apart is None:
+        gone = near_duplicates(spark, documents).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+        return documents.join(bounded_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = scratch.table(apart)
+    groups = near_duplicates(spark, rows.withColumn("doc_id", F.col("_node"))).filter("doc_id is not null").select(F.col("doc_id").alias("_node"), "component_id")
+    ids = rows.filter("_node is not null").groupBy("_node").agg(F.min("doc_id").alias("_id"))
+    first = groups.distinct().join(ids, "_node").groupBy("component_id").agg(F.min(F.struct("_id", "_node")).alias("_first")).select(F.col("_first._node").alias("_kept"))
+    left = rows.join(bounded_broadcast(first), F.col("_node") == F.col("_kept"), "left_semi")
+    unnamed = rows.filter("_node is null").select(*documents.columns)
+    one = left.groupBy("_node").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
+    return one.select(*documents.columns).union(unnamed)
