@@ -52,7 +52,7 @@ def route(compared: DataFrame, fraction: float, seed: str, strategy: str = "xxha
     c, f = F.col, F.lit(False)
     arabic = F.coalesce(c("a_primary_iso").isin(ARABIC_FAMILY_ISO) & c("b_primary_iso").isin(ARABIC_FAMILY_ISO), f)
     if strategy == "xxhash64":
-        draw = F.pmod(F.xxhash64("channel_id", F.lit(seed)), F.lit(1_000_000))
+        draw = F.pmod(F.xxhash64(F.concat_ws("|", "channel_id", F.lit(seed))), F.lit(1_000_000))
     else:
         draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "channel_id", F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(1_000_000))
     tests = [

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions import text as X
+from glossaria.sources.shipping import ship
 
 CARRY = ["channel_id", "segment_id", "segment_type", "clean_letter_count", "dominant_script"]
 
@@ -42,28 +43,68 @@ def word_list_models(segments: DataFrame, models: dict[str, dict[str, list[str]]
     return df.select(*CARRY, F.explode(rows).alias("m")).select(*CARRY, "m.*")
 
 
-def run_model(segments: DataFrame, model: str, load: Callable[[], LanguageModel], k: int) -> DataFrame:
-    """The same for a model that needs Python: loaded once a task; if a batch fails, its rows are tried one by one."""
+def _by_bytes(f: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """A frame in parts of at most ``most`` characters of text each; a longer text stands alone."""
+    at, total = 0, 0
+    for i, n in enumerate(f["clean_text"].str.len().fillna(0).astype(int).tolist()):
+        if total and total + n > most:
+            yield f.iloc[at:i]
+            at, total = i, 0
+        total += n
+    if at < len(f):
+        yield f.iloc[at:]
+
+
+def run_model(segments: DataFrame, model: str, load: Callable[[], LanguageModel], k: int, most: int = 1 << 20) -> DataFrame:
+    """The same for a model that needs Python; if a call fails, its rows are tried one by one.
+
+    load is called once a task: give a models.SharedModel, and the model is loaded once for each worker process. The model sees
+    ``most`` characters of text in a call. A frame of an audit stays marked as such.
+    """
+    ship(segments.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lid = load()
-        for f in frames:
-            texts, errors = f["clean_text"].fillna("").tolist(), [None] * len(f)
-            try:
-                best = lid.predict(texts, k)
-            except Exception:  # noqa: BLE001
-                best = []
-                for i, t in enumerate(texts):
-                    try:
-                        best += lid.predict([t], k)
-                    except Exception as e:  # noqa: BLE001
-                        best.append([])
-                        errors[i] = repr(e)[:500]
-            rows = [[{"prediction_rank": r + 1, "label_raw": a, "score": float(s)} for r, (a, s) in enumerate(p)] if t.strip() else [] for p, t in zip(best, texts, strict=True)]
-            yield f[CARRY].assign(lid_model=model, predictions=rows, lid_error=errors)
+        for whole in frames:
+            for f in _by_bytes(whole, most):
+                texts, errors = f["clean_text"].fillna("").tolist(), [None] * len(f)
+                try:
+                    best = lid.predict(texts, k)
+                except Exception:  # noqa: BLE001
+                    best = []
+                    for i, t in enumerate(texts):
+                        try:
+                            best += lid.predict([t], k)
+                        except Exception as e:  # noqa: BLE001
+                            best.append([])
+                            errors[i] = repr(e)[:500]
+                rows = [[{"prediction_rank": r + 1, "label_raw": a, "score": float(s)} for r, (a, s) in enumerate(p)] if t.strip() else [] for p, t in zip(best, texts, strict=True)]
+                yield f[CARRY].assign(lid_model=model, predictions=rows, lid_error=errors)
 
     schema = "channel_id string, segment_id string, segment_type string, clean_letter_count int, dominant_script string, lid_model string, predictions array<struct<prediction_rank:int,label_raw:string,score:double>>, lid_error string"
-    return segments.select(*CARRY, "clean_text").mapInPandas(run, schema)
+    out = segments.select(*CARRY, "clean_text").mapInPandas(run, schema)
+    return marked(out, o) if (o := origin(segments)) else out
+
+
+#: The key, in the metadata of segment_id, of the audit that a frame comes from.
+ORIGIN = "glossaria_audit"
+
+
+def marked(df: DataFrame, audit: str) -> DataFrame:
+    """df with an audit's name in the metadata of segment_id, where selections, joins and Parquet files keep it."""
+    return df.withMetadata("segment_id", {**df.schema["segment_id"].metadata, ORIGIN: audit})
+
+
+def origin(df: DataFrame) -> str | None:
+    """The audit that a frame comes from, if it does."""
+    return next((f.metadata[ORIGIN] for f in df.schema if f.name == "segment_id" and ORIGIN in f.metadata), None)
+
+
+def main_only(df: DataFrame) -> DataFrame:
+    """df, if it doesn't come from an audit; results of audits must not feed the main tables, so else it raises."""
+    if o := origin(df):
+        raise ValueError(f"rows of the audit {o!r} must not feed the main tables")
+    return df
 
 
 def long(predictions: DataFrame) -> DataFrame:
@@ -80,7 +121,7 @@ def audit_segments(long: DataFrame, model: str, least: float = 0.50) -> DataFram
 
 def second_universe(valid: DataFrame, mode: str, long: DataFrame | None = None, model: str = "a") -> DataFrame | None:
     """What the second model reads: nothing, all valid segments, or those that audit the first model. Only the results on all
-    valid segments may feed the main tables."""
+    valid segments may feed the main tables; the others are marked, and main_only() refuses them."""
     if mode == "disabled":
         return None
     if mode == "all_valid_segments":
@@ -89,7 +130,7 @@ def second_universe(valid: DataFrame, mode: str, long: DataFrame | None = None,
         raise ValueError(f"unknown mode {mode!r}")
     if long is None:
         raise ValueError("audit_segments needs the predictions of the first model")
-    return valid.join(audit_segments(long, model), "segment_id", "left_semi")
+    return marked(valid.join(audit_segments(long, model), "segment_id", "left_semi"), mode)
 
 
 def native_audit(valid: DataFrame, fraction: float, allow_full: bool, seed: int) -> DataFrame:
@@ -100,7 +141,8 @@ def native_audit(valid: DataFrame, fraction: float, allow_full: bool, seed: int)
     full = fraction <= 0 or fraction >= 1
     if full and not allow_full:
         raise ValueError("the audit would read all valid segments: allow that, or give a fraction between 0 and 1")
-    return (valid if full else valid.sample(withReplacement=False, fraction=fraction, seed=seed)).withColumn("clean_text_native", X.clean_native("text"))
+    some = valid if full else valid.sample(withReplacement=False, fraction=fraction, seed=seed)
+    return marked(some.withColumn("clean_text_native", X.clean_native("text")), "native_cleaning")
 
 
 def long_sample(long: DataFrame, run_id: str, fraction: float, strategy: str = "xxhash64") -> DataFrame:

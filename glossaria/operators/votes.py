@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossaria.config import Config
 from glossaria.constants import NOISE_LABEL
 from glossaria.functions import text as X
+from glossaria.operators.predictions import main_only
 
 #: Ratios of doubles are rounded to so many digits; scores and weighted scores are summed as decimals, whose sums don't depend
 #: on the order of addition.
@@ -33,7 +34,7 @@ def admitted(long: DataFrame, first_least: Column, second_least: Column, ratio:
     """Votes: first ranks with enough score, second ranks that also hold up against the first, each with its weight."""
     rank, noise = F.col("prediction_rank"), F.lower("label").rlike(NOISE_LABEL)
     second = seconds & (rank == 2) & (F.col("score") >= second_least) & (F.col("score_1") > 0) & (F.try_divide("score", "score_1") >= ratio)
-    votes = long.filter(F.col("label").isNotNull() & ~noise & ((rank == 1) & (F.col("score") >= first_least) | second))
+    votes = main_only(long).filter(F.col("label").isNotNull() & ~noise & ((rank == 1) & (F.col("score") >= first_least) | second))
     return votes.withColumn("weighted_score", F.col("score") * weight * F.when(rank == 1, 1.0).otherwise(factor))
 
 
@@ -62,15 +63,25 @@ def without_latin_names(votes: DataFrame, least: int = 2, share: float = 0.60) -
 
 
 def channel_votes(votes: DataFrame, by: str = "lid_model") -> DataFrame:
-    """One row for each channel, model and label, ranked by weight, segments, best score, label. by: what tells models apart."""
+    """One row for each channel, model and label, ranked by weight, segments, best score, label. by: what tells models apart.
+
+    Votes are first brought together by segment, so that segments are counted without a distinct count (which would expand every
+    vote); where rows are dealt by channel already, neither step moves them. A segment has one type.
+    """
     top1 = F.col("prediction_rank") == 1
     first = lambda c: F.when(top1, F.col(c))
-    out = votes.groupBy("channel_id", by, "label").agg(
-        F.min("iso639_3").alias("iso639_3"), F.min("script").alias("script"),
-        total(F.col("weighted_score")).alias("weighted_score"), total(first("weighted_score")).alias("top1_weighted_score"),
-        F.countDistinct("segment_id").alias("segment_count"), F.countDistinct(F.when(top1, F.col("segment_id"))).alias("top1_segment_count"), F.countDistinct(F.when(~top1, F.col("segment_id"))).alias("top2_segment_count"),
-        F.count("*").alias("vote_count"), mean(F.col("score")).alias("mean_segment_score"), F.max("score").alias("max_segment_score"),
-        mean(first("score")).alias("top1_mean_score"), F.max(first("score")).alias("top1_max_score"),
+    units = lambda c: F.sum((c * 1_000_000).cast("decimal(18,0)")).cast("long")
+    whole = lambda c: F.sum(c.cast(WEIGHTED))
+    each = votes.groupBy("channel_id", by, "label", "segment_id").agg(
+        F.min("iso639_3").alias("iso639_3"), F.min("script").alias("script"), F.min("segment_type").alias("segment_type"), whole(F.col("weighted_score")).alias("w"), whole(first("weighted_score")).alias("w1"), F.count("*").alias("n"), F.count_if(top1).alias("n1"),
+        units(F.col("score")).alias("u"), F.count("score").alias("c"), F.max("score").alias("m"), units(first("score")).alias("u1"), F.count(first("score")).alias("c1"), F.max(first("score")).alias("m1"),
+    )
+    sums = lambda c: F.sum(F.col(c).cast(WEIGHTED)).cast("double")
+    rounded = lambda u, c: F.when(F.sum(c) > 0, F.call_function("div", 2 * F.sum(u) + F.sum(c), 2 * F.sum(c)) / 1_000_000)
+    out = each.groupBy("channel_id", by, "label").agg(
+        F.min("iso639_3").alias("iso639_3"), F.min("script").alias("script"), sums("w").alias("weighted_score"), sums("w1").alias("top1_weighted_score"),
+        F.count("segment_id").alias("segment_count"), F.count(F.when(F.col("n1") > 0, F.col("segment_id"))).alias("top1_segment_count"), F.count(F.when(F.col("n1") < F.col("n"), F.col("segment_id"))).alias("top2_segment_count"),
+        F.sum("n").alias("vote_count"), rounded("u", "c").alias("mean_segment_score"), F.max("m").alias("max_segment_score"), rounded("u1", "c1").alias("top1_mean_score"), F.max("m1").alias("top1_max_score"),
         F.array_sort(F.collect_set("segment_type")).alias("segment_types"),
     ).withColumn("segment_type_count", F.size("segment_types"))
     order = Window.partitionBy("channel_id", by).orderBy(F.desc("weighted_score"), F.desc("segment_count"), F.desc("max_segment_score"), F.asc("label"))
@@ -104,5 +115,6 @@ def channel_summary(votes: DataFrame, valid: DataFrame) -> DataFrame:
     votes: of channel_votes(); valid: valid segments crossed with the models that saw them (channel_id, lid_model, segment_id,
     segment_type, clean_letter_count).
     """
-    totals = valid.groupBy("channel_id", "lid_model").agg(F.countDistinct("segment_id").alias("valid_segment_count"), F.countDistinct("segment_type").alias("valid_type_count"), F.sum("clean_letter_count").alias("total_letters"))
+    each = main_only(valid).groupBy("channel_id", "lid_model", "segment_id").agg(F.min("segment_type").alias("kind"), F.sum("clean_letter_count").alias("letters"))
+    totals = each.groupBy("channel_id", "lid_model").agg(F.count("segment_id").alias("valid_segment_count"), F.size(F.collect_set("kind")).cast("long").alias("valid_type_count"), F.sum("letters").alias("total_letters"))
     return totals.join(ranks_in_columns(votes), ["channel_id", "lid_model"], "left")

@@ -20,7 +20,7 @@ from glossaria.functions import text as X
 from glossaria.operators import ablation, category, channels, cohort, consensus, dedup, diagnostics, mixed, panel, predictions, qa, segments, votes
 from glossaria.schema import CANDIDATES, first_existing_column
 from glossaria.sources import models, sinks, tables
-from glossaria.sources.scratch import Scratch
+from glossaria.sources.scratch import Scratch, some_keys_suffice
 
 CFG = Config()
 WORDS_A = {"eng_Latn": ["the", "and", "of", "on"], "fra_Latn": ["que", "des", "les", "qui", "dans"], "deu_Latn": ["der", "die", "und", "von", "mit"], "spa_Latn": ["los", "el", "una", "y"]}
@@ -67,7 +67,12 @@ def parts(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFram
 
 
 class Evidence:
-    """The frames of a query, of all channels or of some. Segments with their metrics and predictions are written once."""
+    """The frames of a query, of all channels or of some.
+
+    Segments with their metrics are written once. Predictions, which are short, are written once in buckets by channel, as are the
+    universe, features, decisions and audit, which come out of aggregates by channel: whatever is joined or grouped by channel
+    after that moves no row.
+    """
 
     def __init__(self, spark: SparkSession, sf: str, of: DataFrame | None = None) -> None:
         self.spark, self.sf, self.of = spark, sf, of
@@ -76,7 +81,7 @@ class Evidence:
     @cached_property
     def universe(self) -> DataFrame:
         u = universe(self.spark, self.sf)
-        return u if self.of is None else segments.of_channels(u, self.of)
+        return self.scratch.bucketed(u if self.of is None else segments.of_channels(u, self.of), "channel_id", dealt=True)
 
     @cached_property
     def measured(self) -> DataFrame:
@@ -88,7 +93,7 @@ class Evidence:
 
     @cached_property
     def predicted(self) -> DataFrame:
-        return self.scratch.table(predictions.word_list_models(self.valid, {"a": WORDS_A, "b": WORDS_B}, CFG.top_k))
+        return self.scratch.bucketed(predictions.word_list_models(self.valid, {"a": WORDS_A, "b": WORDS_B}, CFG.top_k), "channel_id")
 
     @cached_property
     def long(self) -> DataFrame:
@@ -104,15 +109,16 @@ class Evidence:
 
     @cached_property
     def decided(self) -> DataFrame:
-        return self.scratch.table(mixed.mixed_language(consensus.consensus(consensus.compare_channels(self.summary, "a", "b"), CFG), CFG))
+        with some_keys_suffice(self.spark):
+            return self.scratch.bucketed(mixed.mixed_language(consensus.consensus(consensus.compare_channels(self.summary, "a", "b"), CFG), CFG), "channel_id", dealt=True)
 
     @cached_property
     def features(self) -> DataFrame:
-        return self.scratch.table(diagnostics.text_features(self.measured))
+        return self.scratch.bucketed(diagnostics.text_features(self.measured), "channel_id", dealt=True)
 
     @cached_property
     def audit(self) -> DataFrame:
-        return self.scratch.table(diagnostics.indic_audit(self.universe, self.features, diagnostics.vote_presence(self.long), self.decided))
+        return self.scratch.bucketed(diagnostics.indic_audit(self.universe, self.features, diagnostics.vote_presence(self.long), self.decided), "channel_id", dealt=True)
 
     @cached_property
     def final(self) -> DataFrame:
@@ -177,7 +183,7 @@ def distributed_model(spark: SparkSession, sf: str) -> DataFrame:
         return f.name
 
     told = models.distribute(spark, models.ensure_model(path, ["absent.bin"], fetch))
-    return predictions.long(predictions.run_model(Evidence(spark, sf).valid, "a", lambda: models.WordListFile(told), CFG.top_k)).select("segment_id", "prediction_rank", "label", "iso639_3", "script", "score")
+    return predictions.long(predictions.run_model(Evidence(spark, sf).valid, "a", models.SharedModel(models.WordListFile, told), CFG.top_k)).select("segment_id", "prediction_rank", "label", "iso639_3", "script", "score")
 
 
 @query

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import math
 import os
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
@@ -51,6 +52,49 @@ def local_path(told: str) -> str:
     return SparkFiles.get(told.removeprefix("sent:")) if told.startswith("sent:") else told
 
 
+class ModelCache:
+    """The models of one process, so that its tasks share them: by kind, path, size and time of the last change.
+
+    A file that has changed is loaded anew and its old model goes; beyond ``most`` bytes of files those used least recently go,
+    but for the one just asked for. Spark's Python workers are processes that are used again (spark.python.worker.reuse), so a
+    model is loaded once for each worker and not once for each task.
+    """
+
+    def __init__(self, most: int = 4 << 30) -> None:
+        self.most, self.loads, self.models = most, 0, OrderedDict()
+
+    def get(self, kind: Callable[[str], object], told: str) -> object:
+        path = local_path(told)
+        state = os.stat(path)
+        name = (f"{kind.__module__}.{kind.__qualname__}", path)
+        version = (state.st_size, state.st_mtime_ns)
+        if name in self.models and self.models[name][0] == version:
+            self.models.move_to_end(name)
+            return self.models[name][1]
+        self.models.pop(name, None)
+        model = kind(told)
+        self.loads += 1
+        self.models[name] = (version, model)
+        while len(self.models) > 1 and sum(v[0] for v, _ in self.models.values()) > self.most:
+            self.models.popitem(last=False)
+        return model
+
+
+#: The cache of this process; a worker has its own.
+PROCESS = ModelCache()
+
+
+@dataclass(frozen=True)
+class SharedModel:
+    """What run_model() takes as ``load``: a kind of model (its class) and what distribute() told; loaded through the cache."""
+
+    kind: Callable[[str], object]
+    told: str
+
+    def __call__(self) -> object:
+        return PROCESS.get(self.kind, self.told)
+
+
 class WordListFile:
     """A language model in a JSON file: words of each label; scores are shares of matched words."""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def some_keys_suffice(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a join may use sides that are dealt by some of its keys (a channel, of channel and model) as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Bucketed tables that are still in a catalog, with their sessions.
+_listed: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _forget() -> None:
+    """A catalog that outlives the driver must not keep tables whose files go with it."""
+    for name, spark in _listed.items():
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001, PERF203  the session may be gone
+            return
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage, so that a lost executor costs a rescan and no recomputation.
 
@@ -32,6 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top, self.open = spark, f"{shared_dir(spark)}/glossaria-{uuid.uuid4().hex}", set()
+        self.names: dict[str, str] = {}
         fs, at = _fs(spark, self.top)
         fs.mkdirs(at)
         fs.deleteOnExit(at)
@@ -48,6 +78,22 @@ class Scratch:
         out._scratch = path  # noqa: SLF001
         return out
 
+    def bucketed(self, df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+        """A table dealt by keys into as many buckets as a shuffle has partitions, each sorted: joins and aggregates of such
+        tables by the keys (or by more) move no row. dealt: the rows come from an aggregate or join by just these keys, so
+        they lie in the right partitions and need no shuffle of their own.
+        """
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, name = self.path(), f"glossaria_{uuid.uuid4().hex}"
+        rows = df if dealt else df.repartition(n, *keys)
+        rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        _listed[name] = self.spark
+        self.open.add(path)
+        self.names[path] = name
+        out = self.spark.table(name)
+        out._scratch = path  # noqa: SLF001
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for path in {t._scratch for t in tables} & self.open:
             self._remove(path)
@@ -59,6 +105,9 @@ class Scratch:
             self.open.remove(path)
 
     def _remove(self, path: str) -> None:
+        if name := self.names.pop(path, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _listed.pop(name, None)
         fs, at = _fs(self.spark, path)
         fs.delete(at, True)
 
