@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from glossaria.config import Config
 from glossaria.operators import predictions, votes
 from glossaria.plans import queries as plans
-from glossaria.sources import models
+from glossaria.sources import acceptance, ledger, models
+from glossaria.sources.published import Published, ranges_of, without
 from glossaria.sources.scratch import Scratch, some_keys_suffice
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,120 @@ def test_audits_do_not_feed_the_main_tables(spark, tmp_path):
             votes.admit(df, cfg)
     with pytest.raises(ValueError, match="audit"):
         votes.channel_summary(votes.channel_votes(votes.admit(long, cfg)), some.withColumn("lid_model", F.lit("a")))
+
+
+def job_count(spark, f):
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    f()
+    after = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("other", "")
+    return after - before
+
+
+def test_checks_cost_no_job_and_stop_a_write(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "id / 100 as share")
+    checks = [acceptance.rows("all", 100), acceptance.no_row("share", F.col("share") >= 1)]
+    plain = job_count(spark, lambda: df.write.parquet(str(tmp_path / "plain")))
+    got = {}
+    assert job_count(spark, lambda: got.update(acceptance.write_accepted(df, lambda x: x.write.parquet(str(tmp_path / "ok")), checks))) == plain == 1
+    assert got == {"all": 100, "share": 0} and spark.read.parquet(str(tmp_path / "ok")).count() == 100
+    undone = []
+    with pytest.raises(acceptance.RejectedError, match="share: 1") as e:
+        acceptance.write_accepted(df.withColumn("share", F.when(F.col("id") == 7, 2.0).otherwise(F.col("share"))), lambda x: x.write.parquet(str(tmp_path / "bad")), checks, lambda: undone.append(1))
+    assert e.value.failed == {"share": 1} and undone == [1]
+    twice = acceptance.numbered(df.union(df.limit(1)), "id")
+    with pytest.raises(acceptance.RejectedError, match="once: 1"):
+        acceptance.write_accepted(twice, lambda x: x.write.parquet(str(tmp_path / "twice")), [acceptance.no_repeat("once")])
+    assert spark.read.parquet(str(tmp_path / "twice")).columns == ["id", "share"]
+    with pytest.raises(acceptance.RejectedError, match="gone: no such column; id: is bigint, not string"):
+        acceptance.require_columns(df, {"gone": None, "id": "string", "share": "double"})
+    with pytest.raises(acceptance.RejectedError, match="none_such"):
+        acceptance.require_tables(spark, ["none_such"])
+
+
+def test_final_table_is_accepted_in_one_job(spark, tmp_path):
+    e = plans.Evidence(spark, SF)
+    final = acceptance.numbered(e.final, "channel_id")
+    acceptance.require_columns(final, acceptance.FINAL_COLUMNS)
+    n = e.universe.count()
+    acceptance.write_accepted(final, lambda x: x.write.parquet(str(tmp_path / "a")), acceptance.final_checks(n))
+    for bad, name in ((final.union(final.limit(1)), "all_channels_present"), (final.withColumn("a_vote_share", F.lit(1.5)), "shares_in_range"), (final.withColumns({"mixed_credible": F.lit(True), "mixed_screen": F.lit(False)}), "credible_implies_screen"), (final.withColumn("channel_id", F.lit(None).cast("string")), "channel_is_named")):
+        with pytest.raises(acceptance.RejectedError, match=name):
+            acceptance.write_accepted(bad, lambda x, name=name: x.write.parquet(str(tmp_path / name)), acceptance.final_checks(n))
+    e.scratch.keep()
+
+
+ROW = "run_id string, channel_hash_bucket int, v string"
+
+
+def test_readers_see_old_or_new_rows(spark, tmp_path, monkeypatch):
+    t = Published(spark, "published_t", str(tmp_path / "t"))
+    put = lambda rows, run, ranges, **k: t.replace(spark.createDataFrame(rows, ROW), run, ranges, **k)
+    see = lambda: sorted((r.run_id, r.channel_hash_bucket, r.v) for r in t.read().collect())
+    assert put([("007", 0, "a"), ("007", 1, "b"), ("007", 5, "c")], "007", [(0, 7)])["rows_written"] == 3
+    put([("q", 1, "it's")], "q", [(0, 7)])
+    old = see()
+    assert old == [("007", 0, "a"), ("007", 1, "b"), ("007", 5, "c"), ("q", 1, "it's")]
+    monkeypatch.setattr(Published, "_show", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):  # killed between write and switch
+        put([("007", 1, "B")], "007", [(1, 3)])
+    monkeypatch.undo()
+    assert see() == old and len(t.vacuum()) == 1 and see() == old
+    with pytest.raises(acceptance.RejectedError, match="outside_of_scope: 2"):
+        put([("007", 1, "B"), ("007", 4, "B"), ("q", 1, "B")], "007", [(1, 3)])
+    assert see() == old and t.vacuum() == []
+    put([("007", 3, "B")], "007", [(1, 3)])  # bucket 1 gets no row
+    assert see() == [("007", 0, "a"), ("007", 3, "B"), ("007", 5, "c"), ("q", 1, "it's")]
+    reader = t.read().filter("channel_hash_bucket = 3")
+    assert "PartitionFilters: [isnotnull(channel_hash_bucket" in reader._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="columns differ"):
+        t.replace(spark.createDataFrame([("q", 1, 2)], "run_id string, channel_hash_bucket int, w int"), "q", [(0, 7)])
+    t.replace(spark.createDataFrame([("q", 1, 2)], "run_id string, channel_hash_bucket int, w int"), "q", [(0, 7)], full=True)
+    assert sorted(map(tuple, t.read().select("run_id", "v", "w").collect()), key=str)[-1] == ("q", None, 2)
+    with pytest.raises(ValueError, match="types differ"):
+        t.replace(spark.createDataFrame([("q", 1, 2, 3)], "run_id string, channel_hash_bucket int, v int, w int"), "q", [(0, 7)])
+    put([], "007", [(0, 7)], full=True)
+    t.clear("q", [(0, 7)])
+    assert see() == [] and t.read().columns == ["v", "w", "channel_hash_bucket", "run_id"] and len(t.vacuum()) >= 3
+    spark.sql("DROP VIEW published_t")
+    assert without([(0, 9)], [(2, 3), (9, 12)]) == [(0, 1), (4, 8)] and ranges_of([5, 1, 2, 2]) == [(1, 2), (5, 5)]
+
+
+def test_a_broken_run_goes_on_with_what_is_missing(spark, tmp_path):
+    source = str(tmp_path / "in")
+    data = [(f"c{i}", i % 12, i) for i in range(300)]
+    df = spark.createDataFrame(data, "channel_id string, b int, v int")
+    ledger.deal(df.drop("b"), source, F.substring("channel_id", 2, 9).cast("int") % 12)
+    seen = []
+
+    def work(breaks_at):
+        def f(rows):
+            seen.append(sorted({int(x.split("channel_hash_bucket=")[1].split("/")[0]) for x in rows.inputFiles()}))
+            if breaks_at is not None and breaks_at in seen[-1]:
+                raise OSError("broken")
+            return rows.groupBy("channel_hash_bucket").agg(F.sum("v").alias("s"))
+
+        return f
+
+    want = {b: sum(v for _, c, v in data if c == b) for b in range(12)}
+    got = lambda t: {r.channel_hash_bucket: r.s for r in t.read().collect()}
+    t, book = Published(spark, "resumed_t", str(tmp_path / "out")), ledger.Ledger(spark, str(tmp_path / "ledger"))
+    with pytest.raises(OSError, match="broken"):
+        ledger.resume(spark, source, t, book, "r", "v1", work(6), step=3)
+    assert got(t) == {b: s for b, s in want.items() if b < 6} and seen == [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
+    seen.clear()
+    assert ledger.resume(spark, source, t, book, "r", "v1", work(None), step=3) == list(range(6, 12))
+    assert got(t) == want and seen == [[6, 7, 8], [9, 10, 11]]
+    seen.clear()
+    assert ledger.resume(spark, source, t, book, "r", "v1", work(None)) == [] and seen == []
+    # one bucket's input changes, another vanishes: the first is done anew, the second is shown no more
+    spark.createDataFrame([("c4", 1000)], "channel_id string, v int").write.mode("append").parquet(f"{source}/channel_hash_bucket=4")
+    import shutil
+
+    shutil.rmtree(f"{source}/channel_hash_bucket=7")
+    assert ledger.resume(spark, source, t, book, "r", "v1", work(None)) == [4] and seen == [[4]]
+    assert got(t) == {b: s + 1000 * (b == 4) for b, s in want.items() if b != 7}
+    assert len(ledger.resume(spark, source, t, book, "r", "v2", work(None))) == 11  # another configuration makes all stale
+    assert len(ledger.resume(spark, source, t, book, "other", "v2", work(None))) == 11 and t.read().count() == 22
+    spark.sql("DROP VIEW resumed_t")
