@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossaria.constants import CATEGORIES
 from glossaria.functions import text as X
 from glossaria.operators.dedup import keep_top
+from glossaria.sources.scratch import Scratch
 
 
 def reference_labels(videos: DataFrame, label: str, least: int, share: float) -> DataFrame:
@@ -95,7 +96,17 @@ def fan_out(inputs: DataFrame, models: DataFrame, run_id: str, chunk: int, form:
     """
     small = F.broadcast(models) if models.limit(MODELS + 1).count() <= MODELS else models
     df = inputs.crossJoin(small).withColumn("request_id", request_id(run_id, form))
-    return numbered_chunks(df, ["provider", "model"], "request_id", F.substring("request_id", 1, 5) if form == "hash" else F.substring("channel_id", 1, 4), chunk)
+    keys = ["provider", "model"]
+    if form == "hash":
+        return numbered_chunks(df, keys, "request_id", F.substring("request_id", 1, 5), chunk)
+    return numbered_chunks(ranged(df, [*keys, "request_id"]), keys, "request_id", F.col("_lead"), chunk)
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in ranges of an order, as many as a shuffle has partitions, with _lead: the number of a row's range. Written, so that
+    a task that is run again finds the same ranges; for ids that may all begin alike."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Scratch(df.sparkSession).table(df.repartitionByRange(n, *order).withColumn("_lead", F.spark_partition_id()))
 
 
 def numbered_chunks(df: DataFrame, keys: list[str], order: str, lead: Column, chunk: int) -> DataFrame:

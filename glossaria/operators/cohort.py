@@ -3,10 +3,13 @@ cohort, and what the runs say together."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions import text as X
@@ -35,10 +38,12 @@ def band_sample(channels: DataFrame, size: str, least: int, taken: DataFrame, n:
 
 
 def cohort_stats(cohorts: DataFrame, size: str) -> DataFrame:
-    """Each cohort: channels, the smallest size and how many have it, and the median; sizes are counted before they are compared."""
-    per = cohorts.groupBy("cohort", size).agg(F.count("*").alias("n")).groupBy("cohort")
-    low = per.agg(F.min(F.struct(size, "n")).alias("low"), F.sum("n").alias("channels")).select("cohort", F.col(f"low.{size}").alias("cutoff"), "channels", F.col("low.n").alias("at_cutoff"))
-    return low.join(cohorts.groupBy("cohort").agg(F.percentile_approx(size, 0.5, 10000).alias("median")), "cohort")
+    """Each cohort: channels, the smallest size and how many have it, and the median (the smallest size that half of the channels
+    don't exceed). Sizes are counted first, and all is said of the counts, so the cohorts are read once."""
+    per = cohorts.groupBy("cohort", size).agg(F.count("*").alias("n"))
+    upto = per.withColumns({"upto": F.sum("n").over(Window.partitionBy("cohort").orderBy(size)), "total": F.sum("n").over(Window.partitionBy("cohort"))})
+    out = upto.groupBy("cohort").agg(F.min(F.struct(size, "n")).alias("low"), F.max("total").alias("channels"), F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col(size))).alias("median"))
+    return out.select("cohort", F.col(f"low.{size}").alias("cutoff"), "channels", F.col("low.n").alias("at_cutoff"), "median")
 
 
 def cutoff(universe: DataFrame, top: DataFrame, size: str) -> DataFrame:
@@ -68,6 +73,42 @@ def run_cohorts(cohorts: DataFrame, names: list[str], run: Callable[[str, DataFr
     return union_all([run(n, cohorts.filter(F.col("cohort") == n).select("channel_id")).withColumns({"cohort": F.lit(n), "run_id": F.lit(f"run_{n}")}) for n in names])
 
 
+RUN_LOG = "cohort string, run_id string, pool string, started timestamp, ended timestamp, status string, rows long, error string"
+
+
+def run_side_by_side(spark: SparkSession, names: list[str], run: Callable[[str], int], at_once: int = 4) -> DataFrame:
+    """run(name) for each cohort, several at once, each in a scheduler pool of its name; returns the run log.
+
+    run does the whole work of a cohort, its outputs included, and returns the rows it has written; it must have scratch tables of
+    its own. One that fails is logged with its error, and the others go on. With spark.scheduler.mode=FAIR the pools share the
+    cluster; otherwise the jobs queue, but a cohort's small stages still fill what another one leaves idle.
+    """
+    if len(set(names)) < len(names):
+        raise ValueError("cohort names repeat")
+    now = lambda: datetime.datetime.now(datetime.timezone.utc)
+
+    def one(name: str) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        began = now()
+        try:
+            return name, f"run_{name}", name, began, run(name), None, now()
+        except Exception as e:  # noqa: BLE001
+            return name, f"run_{name}", name, began, None, repr(e)[:500], now()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        # each call inherits the caller's local properties, in a copy of its own
+        done = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), n) for n in names]]
+    log = [(n, r, p, began, ended, "failed" if error else "succeeded", rows, error) for n, r, p, began, rows, error, ended in done]
+    return spark.createDataFrame(log, RUN_LOG)
+
+
+def agreement_by_cohort(summaries: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Agreement summaries of all runs (with run_id) with the cohort that each run has; a run without one keeps null."""
+    return summaries.join(F.broadcast(cohorts.select("cohort").distinct().withColumn("run_id", F.concat(F.lit("run_"), "cohort"))), "run_id", "left")
+
+
 def cohort_results(cohorts: DataFrame, results: DataFrame) -> DataFrame:
     """Each selected channel with its run's result, or with nulls where the run has none."""
     return cohorts.withColumn("run_id", F.concat(F.lit("run_"), "cohort")).join(results.drop("cohort"), ["run_id", "channel_id"], "left")

@@ -54,6 +54,76 @@ def checksum_parity(valid: DataFrame, predictions: DataFrame, bucket: Column, mo
     return both.fillna(0, ["valid_n", "predicted_n"]).select("bucket", "valid_n", "predicted_n", equal.alias("equal"))
 
 
+def _halves(text: Column, strategy: str) -> tuple[Column, Column]:
+    """Two 64-bit values of a text: xxhash64 of it and of it with a prefix, or the halves of its md5, which other engines have."""
+    if strategy == "xxhash64":
+        return F.xxhash64(text).cast("decimal(38,0)"), F.xxhash64(F.concat(F.lit("2|"), text)).cast("decimal(38,0)")
+    digest = F.md5(text)
+    return tuple(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)") for at in (1, 17))
+
+
+def signatures(df: DataFrame, bucket: Column, strategy: str = "xxhash64") -> DataFrame:
+    """(bucket, n, low, high): rows of each bucket and two order-free sums over channel and segment together, in decimal(38,0).
+
+    A segment under the wrong channel changes the sums, and so does a row that is repeated or lost. What is equal in both sums is
+    equal but for a chance of about 2 ** -128.
+    """
+    low, high = _halves(F.concat_ws("|", "channel_id", "segment_id"), strategy)
+    return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high"))
+
+
+def signature_parity(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Of two signatures(): each bucket with both counts and whether it is equal; a bucket that one side lacks isn't."""
+    side = lambda df, p: df.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "low", "high")])
+    both = side(left, "left").join(side(right, "right"), "bucket", "full_outer")
+    same = [F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in ("n", "low", "high")]
+    return both.select("bucket", *[F.coalesce(f"{p}_n", F.lit(0)).alias(f"{p}_n") for p in ("left", "right")], (same[0] & same[1] & same[2]).alias("equal"))
+
+
+def drill_down(left: DataFrame, right: DataFrame, parity: DataFrame, bucket: Column) -> DataFrame:
+    """(channel_id, segment_id, left_n, right_n): what differs, from the unequal buckets only.
+
+    The numbers of these (as many as buckets at most) become a filter: where ``bucket`` is a column that a table's folders are
+    dealt by, the equal buckets are not read again.
+    """
+    unequal = [r["bucket"] for r in parity.filter("not equal").select("bucket").collect()]
+    inside = bucket.isin([b for b in unequal if b is not None]) | (bucket.isNull() if None in unequal else F.lit(False))
+    count = lambda df, p: df.filter(inside).groupBy("channel_id", "segment_id").agg(F.count("*").alias(f"{p}_n"))
+    x, y = count(left, "left").alias("x"), count(right, "right").alias("y")
+    on = F.col("x.channel_id").eqNullSafe(F.col("y.channel_id")) & F.col("x.segment_id").eqNullSafe(F.col("y.segment_id"))
+    both = x.join(y, on, "full_outer").select(*[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("channel_id", "segment_id")], *[F.coalesce(f"{p}_n", F.lit(0)).alias(f"{p}_n") for p in ("left", "right")])
+    return both.filter("left_n <> right_n")
+
+
+def distributions(decided: DataFrame) -> DataFrame:
+    """(metric, value, channels, manual, mean_share): all distributions of the decided channels from one scan, by grouping sets.
+
+    Statuses, manual flags (also by status), sources, scripts, whether both models' labels have clusters and agree in them,
+    which models' second labels were screened or credible, why a screened channel was rejected, and the high-risk
+    labels that were kept; metric "all" is the total. A null value is a group of its own, named "none".
+    """
+    c, false = F.col, F.lit(False)
+    both = c("a_primary_cluster").isNotNull() & c("b_primary_cluster").isNotNull()
+    labels = c("a_primary_label").isNotNull() & c("b_primary_label").isNotNull()
+    coverage = F.when(~labels, "not_both_labels").when(~both, "not_both_clusters").when(c("agree_cluster_primary"), "clusters_agree").otherwise("clusters_differ")
+    level = lambda screen, credible: F.when(F.coalesce(c(credible), false), "credible").when(F.coalesce(c(screen), false), "screened").otherwise("none")
+    metrics = {
+        "consensus_status": c("consensus_status"), "requires_manual": c("requires_manual").cast("string"), "consensus_source": c("consensus_source"), "consensus_script": c("consensus_script"), "cluster_coverage": coverage,
+        "a_mixed": level("a_screen", "a_credible"), "b_mixed": level("b_screen", "b_credible"), "mixed": level("mixed_screen", "mixed_credible"),
+        "rejection_reason": F.when(c("mixed_screen") & ~c("mixed_credible"), c("mixed_rejection_reason")), "kept_tail_label": F.when(X.high_risk("consensus_label"), c("consensus_label")),
+        "agreement": F.when(~labels, "not_both_labels").when(c("agree_exact_primary"), "exact").when(c("agree_iso_primary"), "iso").when(c("agree_script_primary"), "script").otherwise("none"),
+    }
+    df = decided.select(*[e.alias(n) for n, e in metrics.items()], c("requires_manual").alias("_manual"), c("a_vote_share").alias("_share"))
+    names = list(metrics)
+    sets = [[], *[[n] for n in names], ["consensus_status", "requires_manual"]]
+    grouped = df.groupingSets(sets, *names).agg(F.grouping_id().alias("_set"), F.count("*").alias("channels"), F.count_if(F.coalesce("_manual", false)).alias("manual"), F.round(F.avg("_share"), 6).alias("mean_share"))
+    name = lambda s: "_by_".join(s) if s else "all"
+    shown = lambda s: F.concat_ws("|", *[F.coalesce(n, F.lit("none")) for n in s]) if s else F.lit("all")
+    which = lambda s: sum(1 << (len(names) - 1 - k) for k, n in enumerate(names) if n not in s)
+    out = F.coalesce(*[F.when(F.col("_set") == which(s), F.struct(F.lit(name(s)).alias("metric"), shown(s).alias("value"))) for s in sets])
+    return grouped.select(out.alias("o"), "channels", "manual", "mean_share").select("o.*", "channels", "manual", "mean_share")
+
+
 def strata_counts(sample: DataFrame, least: int) -> DataFrame:
     """Channels of each stratum of a sample, and whether they are fewer than wanted."""
     return sample.groupBy("primary_stratum").agg(F.count("*").alias("channels"), (F.count("*") < least).alias("below_minimum"))

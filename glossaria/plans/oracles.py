@@ -196,6 +196,15 @@ _ABL_OUT = (
     + ", ".join(f"count(*) FILTER (iso = '{i}') AS n_{i}" for i in ("srd", "ast", "vec", "gug", "eng", "spa", "ita", "por"))
     + ", count(*) FILTER (base IS NOT NULL AND label IS DISTINCT FROM base) AS changed_base, count(*) FILTER (agreed IS NOT NULL AND label IS DISTINCT FROM agreed) AS changed_consensus, count(*) FILTER (coalesce(credible, false) <> coalesce(agreed_credible, false)) AS changed_credible, CASE WHEN count(base) > 0 THEN round(changed_base / count(base), 6) END AS share_changed_base, CASE WHEN count(agreed) > 0 THEN round(changed_consensus / count(agreed), 6) END AS share_changed_consensus FROM gr GROUP BY variant"
 )
+_BOTH = "a_primary_label IS NOT NULL AND b_primary_label IS NOT NULL"
+_METRICS = {
+    "all": "'all'", "consensus_status": "consensus_status", "requires_manual": "CAST(requires_manual AS VARCHAR)", "consensus_status_by_requires_manual": "consensus_status || '|' || CAST(requires_manual AS VARCHAR)", "consensus_source": "consensus_source", "consensus_script": "consensus_script",
+    "cluster_coverage": f"CASE WHEN NOT ({_BOTH}) THEN 'not_both_labels' WHEN a_primary_cluster IS NULL OR b_primary_cluster IS NULL THEN 'not_both_clusters' WHEN a_primary_cluster = b_primary_cluster THEN 'clusters_agree' ELSE 'clusters_differ' END",
+    **{f"{p}mixed": f"CASE WHEN {q}_credible THEN 'credible' WHEN {q}_screen THEN 'screened' ELSE 'none' END" for p, q in (("a_", "a"), ("b_", "b"), ("", "mixed"))},
+    "rejection_reason": "CASE WHEN mixed_screen AND NOT mixed_credible THEN mixed_rejection_reason END", "kept_tail_label": f"CASE WHEN consensus_label IN {_in(HIGH_RISK_LABELS)} THEN consensus_label END",
+    "agreement": f"CASE WHEN NOT ({_BOTH}) THEN 'not_both_labels' WHEN a_primary_label = b_primary_label THEN 'exact' WHEN agree_iso_primary THEN 'iso' WHEN agree_script_primary THEN 'script' ELSE 'none' END",
+}
+_DISTRIBUTIONS = " UNION ALL ".join(f"SELECT '{n}' AS metric, coalesce({e}, 'none') AS value, count(*) AS channels, count(*) FILTER (requires_manual) AS manual, round(avg(a_vote_share), 6) AS mean_share FROM mx GROUP BY ALL" for n, e in _METRICS.items())
 _CATS = "[" + ", ".join(f"'{c}'" for c in sorted(CATEGORIES, key=int)) + "]"
 _KNOWN = _values(list(({k: k for k in CATEGORIES} | {n.lower().replace("&", "and"): k for k, n in CATEGORIES.items()} | CATEGORY_ALIASES).items()))
 _BUSINESS: list[tuple[str, str]] = [
@@ -266,6 +275,15 @@ def _qa(t: str, keys: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "qa_distributions": _with(_DISTRIBUTIONS, "mx"),
+    "accepted_final": _with("SELECT unnest(['all_channels_present', 'one_row_per_channel', 'channel_is_named', 'shares_in_range', 'credible_implies_screen', 'status_is_given']) AS \"check\", unnest([n, r, m, s, c, t]) AS measured, unnest([n = u, r = 0, m = 0, s = 0, c = 0, t = 0]) AS ok FROM (SELECT count(*) AS n, (SELECT count(*) FROM uni) AS u, count(*) - count(DISTINCT channel_id) AS r, count(*) FILTER (channel_id IS NULL) AS m, count(*) FILTER (a_vote_share NOT BETWEEN 0 AND 1 OR b_vote_share NOT BETWEEN 0 AND 1) AS s, count(*) FILTER (mixed_credible AND NOT coalesce(mixed_screen, false)) AS c, count(*) FILTER (language_status IS NULL) AS t FROM fin)", "fin"),
+    "signature_drill_down": _with("SELECT channel_id, segment_id, CAST(sum(l) AS BIGINT) AS left_n, CAST(sum(r) AS BIGINT) AS right_n FROM (SELECT channel_id, segment_id, 1 AS l, 0 AS r FROM val UNION ALL SELECT CASE WHEN segment_id < '02' THEN 'wrong/channel' ELSE channel_id END, segment_id, 0, 1 FROM val) GROUP BY channel_id, segment_id HAVING sum(l) <> sum(r)", "val"),
+    "bucket_signatures": _with(f"SELECT {_bucket(16)} AS bucket, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS low, CAST(sum(CAST(CAST('0x' || substr(h, 17, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS high FROM (SELECT channel_id, md5(channel_id || '|' || segment_id) AS h FROM val) GROUP BY ALL", "val"),
+    "flat_lines": "SELECT c_name AS value FROM customer WHERE c_custkey % 2 = 1",
+    "resumed_run": _with(f"SELECT channel_id, lang, count(*) AS videos, {_bucket(16)} AS channel_hash_bucket, 'r1' AS run_id FROM vid GROUP BY ALL", "uni"),
+    "published_overwrite": "WITH r AS (SELECT c_custkey, c_mktsegment, CAST(c_custkey % 8 AS INTEGER) AS channel_hash_bucket FROM customer) SELECT *, 'two' AS run_id FROM r UNION ALL SELECT *, 'one' FROM r WHERE channel_hash_bucket NOT BETWEEN 2 AND 4 UNION ALL SELECT c_custkey, 'NEW', channel_hash_bucket, 'one' FROM r WHERE channel_hash_bucket IN (2, 4) AND c_custkey % 3 = 0",
+    "cohort_run_log": _with("SELECT cohort, run_id, cohort AS pool, 'succeeded' AS status, count(*) AS rows, true AS in_order FROM cr GROUP BY ALL", "fin", *_COHORTS),
+    "agreement_by_cohort": _with("SELECT run_id, cohort, a_primary_iso, a_primary_script, count(*) AS channels, round(avg(agree_exact_primary::INT), 6) AS exact_rate, round(avg(agree_iso_primary::INT), 6) AS iso_rate, round(avg(agree_script_primary::INT), 6) AS script_rate, round(avg(agree_cluster_primary::INT) FILTER (a_primary_cluster IS NOT NULL AND b_primary_cluster IS NOT NULL), 6) AS within_cluster_rate, count(*) FILTER (a_primary_cluster IS NOT NULL AND b_primary_cluster IS NOT NULL) AS with_clusters, round(avg(a_vote_share), 6) AS mean_share FROM (SELECT cohort, run_id, channel_id FROM cr) JOIN mx USING (channel_id) WHERE a_primary_label IS NOT NULL AND b_primary_label IS NOT NULL GROUP BY ALL", "fin", *_COHORTS),
     "segment_unpivot": _with("SELECT channel_id, video_id, segment_type, text, segment_id FROM seg", "seg"),
     "segment_metrics": _with(f"SELECT {', '.join(_METRIC_COLS)}, round(dominant_script_share, 6) AS dominant_script_share FROM met", "met"),
     "segment_qa": _with("SELECT segment_type, is_valid, short_text_reason, dominant_script, count(*) AS segments FROM met GROUP BY ALL", "met"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,7 +20,7 @@ from glossaria.constants import CATEGORIES
 from glossaria.functions import text as X
 from glossaria.operators import ablation, category, channels, cohort, consensus, dedup, diagnostics, mixed, panel, predictions, qa, segments, votes
 from glossaria.schema import CANDIDATES, first_existing_column
-from glossaria.sources import models, sinks, tables
+from glossaria.sources import acceptance, ledger, models, published, sinks, tables
 from glossaria.sources.scratch import Scratch, some_keys_suffice
 
 CFG = Config()
@@ -378,6 +379,86 @@ def acceptance_checks(spark: SparkSession, sf: str) -> DataFrame:
     return qa.acceptance(e.universe, e.final).select("check", "ok")
 
 
+@query
+def qa_distributions(spark: SparkSession, sf: str) -> DataFrame:
+    return qa.distributions(Evidence(spark, sf).decided)
+
+
+@query
+def accepted_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The final table measured as it is written: each check with what was measured."""
+    e = Evidence(spark, sf)
+    final = acceptance.numbered(e.final, "channel_id")
+    acceptance.require_columns(final, acceptance.FINAL_COLUMNS)
+    checks = acceptance.final_checks(e.universe.count())
+    path = e.scratch.path()
+    got = acceptance.write_accepted(final, lambda x: x.write.parquet(path), checks)
+    return spark.createDataFrame([(c.name, int(got[c.name]), c.ok(got[c.name])) for c in checks], "check string, measured long, ok boolean")
+
+
+@query
+def signature_drill_down(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid segments against predictions in which some segments have come under a wrong channel: what the unequal buckets show."""
+    e = Evidence(spark, sf)
+    valid = e.valid.select("channel_id", "segment_id")
+    moved = F.when(F.col("segment_id") < "02", F.lit("wrong/channel")).otherwise(F.col("channel_id"))
+    seen = e.predicted.filter("lid_model = 'a'").select(moved.alias("channel_id"), "segment_id")
+    bucket = F.pmod(F.conv(F.substring("segment_id", 1, 2), 16, 10).cast("int"), F.lit(64))
+    parity = e.scratch.table(qa.signature_parity(qa.signatures(valid, bucket, "md5"), qa.signatures(seen, bucket, "md5")))
+    return qa.drill_down(valid, seen, parity, bucket)
+
+
+@query
+def bucket_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    df = qa.signatures(Evidence(spark, sf).valid, segments.bucket("channel_id", 16, "md5"), "md5")
+    return df.select("bucket", "n", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"))
+
+
+@query
+def resumed_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Videos in buckets, counted by language; the run breaks in its second group of buckets and goes on from there."""
+    scratch, name = Scratch(spark), f"glossaria_{uuid.uuid4().hex}"
+    source = scratch.path()
+    ledger.deal(videos(spark, sf).select("channel_id", "lang"), source, segments.bucket("channel_id", 16, "md5"))
+    out, book, calls = published.Published(spark, name, scratch.path()), ledger.Ledger(spark, scratch.path()), []
+
+    def work(rows: DataFrame) -> DataFrame:
+        calls.append(rows)
+        if len(calls) == 2:
+            raise ConnectionError("an executor's host was lost")
+        return rows.groupBy("channel_hash_bucket", "channel_id", "lang").agg(F.count("*").alias("videos"))
+
+    for _ in range(2):
+        try:
+            ledger.resume(spark, source, out, book, "r1", "v1", work, step=5)
+        except ConnectionError:
+            continue
+    return out.read()
+
+
+@query
+def published_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of two runs in buckets, then one run's middle buckets replaced by part of their rows, with a new name."""
+    scratch = Scratch(spark)
+    t = published.Published(spark, f"glossaria_{uuid.uuid4().hex}", scratch.path())
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 8).cast("int").alias("channel_hash_bucket"))
+    for run in ("one", "two"):
+        t.replace(rows.withColumn("run_id", F.lit(run)), run, [(0, 7)])
+    some = rows.filter("channel_hash_bucket between 2 and 4 and c_custkey % 3 = 0 and channel_hash_bucket <> 3").withColumns({"c_mktsegment": F.lit("NEW"), "run_id": F.lit("one")})
+    t.replace(some, "one", [(2, 4)])
+    return t.read()
+
+
+@query
+def flat_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the files of one folder, without those of the folders in it."""
+    path = Scratch(spark).path()
+    c = table(spark, sf, "customer")
+    c.filter("c_custkey % 2 = 1").select("c_name").write.text(path)
+    c.filter("c_custkey % 2 = 0").select("c_name").write.text(f"{path}/nested")
+    return tables.result_lines(spark, path, recursive=False)
+
+
 @query
 def language_merge(spark: SparkSession, sf: str) -> DataFrame:
     e = Evidence(spark, sf)
@@ -468,12 +549,45 @@ def document_cohorts(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.union_all([top, cohort.band_sample(size, "subscribers", 500, top, 40, SEED, "md5")])
 
 
+class CohortRuns:
+    """A run of the evidence for each cohort, side by side, with a final table and an agreement summary each, and the log."""
+
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        self.scratch = Scratch(spark)
+        self.ids = self.scratch.table(document_cohorts(spark, sf))
+        self.finals: dict[str, DataFrame] = {}
+        self.agreements: dict[str, DataFrame] = {}
+
+        def run(name: str) -> int:
+            e = Evidence(spark, sf, self.ids.filter(F.col("cohort") == name).select("channel_id"))
+            final = self.scratch.table(e.final.withColumn("run_id", F.lit(f"run_{name}")))
+            self.agreements[name] = self.scratch.table(qa.agreement_summary(e.decided).withColumn("run_id", F.lit(f"run_{name}")))
+            self.finals[name] = final
+            e.scratch.keep()  # the run's own tables go, its outputs stay
+            return final.count()
+
+        self.log = cohort.run_side_by_side(spark, ["top", "band"], run, at_once=2)
+        if failed := self.log.filter("status <> 'succeeded'").collect():
+            raise RuntimeError(str(failed))
+
+
 def all_results(spark: SparkSession, sf: str) -> DataFrame:
     """The final table of a run for each cohort."""
-    scratch = Scratch(spark)
-    ids = scratch.table(document_cohorts(spark, sf))
-    done = cohort.run_cohorts(ids, ["top", "band"], lambda _, some: Evidence(spark, sf, some).final)
-    return scratch.table(cohort.cohort_results(ids, done))
+    runs = CohortRuns(spark, sf)
+    out = runs.scratch.table(cohort.cohort_results(runs.ids, cohort.union_all(list(runs.finals.values()))))
+    runs.scratch.keep(out)
+    return out
+
+
+@query
+def cohort_run_log(spark: SparkSession, sf: str) -> DataFrame:
+    return CohortRuns(spark, sf).log.select("cohort", "run_id", "pool", "status", "rows", (F.col("started") <= F.col("ended")).alias("in_order"))
+
+
+@query
+def agreement_by_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    runs = CohortRuns(spark, sf)
+    return cohort.agreement_by_cohort(cohort.union_all(list(runs.agreements.values())), runs.ids)
 
 
 @query
@@ -665,7 +779,7 @@ def panel_results(spark: SparkSession, e: Evidence) -> DataFrame:
     line = lambda code, text: F.concat(F.lit('{"custom_id":"'), F.col("request_id"), F.lit('","response":{"status_code":'), F.lit(code), F.lit(',"body":{"model":"x","choices":[{"message":{"content":"'), text, F.lit('"}}]}}}'))
     rows = requests.join(routed, "channel_id")
     lines = rows.select(line("200", told).alias("value")).union(rows.filter("model = 'm2'").select(line("429", F.lit("busy")).alias("value")))
-    return panel.imported(lines, requests, "now")
+    return e.scratch.table(panel.imported(lines, requests, "now"))  # verdicts read it more than once; lines are parsed here only
 
 
 @query

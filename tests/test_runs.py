@@ -4,10 +4,11 @@ import os
 import time
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from glossaria.config import Config
-from glossaria.operators import predictions, votes
+from glossaria.operators import category, cohort, panel, predictions, qa, votes
 from glossaria.plans import queries as plans
 from glossaria.sources import acceptance, ledger, models
 from glossaria.sources.published import Published, ranges_of, without
@@ -235,3 +236,88 @@ def test_a_broken_run_goes_on_with_what_is_missing(spark, tmp_path):
     assert len(ledger.resume(spark, source, t, book, "r", "v2", work(None))) == 11  # another configuration makes all stale
     assert len(ledger.resume(spark, source, t, book, "other", "v2", work(None))) == 11 and t.read().count() == 22
     spark.sql("DROP VIEW resumed_t")
+
+
+def test_cohorts_run_side_by_side_and_fail_alone(spark):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+
+    def run(name):
+        if name == "bad":
+            raise OSError("no such table")
+        both.wait()  # neither ends before the other has begun
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == name
+        n = spark.range(100).repartition(2).count()
+        both.wait()
+        return n
+
+    log = {r.cohort: r for r in cohort.run_side_by_side(spark, ["x", "bad", "y"], run, at_once=3).collect()}
+    assert {k: (r.status, r.rows) for k, r in log.items()} == {"x": ("succeeded", 100), "y": ("succeeded", 100), "bad": ("failed", None)}
+    assert "no such table" in log["bad"].error and log["x"].started < log["y"].ended and log["y"].started < log["x"].ended
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    with pytest.raises(ValueError, match="repeat"):
+        cohort.run_side_by_side(spark, ["x", "x"], run)
+
+
+def test_signatures_find_a_wrong_channel_and_read_unequal_buckets_only(spark, tmp_path):
+    rows = [(f"c{i % 40}", f"s{i}", i % 8) for i in range(400)]
+    left = spark.createDataFrame(rows, "channel_id string, segment_id string, b int")
+    swapped = {"s3": "c4", "s4": "c3"}  # the same counts and the same segments in all
+    right = spark.createDataFrame([(swapped.get(s, c), s, 3 if s in swapped else b) for c, s, b in rows] + [("c5", "s5", 5)], "channel_id string, segment_id string, b int")
+    left = left.withColumn("b", F.when(F.col("segment_id").isin("s3", "s4"), 3).otherwise(F.col("b")))
+    for strategy in ("xxhash64", "md5"):
+        parity = qa.signature_parity(qa.signatures(left, F.col("b"), strategy), qa.signatures(right, F.col("b"), strategy))
+        got = {r.bucket: r.equal for r in parity.collect()}
+        assert got == {b: b not in (3, 5) for b in range(8)}
+    for name, df in (("left", left), ("right", right)):
+        df.repartition("b").write.partitionBy("b").parquet(str(tmp_path / name))
+    x, y = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    out = qa.drill_down(x, y, parity, F.col("b"))
+    assert sorted(map(tuple, out.collect())) == [("c3", "s3", 1, 0), ("c3", "s4", 0, 1), ("c4", "s3", 0, 1), ("c4", "s4", 1, 0), ("c5", "s5", 1, 2)]
+    scans = [x for x in qa.drill_down(x, y, parity, F.col("b"))._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert len(scans) == 2 and all("IN (3,5)" in s for s in scans)
+    none = qa.signature_parity(qa.signatures(left.limit(0), F.col("b")), qa.signatures(left.filter("b = 1"), F.col("b")))
+    assert [(r.bucket, r.left_n, r.right_n, r.equal) for r in none.collect()] == [(1, 0, 50, False)]
+    assert qa.drill_down(left.filter("b = 9"), left.filter("b = 1"), none, F.col("b")).count() == 50
+
+
+def test_draw_of_the_routing_is_one_hash_of_one_text(spark):
+    names = [f"channel/{i}" for i in range(200)]
+    cols = {c: F.lit(None).cast("string") for c in ("a_primary_iso", "b_primary_iso", "consensus_label", "consensus_iso", "consensus_source", "a_primary_label", "b_primary_label")}
+    df = spark.createDataFrame([(n,) for n in names], "channel_id string").withColumns(cols | {"consensus_status": F.lit("exact_model_agreement"), "indic": F.lit(False)})
+    got = {r.channel_id for r in panel.route(df, 0.3, "20260526").collect()}
+    signed = lambda n: xxhash.xxh64_intdigest(f"{n}|20260526".encode(), seed=42)
+    drawn = lambda h: (h - 2**64 if h >= 2**63 else h) % 1_000_000
+    assert got == {n for n in names if drawn(signed(n)) < 300_000} and 30 < len(got) < 90
+
+
+def test_plain_request_ids_are_dealt_over_tasks(spark):
+    """All ids begin alike; chunks are in order and full, and no task numbers them all."""
+    df = spark.createDataFrame([(f"source/{i:05d}",) for i in range(1000)], "channel_id string")
+    models_ = spark.createDataFrame([("p", "m1"), ("p", "m2")], "provider string, model string")
+    out = category.fan_out(df, models_, "r", 30, "plain")
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.model, r.chunk_id), []).append(r.request_id)
+    assert all(len(got[m, k]) == (30 if k < 33 else 10) for m in ("m1", "m2") for k in range(34)) and len(got) == 68
+    assert all(max(got[m, k]) < min(got[m, k + 1]) for m in ("m1", "m2") for k in range(33))
+    assert category.ranged(df, ["channel_id"]).groupBy("_lead").count().count() > 1
+
+
+def test_cohort_stats_read_the_cohorts_once(spark):
+    df = spark.createDataFrame([("a", 5), ("a", 3), ("a", 3), ("a", 9), ("b", 1)], "cohort string, size int")
+    out = cohort.cohort_stats(df, "size")
+    assert sorted(map(tuple, out.collect())) == [("a", 3, 4, 2, 3), ("b", 1, 1, 1, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_distributions_take_one_scan(spark, tmp_path):
+    e = plans.Evidence(spark, SF)
+    df = qa.distributions(e.decided)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Expand" in plan
+    rows = df.collect()
+    for m in {r.metric for r in rows}:
+        assert sum(r.channels for r in rows if r.metric == m) == e.decided.count()
+    e.scratch.keep()
