@@ -1,10 +1,12 @@
 """Public tokenizers, and token counts that are kept up to date under edits.
 
-Counts: a document's text is cut into pre-tokens, and the token count and length of each are leaves of a segment tree. An
-edit replaces a range of the text: the leaves it touches are cut anew from two leaves before it (the pattern looks at
-most two characters beyond a pre-token) until a new boundary meets an old one behind the edit, from where on all is as
-before, because each match depends only on what follows. Sums on the paths to the changed leaves are updated; no other
-part of the text is encoded again. token_trees() and edited_trees() keep the trees as a table from one edit to the next.
+Counts: a document's text is cut into pre-tokens, and the token count and length of each, some to a leaf, are summed by a segment
+tree. Edits replace ranges of the text, one after the other; what they change together is cut anew, from CONTEXT pre-tokens
+before each change (the pattern looks at most two characters beyond a run of one class) until a new boundary meets an old one
+behind it, from where on all is as before, because each match depends only on what follows. Sums on the paths to the touched
+leaves are updated; no other part of the text is encoded again. Many edits cost one sweep: the text is joined once, and an
+edit at any place of a text with many edits moves one block of its pieces. token_trees() and edited_trees() keep the trees as a
+table from one edit to the next.
 
 Defined results: null and empty texts have 0 tokens; a very long text takes time in proportion to its length, but for single
 pre-tokens of very many characters, which take the encoder's; rows that repeat a doc_id are counted each by their text; edits that
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
@@ -30,8 +33,9 @@ from glossaria.llm.common import map_batches, record, sliced
 BPE = "byte_bpe_50k.json"
 #: Distinct pre-tokens whose counts a worker keeps, and the length up to which it keeps one.
 CACHE, KEPT_LENGTH = 400_000, 64
-#: Pre-tokens to a leaf of a tree.
+#: Pre-tokens to a leaf of a tree, and those before a change that are cut anew.
 LEAF = 16
+CONTEXT = 8
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,8 +109,97 @@ class Edit(NamedTuple):
     text: str
 
 
+Change = tuple[int, int, int, int]
+
+
+class _Pieces:
+    """A text under edits, as pieces of the first text and new texts, in blocks; an edit moves one block's pieces only."""
+
+    def __init__(self, n: int) -> None:
+        self.blocks: list[list[tuple[int, int, str | None]]] = [[(0, n, None)] if n else []]
+        self.sizes, self.length = [n], n
+
+    def _split(self, at: int) -> tuple[int, int]:
+        """(block, piece) that begins at a place, after cutting the piece that holds it."""
+        k = 0
+        while k + 1 < len(self.sizes) and at >= self.sizes[k]:
+            at -= self.sizes[k]
+            k += 1
+        block = self.blocks[k]
+        for i, (a, b, text) in enumerate(block):
+            if at == 0:
+                return k, i
+            if at < b - a:
+                block[i : i + 1] = [(a, a + at, text), (a + at, b, text)]
+                return k, i + 1
+            at -= b - a
+        return k, len(block)
+
+    def replace(self, e: Edit) -> None:
+        start = min(max(0, e.start), self.length)
+        stop = min(max(start, e.stop), self.length)
+        self._split(start)
+        k2, i2 = self._split(stop)
+        k1, i1 = self._split(start)
+        new = [(0, len(e.text), e.text)] if e.text else []
+        if k1 == k2:
+            self.blocks[k1][i1:i2] = new
+        else:
+            self.blocks[k1][i1:] = new
+            del self.blocks[k2][:i2]
+            del self.blocks[k1 + 1 : k2]
+            del self.sizes[k1 + 1 : k2]
+            self.sizes[k1 + 1] = sum(b - a for a, b, _ in self.blocks[k1 + 1])
+        block = self.blocks[k1]
+        if len(block) > 256:
+            self.blocks[k1 : k1 + 1] = [block[:128], block[128:]]
+            self.sizes[k1 : k1 + 1] = [sum(b - a for a, b, _ in x) for x in (block[:128], block[128:])]
+        else:
+            self.sizes[k1] = sum(b - a for a, b, _ in block)
+        self.length += len(e.text) - (stop - start)
+
+    def changes(self, old: str) -> tuple[str, list[Change]]:
+        """The text, and what has changed: (start, stop) in the first text and in this one."""
+        parts: list[str] = []
+        out: list[Change] = []
+        at, place, opened = 0, 0, 0  # in the first text, in the new one, and where in that the open change began
+        for a, b, text in (p for block in self.blocks for p in block):
+            if text is None:
+                if a > at or place > opened:
+                    out.append((at, a, opened, place))
+                parts.append(old[a:b])
+                at = b
+                place += b - a
+                opened = place
+            else:
+                parts.append(text[a:b])
+                place += b - a
+        if at < len(old) or place > opened:
+            out.append((at, len(old), opened, place))
+        return "".join(parts), out
+
+
+def changed(old: str, todo: Sequence[Edit]) -> tuple[str, list[Change]]:
+    """The text after edits, each made in the text that the one before has left, and all that changed. Edits that come last
+    place first need no search."""
+    n = len(old)
+    ordered = [(min(max(0, e.start), n), min(max(e.start, e.stop, 0), n), e.text) for e in todo]
+    if all(max(e.start, e.stop) <= before[0] for e, before in zip(todo[1:], ordered, strict=False)):
+        parts, out, at, place = [], [], 0, 0
+        for start, stop, text in reversed(ordered):
+            parts += [old[at:start], text]
+            place += start - at
+            out.append((start, stop, place, place + len(text)))
+            at, place = stop, place + len(text)
+        return "".join([*parts, old[at:]]), out
+    pieces = _Pieces(n)
+    for e in todo:
+        pieces.replace(e)
+    return pieces.changes(old)
+
+
 class TokenTree:
-    """A text's pre-tokens in leaves of a segment tree of (tokens, characters); the root has the text's sums."""
+    """A text's pre-tokens, with a segment tree of sums (tokens, characters) over leaves of some LEAF of them."""
 
     def __init__(self, text: str, known: Counts, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """leaves: of pre_tokens(), if the tree was built before; nothing is encoded then."""
@@ -114,22 +207,32 @@ class TokenTree:
         if leaves is None:
             pieces = _pattern().findall(text)
             leaves = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        self._build(*leaves)
+        self._lay(*leaves)
 
-    def _build(self, tokens: np.ndarray, chars: np.ndarray) -> None:
-        cuts = np.arange(0, len(tokens), LEAF)
-        n = max(1, len(cuts))
+    def _lay(self, tokens: np.ndarray, chars: np.ndarray) -> None:
+        """Leaves of LEAF pre-tokens, and all sums."""
+        self.tokens, self.chars = tokens, chars
+        n = max(1, -(-len(tokens) // LEAF))
+        self.cuts = np.minimum(np.arange(n + 1) * LEAF, len(tokens))
         self.base = 1 << (n - 1).bit_length()
         self.sums = np.zeros((2 * self.base, 2), dtype=np.int64)
-        if len(cuts):
-            self.sums[self.base : self.base + n, 0] = np.add.reduceat(tokens, cuts)
-            self.sums[self.base : self.base + n, 1] = np.add.reduceat(chars, cuts)
-        level = self.base
-        while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
-            level //= 2
-        self.leaves: list[tuple[np.ndarray, np.ndarray]] | None = None
-        self.flat = (tokens, chars)
+        self._sum(np.arange(n))
+
+    def _sum(self, leaves: np.ndarray) -> None:
+        """Sums of some leaves, and of the nodes on the paths from these to the root."""
+        first, last = self.cuts[leaves], self.cuts[leaves + 1]
+        if len(leaves) > 64:
+            for k, x in enumerate((self.tokens, self.chars)):
+                upto = np.concatenate([[0], np.cumsum(x)])
+                self.sums[self.base + leaves, k] = upto[last] - upto[first]
+        else:
+            for leaf, i, j in zip(leaves.tolist(), first.tolist(), last.tolist(), strict=True):
+                self.sums[self.base + leaf] = self.tokens[i:j].sum(), self.chars[i:j].sum()
+        nodes = np.unique((leaves + self.base) // 2)
+        while len(nodes) and nodes[-1] >= 1:
+            self.sums[nodes] = self.sums[2 * nodes] + self.sums[2 * nodes + 1]
+            nodes = np.unique(nodes // 2)
+            nodes = nodes[nodes >= 1]
 
     @property
     def n_tokens(self) -> int:
@@ -137,102 +240,85 @@ class TokenTree:
 
     @property
     def n_pretokens(self) -> int:
-        return len(self.flat[0]) if self.leaves is None else sum(len(t) for t, _ in self.leaves)
+        return len(self.tokens)
 
     def pre_tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and characters of each pre-token."""
-        if self.leaves is None:
-            return self.flat
-        return np.concatenate([t for t, _ in self.leaves]), np.concatenate([c for _, c in self.leaves])
-
-    def _open(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        if self.leaves is None:
-            t, c = self.flat
-            self.leaves = [(t[k : k + LEAF], c[k : k + LEAF]) for k in range(0, max(1, len(t)), LEAF)]
-        return self.leaves
-
-    def _leaf_at(self, place: int) -> tuple[int, int]:
-        """(leaf, its first character) that holds the character at a place, by the sums from the root down."""
-        node, before = 1, 0
-        while node < self.base:
-            left = int(self.sums[2 * node, 1])
-            if place < before + left:
-                node *= 2
-            else:
-                before += left
-                node = 2 * node + 1
-        return node - self.base, before
-
-    def _set(self, leaf: int, tokens: np.ndarray, chars: np.ndarray) -> None:
-        self.leaves[leaf] = (tokens, chars)
-        node = leaf + self.base
-        self.sums[node] = tokens.sum(), chars.sum()
-        while node > 1:
-            node //= 2
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        return self.tokens, self.chars
 
     def edit(self, e: Edit) -> None:
-        leaves = self._open()
-        start, stop = max(0, e.start), min(len(self.text), max(e.start, e.stop))
-        old, shift = self.text, len(e.text) - (stop - start)
-        self.text = old[:start] + e.text + old[stop:]
-        first, at = self._leaf_at(max(0, min(start, len(old) - 1))) if old else (0, 0)
-        first = min(first, len(leaves) - 1)
-        for _ in range(2):  # context before the edit: two leaves that are not empty
-            while first > 0:
-                first -= 1
-                n = int(leaves[first][1].sum())
-                at -= n
-                if n:
+        self.edits([e])
+
+    def edits(self, todo: Sequence[Edit]) -> None:
+        """Make edits one after the other; pre-tokens are cut anew once, where the text has changed by all of them together."""
+        text, changes = changed(self.text, todo)
+        changes = [c for c in changes if c[0] != c[1] or c[2] != c[3]]
+        if not changes:
+            return
+        regions = self._recut(text, changes)
+        self.text = text
+        self._splice(regions)
+
+    def _recut(self, text: str, changes: list[Change]) -> list[tuple[int, int, list[int], list[int]]]:
+        """(first, last, tokens, characters): what stands for the old pre-tokens first to last - 1, for each region, ascending."""
+        ends = np.cumsum(self.chars).tolist()
+        match, known, n = _pattern().match, self.known, len(text)
+        regions, done, k = [], 0, 0
+        while k < len(changes):
+            o1, _, n1, _ = changes[k]
+            first = max(done, bisect_right(ends, max(o1 - 1, 0)) - CONTEXT)
+            place = (ends[first - 1] if first else 0) + n1 - o1
+            tokens, chars, last = [], [], first
+            while True:
+                while k + 1 < len(changes) and place >= changes[k + 1][2]:  # the next change is reached: one region
+                    k += 1
+                _, o2, _, n2 = changes[k]
+                if place >= n2:
+                    old = place - n2 + o2
+                    last = max(last, bisect_left(ends, old, last) + 1 if old else 0)
+                    if old == 0 or last <= len(ends) and ends[last - 1] == old:  # an old boundary: from here all is as before
+                        break
+                    last = max(first, last - 1)
+                if place >= n:
+                    last = len(ends)
                     break
-        tokens, chars, place = [], [], at
-        ends, last, upto = set(), first - 1, at
-        match = _pattern().match
-        while True:
-            while last + 1 < len(leaves) and upto <= max(stop, place - shift):
-                last += 1
-                for n in leaves[last][1].tolist():
-                    upto += n
-                    if upto > stop:
-                        ends.add(upto)
-            if place >= len(self.text):
-                rest = 0
-                last = len(leaves) - 1
-                break
-            if place - shift in ends and place >= start + len(e.text):
-                rest = place - shift
-                break
-            m = match(self.text, place)
-            tokens.append(self.known[m[0]])
-            chars.append(len(m[0]))
-            place = m.end()
-        self.encoded += len(tokens)
-        if rest:  # what stands behind the meeting point in the last leaf stays
-            t, c = leaves[last]
-            begin = upto - int(c.sum())
-            inside = begin + np.cumsum(c)
-            keep = inside > rest
-            while not keep.all() and last > first and begin >= rest:
-                self._set(last, t, c)
-                last -= 1
-                upto = begin
-                t, c = leaves[last]
-                begin = upto - int(c.sum())
-                keep = begin + np.cumsum(c) > rest
-            if begin >= rest and last > first:
-                last, t, c, keep = last - 1, t[:0], c[:0], keep[:0]
-            else:
-                t, c = t[keep], c[keep]
-            tokens, chars = [*tokens, *t.tolist()], [*chars, *c.tolist()]
-        new_t, new_c = np.array(tokens, dtype=np.int64), np.array(chars, dtype=np.int64)
-        none = new_t[:0]
-        for k in range(first + 1, last + 1):
-            if len(leaves[k][0]):
-                self._set(k, none, none)
-        self._set(first, new_t, new_c)
-        if len(new_t) > 8 * LEAF:  # an outgrown leaf: deal the leaves anew, without encoding
-            t = np.concatenate([x for x, _ in leaves])
-            self._build(t, np.concatenate([x for _, x in leaves]))
+                m = match(text, place)
+                tokens.append(known[m[0]])
+                chars.append(len(m[0]))
+                place = m.end()
+            self.encoded += len(tokens)
+            regions.append((first, last, tokens, chars))
+            done = last
+            k += 1
+        return regions
+
+    def _splice(self, regions: list[tuple[int, int, list[int], list[int]]]) -> None:
+        """Put regions in place of what they stand for; leaves keep their bounds elsewhere, and only touched ones are summed anew."""
+        first, last = (np.array([r[k] for r in regions], dtype=np.int64) for k in (0, 1))
+        size = np.array([len(r[2]) for r in regions], dtype=np.int64)
+        shift = np.concatenate([[0], np.cumsum(size - (last - first))])
+        parts_t, parts_c, at = [], [], 0
+        for i, j, t, c in regions:
+            parts_t += [self.tokens[at:i], np.array(t, dtype=np.int64)]
+            parts_c += [self.chars[at:i], np.array(c, dtype=np.int64)]
+            at = j
+        tokens, chars = np.concatenate([*parts_t, self.tokens[at:]]), np.concatenate([*parts_c, self.chars[at:]])
+        cuts, leaves = self.cuts, len(self.cuts) - 1
+        r = np.searchsorted(last, cuts, side="left")
+        inside = np.minimum(r, len(regions) - 1)
+        within = (r < len(regions)) & (first[inside] < cuts)
+        new = np.where(within, first[inside] + shift[inside] + size[inside], cuts + shift[r])
+        new[-1] = len(tokens)
+        if int(np.diff(new).max()) > 4 * LEAF:  # an outgrown leaf: deal the leaves anew, without encoding
+            self._lay(tokens, chars)
+            return
+        a = np.minimum(np.searchsorted(cuts, first, side="right") - 1, leaves - 1)
+        b = np.minimum(np.searchsorted(cuts, last, side="left"), leaves - 1)
+        self.tokens, self.chars, self.cuts = tokens, chars, new
+        step = np.zeros(leaves + 1, dtype=np.int64)
+        np.add.at(step, a, 1)
+        np.add.at(step, np.maximum(a, b) + 1, -1)
+        self._sum(np.flatnonzero(np.cumsum(step[:leaves]) > 0))
 
 
 #: Personal data that the counting query masks: mail addresses, IPv4 addresses, runs of 13 to 19 digits. A run is tried from its
@@ -256,8 +342,7 @@ def _counted(texts: Sequence[bytes], edits: Callable[[int, str], Sequence[Edit]]
         tree = TokenTree(t.decode("utf-8", "replace"), known)
         row = [tree.n_pretokens, tree.n_tokens]
         todo = edits(i, tree.text)
-        for e in todo:
-            tree.edit(e)
+        tree.edits(todo)
         for k, v in zip(out, [*row, len(todo), tree.encoded, tree.n_tokens], strict=True):
             out[k].append(v)
     return out
@@ -318,8 +403,7 @@ def edited_trees(trees: DataFrame, edits: DataFrame, name: str = BPE) -> DataFra
                 out = []
                 for t, a, b, todo in zip(texts, *(part.column(c).to_pylist() for c in ("tokens", "chars", "edits")), strict=True):
                     out.append(TokenTree(t.decode("utf-8", "replace"), counts(name), (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))))
-                    for e in todo or []:
-                        out[-1].edit(Edit(e["start"], e["stop"], e["new"] or ""))
+                    out[-1].edits([Edit(e["start"], e["stop"], e["new"] or "") for e in todo or []])
                 yield _kept(part.column("doc_id"), out)
 
         return run
