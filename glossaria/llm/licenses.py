@@ -1,11 +1,11 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a run of consecutive lines, those without words skipped; between its first and its last line it may have SPAN
-times the words of the template. A template's tokens are ordered by their frequency in the whole corpus, rarest first.
+A block is a run of consecutive words, wherever lines end, of SPAN times the words of the template at most. A template's tokens are ordered by their frequency in the whole corpus, rarest first.
 For containment of at least THRESHOLD a text must hold ``need`` of a template's n tokens, hence one of its first
 n - need + 1 (prefix filter); it must have at least ``need`` tokens that any template has (length filter); and from the
-first common token on, both orders must still have enough tokens left (positional filter). Of a text that passes, the
-longest blocks are counted exactly for the template; the filters drop no block that qualifies.
+first common token on, both orders must still have enough tokens left (positional filter). Of a text that passes, every
+longest block is counted exactly for the template, sliding from one of its tokens to the next; the filters drop no block that
+qualifies.
 
 Beside that, places of fixed phrases are found in the words of the whole text.
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,20 +111,20 @@ class Matcher:
                     out.append(k)
         return out
 
-    def blocks(self, lines: list[list[bytes]], k: int) -> tuple[str, float] | None:
-        """Label and highest containment of a template in a block, if that is enough. lines: words of lines that have some."""
+    def blocks(self, held: list[tuple[int, int]], k: int) -> tuple[str, float] | None:
+        """Label and highest containment of a template in a block, if that is enough. held: places of words that any template
+        has, and their numbers."""
         label, ids, as_set, need, most = self.items[k]
-        held = [[x for w in line if (x := self.order.get(w)) in as_set] for line in lines]
-        upto = list(accumulate(map(len, lines), initial=0))
-        seen: Counter = Counter()
+        mine = [h for h in held if h[1] in as_set]
+        seen: dict[int, int] = {}
         best = first = 0
-        for last, line in enumerate(held):
-            seen.update(line)
-            while upto[last] - upto[min(first + 1, last)] > most:
-                for x in held[first]:
-                    seen[x] -= 1
-                    if not seen[x]:
-                        del seen[x]
+        for place, x in mine:
+            seen[x] = seen.get(x, 0) + 1
+            while place - mine[first][0] >= most:
+                y = mine[first][1]
+                seen[y] -= 1
+                if not seen[y]:
+                    del seen[y]
                 first += 1
             best = max(best, len(seen))
         return (label, best / len(ids)) if best >= need else None
@@ -169,8 +168,8 @@ def scan_licenses(documents: DataFrame, templates: list[tuple[str, str]] = TEMPL
                     base = {label for _, label in places}
                     labels, score = set(base), 1.0 if base else 0.0
                     if whole := match.whole(set(words)):
-                        lines = [x for y in t.split(b"\n") if (x := ascii_words(y))]
-                        for label, s in filter(None, (match.blocks(lines, k) for k in whole)):
+                        held = [(i, order[w]) for i, w in enumerate(words) if w in order]
+                        for label, s in filter(None, (match.blocks(held, k) for k in whole)):
                             labels.add(label)
                             score = max(score, s)
                     at = [p for p, _ in places]

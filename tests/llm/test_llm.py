@@ -256,16 +256,24 @@ def test_windows_hold(sizes):
     assert len(at) == len(sizes) and (not sizes or np.bincount(at, weights=sizes).max() <= 1024)
 
 
+def license_blocks(w, templates):
+    """(label, containment) of each template in the windows of twice its words."""
+    out = []
+    for label, t in templates:
+        s, most = set(t), 2 * len(t)
+        if len(s & set(w)) >= 0.9 * len(s) - 1e-9:
+            out += [(label, len(s & b) / len(s)) for b in (set(w[i : i + most]) for i in range(max(1, len(w) - most + 1))) if len(s & b) >= 0.9 * len(s) - 1e-9]
+    return out
+
+
 def test_licenses(docs, none):
     base = [(p.split(), label) for p, label in licenses.PHRASES]
-    templates = [(label, set(words(t))) for label, t in licenses.TEMPLATES]
+    templates = [(label, words(t)) for label, t in licenses.TEMPLATES]
     want = []
     for r in ROWS:
         w = words(r[1])
         places = [(i, label) for p, label in base for i in range(len(w)) if w[i : i + len(p)] == p]
-        lines = [set(words(x)) for x in (r[1] or "").split("\n")]
-        blocks = lines + [x | y for x, y in zip(lines, lines[1:], strict=False)]
-        found = [(label, len(t & b) / len(t)) for b in blocks for label, t in templates if len(t & b) >= 0.9 * len(t) - 1e-9]
+        found = license_blocks(w, templates)
         labels = {x for _, x in places} | {x for x, _ in found}
         at = [i for i, _ in places]
         want.append((r[0], len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), max([s for _, s in found] + [1.0] * bool(at), default=0.0)))
@@ -281,15 +289,19 @@ def test_wrapped_licenses(spark):
             texts.append((label, prose(40) + "\n" + " * " + "\n * ".join(textwrap.wrap(t, width)) + "\n" + prose(40)))
             texts.append((label, "\n\n".join(textwrap.wrap(t, width))))
     texts += [(None, "\n".join(f"{w}\n" + "other words " * 30 for w in t.split())) for _, t in licenses.TEMPLATES]
+    for _, t in licenses.TEMPLATES:  # all words of a notice, but far apart in one line
+        scattered = [RNG.choice(["alpha", "beta", "x"]) for _ in range(3000)]
+        for k, w in enumerate(t.split()):
+            scattered[k * 3000 // len(t.split()) + RNG.randrange(3000 // len(t.split()))] = w
+        texts.append((None, " ".join(scattered)))
     got = [r.labels.split(",") for r in sorted(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect())]
     templates = [(label, words(t)) for label, t in licenses.TEMPLATES]
     for (label, text), found in zip(texts, got, strict=True):
-        lines = [w for x in text.split("\n") if (w := words(x))]
-        want = {la for la, t in templates for i in range(len(lines)) for j in range(i, len(lines)) if sum(map(len, lines[i + 1 : j])) <= 2 * len(t) and len(set(t) & set().union(*lines[i : j + 1])) >= 0.9 * len(set(t)) - 1e-9}
         w = words(text)
+        want = {la for la, _ in license_blocks(w, templates)}
         want |= {la for p, la in licenses.PHRASES if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
         assert set(filter(None, found)) == want and (label is None or label in want)
-    assert got[0] == ["apache-2"] and all(g == [""] for g in got[-len(templates) :])
+    assert got[0] == ["apache-2"] and all(g == [""] for g in got[-2 * len(templates) :])
 
 
 def test_secrets(docs, none):
@@ -630,3 +642,10 @@ def test_near_duplicates_of_repeated_ids_are_rows(spark):
                     comp[x] = comp[y] = min(comp[x], comp[y])
     got = [tuple(r) for r in near_dedup.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()]
     assert set(got) <= set(rows) and sorted(comp[t] for _, t, _ in got) == sorted({comp[t] for _, t, _ in rows})
+
+
+def test_languages_are_bounded_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(k, f"wort{k % 7} {'abcdefgh'[k % 8] * 9}", ["l0", "l0", "l0", "l1", "l1", "l5", "l5", "l2"][k % 8]) for k in range(400)] + [(1000 + k, "x y z", f"dirty {k}") for k in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == ["l0", "l1", "l5"]
