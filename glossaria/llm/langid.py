@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import bounded_broadcast, map_batches, record, sliced, slices
+from glossaria.llm.common import Scratch, map_batches, record, sliced, slices
 
 ROWS = 4_000
 #: Characters that are learned from of a text: a longer one gives a stretch of so many, at a place that a hash chooses.
 STRETCH = 8_000
+#: The most values of lang that are learned: what the driver collects and the model that tasks get are bounded by it.
+LANGUAGES = 1_000
 #: Rows of a language, however many languages there are.
 LEAST_ROWS = 20
 BUCKETS, DIMS = 1 << 16, 16
@@ -204,19 +206,23 @@ def drawn_share(n: Column, each: int) -> Column:
 def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
     """Train on the labelled documents that are not held out: of each language the same number, by smallest hash of the id.
 
-    That number is a share of ``rows``, but LEAST_ROWS at least, so that every language is learned.
+    That number is a share of ``rows``, but LEAST_ROWS at least, so that every language is learned; of more than LANGUAGES values
+    those with most rows are. The texts are read twice: to count, and to take the sample.
     """
     known = documents.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    scratch = Scratch(documents.sparkSession)
+    counts = scratch.table(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
     languages = counts.count()
     if not languages:
+        scratch.keep()
         return None
     each = max(math.ceil(rows / languages), LEAST_ROWS)
     draw = F.xxhash64(F.col("doc_id"), F.lit("learn"))
-    some = known.join(bounded_broadcast(counts), "lang").filter(draw.cast("double") / 2.0**64 + 0.5 <= drawn_share(F.col("n"), each))
+    some = known.join(F.broadcast(counts), "lang").filter(draw.cast("double") / 2.0**64 + 0.5 <= drawn_share(F.col("n"), each))
     part = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))).filter(F.col("rank") <= each)
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("stretch")), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
     got = part.orderBy(draw, "text", "lang").select(F.substring("text", at, F.lit(STRETCH)).alias("text"), "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(8)) == 0).alias("aside")).collect()
+    scratch.keep()
     return train([r["text"].encode("utf-8", "replace") for r in got], [r["lang"] for r in got], np.array([r["aside"] for r in got], dtype=bool))
 
 
