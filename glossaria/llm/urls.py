@@ -1,9 +1,9 @@
 """URL filters: explicit host and path rules, else logistic regression on hashed character n-grams of host and path.
 
-The classifier is trained on the driver, in numpy, from the small labelled table below; its weights have a fixed size.
+The classifier is trained on the driver, in numpy, from the small labelled table of url_table.py; its weights have a fixed size.
 
-Defined results: a null or empty url, or one without ``://``, has an empty host and path, is judged by the classifier's bias and
-thus allowed; a very long url is one row's work; of rules of one length that fit, the last by name counts; rows that repeat a
+Defined results: a null or empty url, or one without ``://``, has an empty host and path and is judged by the classifier's bias, which
+the table's own row without host and path teaches to allow; a very long url is one row's work; of rules of one length that fit, the last by name counts; rows that repeat a
 page_id are each judged; other columns are ignored, and an empty table gives an empty result.
 """
 
@@ -19,64 +19,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import map_batches, record
+from glossaria.llm.url_table import labelled
 
 #: Fixed values: (verdict, host, path). A rule fits its host and all subdomains, if the url's path starts with the rule's.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The labelled table is made of these words: a url to block has one of the first list in its host or path.
-BLOCKED = "porn porno xxx adult adults sex sexy nude escort camgirls hentai erotic casino poker slots betting gambling roulette jackpot lottery viagra cialis pharmacy pills steroids crack keygen warez torrent serial cracked nulled malware phishing trojan ads adserver doubleclick track tracker tracking banner popunder affiliate spam spammer payday loans winner prize giveaway replica counterfeit".split()
-ALLOWED = "news weather library museum school university science physics history travel recipes kitchen garden music film theatre gallery books poetry journal research health doctor hospital nutrition sports football tennis cycling hiking forum community wiki docs developer software code data maps city council government law justice market business finance energy climate ocean forest birds animals family children education language grammar mathematics chemistry astronomy engineering railway airport hotel bakery coffee fashion design architecture photo radio podcast festival charity volunteer church temple archive calendar events jobs career support help contact about blog diary letters stories essays review guide tutorial lessons workshop therapy method entire session essex analysis assess expert exchange".split()
-_PATHS = ["/", "/en/{n}", "/fr/{n}.html", "/{w}/{n}", "/2021/05/{w}", "/{w}.html", "/item/{n}/", "/search/{w}", "", "/{w}/{v}-{n}", "/pages/{w}_{v}"]
-_HOSTS = ["www.{w}.{t}", "{w}{v}.{t}", "{w}-{v}.{t}", "{v}-{w}.{t}", "{w}.{v}.{t}", "{v}{w}{n}.{t}", "blog.{w}.{t}", "{w}.{t}", "{v}{w}.{t}", "my{w}.{t}", "m.{v}-{w}.{t}"]
-_TOPS = "com org net co.uk de fr es io info test example.com example.org gov.uk edu me".split()
-_SYLLABLES = "th er on ing ent re ti an al sol mar vel ka no du bri lo pen wi ki pe dia git hub py bb nyt tim gu ar xi mid dle ham ton ford bur y sta lin go ra mo".split()
-#: Urls to block, and to allow: more of these, as what is unknown is allowed. The share that is set aside to measure the classifier.
-URLS, ASIDE = (480, 1920), 0.2
-
-
-def labelled(seed: int = 11) -> list[tuple[str, int]]:
-    """Urls without a scheme, and 1 for those to block. Invented syllables stand beside the words, as most hosts are names."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    name = lambda: "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(2, 5))))
-    out = []
-    for y, words in ((1, BLOCKED), (0, ALLOWED)):
-        for k in range(URLS[1 - y]):
-            told, other = words[k % len(words)], ALLOWED
-            plain = lambda: pick(other) if rng.random() < 0.4 else name()  # noqa: E731, B023
-            in_host = y == 0 or rng.random() < 0.75
-            fill = lambda s, w: s.format(w=w, v=plain(), t=pick(_TOPS), n=int(rng.integers(1, 99999)))  # noqa: E731, B023
-            out.append((fill(pick(_HOSTS), told if in_host and (y or k % 2) else plain()) + fill(pick(_PATHS[:-1] if in_host else [p for p in _PATHS if "{w}" in p]), plain() if in_host else told), y))
-    return out
-
-
-DIMS, EPOCHS, RATE, DECAY = 1 << 16, 12, 4.0, 1e-5
+DIMS, EPOCHS, RATE, DECAY = 1 << 16, 6, 4.0, 1e-5
 _OUT = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
 
 
 def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of the hashed 3- to 6-grams of host and path, digits as 0, scaled to length 1."""
+    """(buckets, values) of the hashed 2- to 5-grams of host and path, digits as 0, scaled to length 1.
+
+    Each gram counts once under the mark of its half and once for both, so that a word of a host is also known in a path.
+    """
     grams = set()
     for mark, s in (("h", host), ("p", path)):
         s = "^" + "".join("0" if c.isdigit() else c for c in s.lower()) + "$"
-        grams.update(mark + s[i : i + n] for n in (3, 4, 5, 6) for i in range(len(s) - n + 1))
+        own = {s[i : i + n] for n in (2, 3, 4, 5) for i in range(len(s) - n + 1)}
+        grams.update(own, (mark + "|" + g for g in own))
     if not grams:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     ids, n = np.unique([zlib.crc32(g.encode("utf-8", "replace")) % DIMS for g in sorted(grams)], return_counts=True)
     return ids, n / np.sqrt((n * n).sum())
 
 
+#: Each url is learned as it is and so often under another end and beginning of its host: what these tell is less than what a name does.
+COPIES = 2
+ENDS, STARTS = ("com", "org", "net", "de", "co.uk", "io", "info", "example.com"), ("www.", "www.", "www.", "m.", "blog.", "", "", "", "")
+
+
+def with_end(url: str, end: str) -> str:
+    """url with another end of its host: the last label, and a short one (co, gov, ac) that stands before a country's."""
+    host, path = _halves(url)
+    labels = host.split(".")
+    cut = 2 if len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3 else 1
+    return ".".join([*labels[:-cut], end]) + path if len(labels) > cut else url
+
+
+def varied(table: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The table with its copies under other ends and beginnings, drawn alike for both classes."""
+    rng, out = np.random.default_rng(7), []
+    for url, y in table:
+        out.append((url, y))
+        for _ in range(COPIES if url else 0):
+            start, end = (xs[int(rng.integers(len(xs)))] for xs in (STARTS, ENDS))
+            out.append((start + with_end(url, end).removeprefix("www."), y))
+    return out
+
+
 def train(table: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    rows = [(features(*_halves(u)), y) for u, y in table]
+    """Weights and bias, as means over the later half of the epochs."""
+    rows = [(features(*_halves(u)), y) for u, y in varied(table)]
     rng, w, b = np.random.default_rng(3), np.zeros(DIMS), 0.0
+    mean_w, mean_b, half = np.zeros(DIMS), 0.0, EPOCHS // 2
     for epoch in range(EPOCHS):
+        rate = RATE / (1 + 0.3 * epoch)
         for k in rng.permutation(len(rows)).tolist():
             (ids, x), y = rows[k]
             g = 1 / (1 + np.exp(-(x @ w[ids] + b))) - y
-            rate = RATE / (1 + 0.3 * epoch)
             w[ids] -= rate * (g * x + DECAY * w[ids])
             b -= rate * 0.1 * g
-    return w, float(min(b, -0.1))
+        if epoch >= half:
+            mean_w, mean_b = mean_w + w / (EPOCHS - half), mean_b + b / (EPOCHS - half)
+    return mean_w, float(mean_b)
 
 
 @functools.lru_cache(maxsize=1)
@@ -84,15 +90,6 @@ def weights() -> tuple[np.ndarray, float]:
     return train(labelled())
 
 
-def held_out_accuracy() -> float:
-    """Of a classifier trained without the urls set aside, on those."""
-    table = labelled()
-    aside = np.random.default_rng(5).random(len(table)) < ASIDE
-    w, b = train([r for r, out in zip(table, aside.tolist(), strict=True) if not out])
-    right = [(score(*_halves(u), w, b) >= 0.5) == bool(y) for (u, y), out in zip(table, aside.tolist(), strict=True) if out]
-    return float(np.mean(right))
-
-
 def score(host: str, path: str, w: np.ndarray, b: float) -> float:
     """The chance that a url is to be blocked."""
     ids, x = features(host, path) if host or path else (np.zeros(0, dtype=np.int64), np.zeros(0))
