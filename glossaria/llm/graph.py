@@ -40,21 +40,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def cluster_blocks(members: DataFrame, size: int) -> DataFrame:
-    """(node, own, comp, i, j): the groups of blocks in which each member of a cluster has to be compared with all others.
-
-    members: (node, comp, weight). A cluster of a weight up to ``size`` is the one group (0, 0). A heavier one is dealt
-    into parts by a hash of its members, and each pair of parts is a group, so that every two members meet, in the
-    group of their parts; ``own`` is a member's part. No group holds more than about two times ``size``.
-    """
-    weights = members.groupBy("comp").agg(F.ceil(F.sum("weight") / size).cast("int").alias("parts"))
-    heavy = weights.filter("parts > 1")
-    dealt = members.join(heavy, "comp", "left").select("node", "comp", F.coalesce("parts", F.lit(1)).alias("parts"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return dealt.select("node", "comp", "own", other.alias("other")).select("node", "own", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-
 def first_blocks(members: DataFrame, heavy: DataFrame) -> DataFrame:
     """(node, key, i): light clusters whole, as block 0, and heavy ones dealt into blocks, with PIVOTS members in all.
 
