@@ -6,7 +6,7 @@ walks the tree without recursion and emits all visible text: head, scripts, styl
 dialogs and whatever is hidden by attribute or inline style emit none (a part made visible within an invisible one does);
 of a select the chosen options count. Paragraph-like blocks are set off by blank lines, other blocks by line ends; list items
 get bullets or numbers and indents; tables become lines whose cells, spanning ones included, are padded to the width of
-their columns; pre keeps its white space.
+their columns, wide characters as two places; pre keeps its white space.
 
 Defined results: null and empty html give an empty text; a tag or comment that is cut off by the end is dropped, other
 markup that is cut off is read as far as it goes; very long pages are one text, read by one task; rows that repeat a page_id are
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -225,6 +226,13 @@ class Box:
 Cell = tuple[list[str], int, int]  # lines, columns, rows
 
 
+def _width(line: str) -> int:
+    """Places that a line takes: two for a wide character (East Asian ones), none for a combining mark."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
 def _grid(rows: list[list[Cell]]) -> list[str]:
     """Lines of a table's rows of cells, each column as wide as its widest line; what spans columns may be as wide as all of them."""
     placed: list[list[tuple[int, Cell]]] = []
@@ -243,23 +251,25 @@ def _grid(rows: list[list[Cell]]) -> list[str]:
             if cell[2] > 1:
                 taken |= dict.fromkeys(range(k, k + cell[1]), cell[2] - 1)
             if cell[1] == 1:
-                widths[k] = max(widths[k], max(map(len, cell[0]), default=0))
+                widths[k] = max(widths[k], max(map(_width, cell[0]), default=0))
         placed.append(line)
     columns = sorted(widths)  # those in which a cell begins
     for line in placed:
         for k, (lines, span, _) in line:
             inside = columns[bisect_left(columns, k) : bisect_left(columns, k + span)]
             if span > 1:
-                widths[inside[-1]] += max(0, max(map(len, lines), default=0) - sum(widths[c] + 2 for c in inside) + 2)
+                widths[inside[-1]] += max(0, max(map(_width, lines), default=0) - sum(widths[c] + 2 for c in inside) + 2)
     start = dict(zip(columns, accumulate((widths[c] + 2 for c in columns), initial=0), strict=False))
     out = []
     for line in placed:
         for i in range(max((len(c[0]) for _, c in line), default=0)):
-            s = ""
+            parts, wide = [], 0
             for k, (lines, _, _) in line:
                 if i < len(lines):
-                    s = s.ljust(start[k]) + lines[i]
-            out.append(s.rstrip(" "))
+                    gap = max(0, start[k] - wide)
+                    parts += (" " * gap, lines[i])
+                    wide += gap + _width(lines[i])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 

@@ -367,6 +367,13 @@ def test_rendering(source, text):
     assert html.render(source) == text
 
 
+def test_cells_of_wide_characters_are_aligned():
+    rows = [("\u6771\u4eac", "1"), ("ab", "2"), ("e\u0301", "3"), ("\uff21b", "4")]  # widths 4, 2, 1, 3
+    source = "<table>" + "".join(f"<tr><td>{a}<td>{b}" for a, b in rows) + "<tr><td colspan=2>\u5317\u6d77\u9053\u65b0\u805e</table>"
+    assert html.render(source).split("\n") == ["\u6771\u4eac  1", "ab    2", "e\u0301     3", "\uff21b   4", "\u5317\u6d77\u9053\u65b0\u805e"]
+    assert html.render("<table><tr><td colspan=2>\u5317\u6d77\u9053\u65b0\u805e<td>x<tr><td>a<td>b<td>y</table>").split("\n") == ["\u5317\u6d77\u9053\u65b0\u805e  x", "a  b        y"]
+
+
 def test_rendering_is_total(spark):
     assert html.render("<div>" * 30_000 + "deep") == "deep"
     out = html.extract_text(spark.createDataFrame([(1, None, "u"), (2, "<p>x", "u"), (2, "<p>x", "u")], "page_id long, html string, text string")).collect()
