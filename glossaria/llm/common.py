@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.sources.scratch import Scratch, shared_dir
+from glossaria.sources.scratch import Scratch, bounded_joins, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "ascii_words", "bounded_broadcast", "map_batches", "record", "shared_dir", "sha256_joined", "ship", "sliced", "slices", "spread", "text_bytes", "words_of"]
+__all__ = ["Scratch", "ascii_lower", "ascii_words", "bounded_broadcast", "bounded_joins", "map_batches", "record", "shared_dir", "sha256_joined", "ship", "sliced", "slices", "spread", "text_bytes", "words_of"]
 
 #: Rows up to which an (id, number...) table is broadcast after its rows have been counted.
 BROADCAST_ROWS = 300_000
@@ -55,11 +55,11 @@ def spread(spark: SparkSession, rows: int, least: int = 8_000, most: int = 250_0
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, of numbers and short strings, with a broadcast hint if a count (of at most rows + 1) and the size of its strings
-    prove it small, else df as it is: Spark then shuffles."""
+    prove it small, else with a hint that has Spark shuffle it, however well it compresses."""
     strings = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     size = sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(0))
     n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
+    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df.hint("merge")
 
 
 def slices(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

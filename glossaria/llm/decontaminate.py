@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import Scratch, ascii_lower, bounded_broadcast, sha256_joined, words_of
+from glossaria.llm.common import Scratch, ascii_lower, bounded_broadcast, bounded_joins, sha256_joined, words_of
 
 WINDOW = 10
 #: How far, in words, the three rarest terms of a window may stand from their places in a proximity match.
@@ -97,6 +97,7 @@ def proximity_matches(index: DataFrame, ranked: DataFrame, found: DataFrame, slo
     return alone.union(asked.join(other, ["doc", "term3", "cell"]).filter(F.abs(F.col("pos3") - F.col("start") - F.col("off3")) <= slop).select("doc", "win")).distinct()
 
 
+@bounded_joins
 def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
     """The index, and (doc, n_hit, items, n_near_items) of the documents with any match."""
     scratch = Scratch(spark)
@@ -125,7 +126,7 @@ def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     none = F.array().cast("array<string>")
     return (
-        index.filter("term is null").join(report, "doc", "left")
+        index.filter("term is null").join(report.hint("merge"), "doc", "left")
         .select("doc_id", "n_words", zero("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), sha256_joined(F.coalesce("items", none)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near_items"))
     )
 

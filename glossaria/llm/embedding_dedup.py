@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm.balls import ball_blocks, unit_rows
-from glossaria.llm.common import Scratch, map_batches, record, spread
+from glossaria.llm.common import Scratch, bounded_joins, map_batches, record, spread
 from glossaria.llm.graph import connected_components
 from glossaria.llm.regions import Look, forest_links, groups, mix
 
@@ -134,6 +134,7 @@ def confirmed(rows: DataFrame, parts: int) -> DataFrame:
     return map_batches(rows.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), make, "node long, root long, links long")
 
 
+@bounded_joins
 def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
     """One row for each row of embeddings: vec_id, n_links, component_id, kept."""
     scratch = Scratch(spark)
@@ -160,7 +161,7 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFr
     )
     scratch.keep(own, final)
     return (
-        embeddings.select(F.col("vec_id").cast("long").alias("node")).join(own, "node", "left").join(final, "node", "left")
+        embeddings.select(F.col("vec_id").cast("long").alias("node")).join(own.hint("merge"), "node", "left").join(final.hint("merge"), "node", "left")
         .select(F.col("node").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import Scratch, bounded_broadcast, map_batches, record, sliced, spread
+from glossaria.llm.common import Scratch, bounded_broadcast, bounded_joins, map_batches, record, sliced, spread
 from glossaria.llm.graph import connected_components, first_blocks, left_over_blocks
 from glossaria.llm.regions import EDGES, Look, Sets, forest_links, groups, mix
 
@@ -230,6 +230,7 @@ def exact_links(documents: DataFrame, members: DataFrame, scratch: Scratch, size
     return found.union(scratch.table(confirmed_links(documents, left, of(left.count()))))
 
 
+@bounded_joins
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(spark)
@@ -248,7 +249,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     final = scratch.table(connected_components(exact.union(copies), scratch))
     scratch.keep(sketch, final)
     return (
-        sketch.select("node", "n").join(final, "node", "left")
+        sketch.select("node", "n").join(final.hint("merge"), "node", "left")
         .select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
@@ -268,6 +269,7 @@ def told_apart(documents: DataFrame, scratch: Scratch) -> DataFrame | None:
     return documents.join(bounded_broadcast(named), at, "left").withColumn("_node", F.coalesce("_new", F.col("doc_id").cast("long"))).drop("_again", "_digest", "_new")
 
 
+@bounded_joins
 def drop_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """documents with one row for each group of near duplicates: that of the smallest doc_id.
 
@@ -282,7 +284,7 @@ def drop_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame
     rows = scratch.table(apart)
     groups = near_duplicates(spark, rows.withColumn("doc_id", F.col("_node"))).filter("doc_id is not null").select(F.col("doc_id").alias("_node"), "component_id")
     ids = rows.filter("_node is not null").groupBy("_node").agg(F.min("doc_id").alias("_id"))
-    first = groups.distinct().join(ids, "_node").groupBy("component_id").agg(F.min(F.struct("_id", "_node")).alias("_first")).select(F.col("_first._node").alias("_kept"))
+    first = groups.distinct().join(ids.hint("merge"), "_node").groupBy("component_id").agg(F.min(F.struct("_id", "_node")).alias("_first")).select(F.col("_first._node").alias("_kept"))
     left = rows.join(bounded_broadcast(first), F.col("_node") == F.col("_kept"), "left_semi")
     unnamed = rows.filter("_node is null").select(*documents.columns)
     one = left.groupBy("_node").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
