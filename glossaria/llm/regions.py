@@ -7,10 +7,12 @@ the longest common prefix stand next to each other. A region is a run of one key
 Neighbours in an order are compared first, which joins most of what is alike. What is left in a region of up to ``most`` items
 is compared by pivots until every two items that are alike are joined. The depth of a region adapts to its size: a
 crowded one is sorted over many tasks, each item is compared with its next neighbours, and regions that are joined then are
-done. If few items are left outside of the largest component, they meet all items of the region, in bounded blocks. If many
-are, the prefix is made longer until regions are small, and the orders of the region grow in number with its prefix, so that
-two items at the threshold still meet with probability MEET; what is crowded even then is compared in blocks of all its
-items. Links are spanning stars: a region gives fewer rows than it has items.
+done. If many items are left outside of the largest component, the prefix is made longer until regions are small, and the
+orders of the region grow in number with its prefix, so that two items at the threshold meet with probability MEET: that
+joins most of what is left. What lies outside of the largest component then meets all items of the region, in bounded blocks.
+So a region of any size joins the same items, and sizes decide only in which order they are compared; a region of items that
+are mostly unlike each other costs the square of its size, over many tasks. Links are spanning stars: a region gives fewer
+rows than it has items.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from glossaria.llm.graph import connected_components, left_over_blocks
 
 #: Next neighbours with which an item of a crowded region is compared.
 NEXT = 8
-#: Blocks of items outside the largest component that may meet a whole region.
+#: Blocks of items outside the largest component up to which they meet a whole region at once.
 LEFT = 8
+#: Blocks of a crowded region have so many times the items of a usual one.
+WIDER = 8
 #: Chance that two items at the threshold meet in one of a crowded region's longer prefixes.
 MEET = 0.9
 #: Rows that a task reads at a time, and rows of a region that are compared all at once.
@@ -314,6 +318,11 @@ def _open(named: DataFrame) -> DataFrame:
     return named.join(named.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("key"), "key", "left_semi")
 
 
+def _blocks_compared(named: DataFrame, look: Look, size: int, parts: int) -> DataFrame:
+    """Links that join whatever is alike in a region, each item outside its largest component compared with all others."""
+    return _compared(left_over_blocks(named.withColumns({"weight": F.lit(1), "band": F.lit(0)}), size), parts, look, blocks=True)
+
+
 def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0, most: int = 512) -> DataFrame:
     """Links (a, b) that join whatever items share a region and look alike, at every size of a region.
 
@@ -343,10 +352,10 @@ def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0,
     scratch.drop(crowded)
     by = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") - F.max("c")).alias("left"))
     many = scratch.table(by.filter(F.col("left") > LEFT * most).select("key"))
-    rest = named
     if not many.isEmpty():
         deep = scratch.table(_open(_deepened(named.join(many, "key", "left_semi"), look, most)))
-        rest = named.join(many, "key", "left_anti").select("key", "node", "comp", "look").union(deep.select("key", "node", "comp", "look"))
-    blocks = left_over_blocks(rest.withColumns({"weight": F.lit(1), "band": F.lit(0)}), most)
-    again = scratch.table(_compared(blocks, spread(spark, rest.count()), look, blocks=True))
-    return found.union(again)
+        found = found.union(scratch.table(_blocks_compared(deep.select("key", "node", "comp", "look"), look, most, spread(spark, deep.count()))))
+        # longer prefixes miss some of the links; what they have joined need not meet again
+        comps = connected_components(found, scratch).select(F.col("comp").alias("now"), F.col("node").alias("comp"))
+        named = scratch.table(_open(named.join(comps, "comp", "left").select("key", "node", F.coalesce("now", "comp").alias("comp"), "look")))
+    return found.union(scratch.table(_blocks_compared(named, look, WIDER * most, spread(spark, named.count()))))
