@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import Scratch
+from glossaria.llm.common import Scratch, spread
 
 #: Members of a heavy cluster that are in each of its first blocks.
 PIVOTS = 16
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp) for each node of the links (a, b) of longs; comp is the smallest node reachable.
+def connected_components(edges: DataFrame, scratch: Scratch, written: bool = False) -> DataFrame:
+    """(node, comp) for each node of the links (a, b) of longs; comp is the smallest node reachable. written: edges are read from
+    tables, so that the first round can read them where they lie.
 
     Each round points every node to its smallest neighbour, follows the pointers twice, and contracts the links to
     the nodes pointed to; the links left shrink to none. Each round is cut off by a written table, and a hub with
-    very many links costs a partial aggregate and a join that Spark can split.
+    very many links costs a partial aggregate and a join that Spark can split. A round's tables are written by as
+    many tasks as its links ask for.
     """
-    live = scratch.table(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not written:
+        live = scratch.table(live.distinct())
     maps: list[DataFrame] = []
-    while not live.isEmpty():
+    while links := live.count():
+        parts = spread(scratch.spark, 2 * links)
         both = live.union(live.select("b", "a"))
         # written first: an aggregate between shuffle and join would keep Spark from splitting the part of a hub
-        near = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        near = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")).coalesce(parts))
         over = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        up = scratch.table(near.join(over, "to").select("node", F.col("next").alias("to")))
+        up = scratch.table(near.join(over, "to").select("node", F.col("next").alias("to")).coalesce(parts))
         scratch.drop(near)
         maps.append(up)
         at = lambda c: up.select(F.col("node").alias(c), F.col("to").alias(f"{c}2"))  # noqa: E731, B023
         moved = live.join(at("a"), "a").join(at("b"), "b").filter("a2 <> b2")
-        old, live = live, scratch.table(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
-        scratch.drop(old)
+        old, live = live, scratch.table(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct().coalesce(parts))
+        if maps[1:] or not written:
+            scratch.drop(old)
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     out = maps[0].withColumnRenamed("to", "comp")

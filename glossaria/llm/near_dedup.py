@@ -218,16 +218,17 @@ def exact_links(documents: DataFrame, members: DataFrame, scratch: Scratch, size
     """The links that join what belongs together in each cluster. members: (key, node, weight, band), weights in bytes."""
     spark = documents.sparkSession
     of = lambda rows: spread(spark, rows, 1_000, 10_000)  # noqa: E731  texts, not short rows
+    few = spread(spark, members.count())
     weights = members.groupBy("key").agg(F.sum("weight").alias("w"))
-    heavy = scratch.table(weights.filter(F.col("w") > size).select("key", F.ceil(F.col("w") / size).alias("parts")))
+    heavy = scratch.table(weights.filter(F.col("w") > size).select("key", F.ceil(F.col("w") / size).alias("parts")).coalesce(few))
     blocks = first_blocks(members, heavy).select("key", "i", F.col("i").alias("j"), "node", F.col("node").alias("comp"), F.lit(False).alias("based")).distinct()
-    found = scratch.table(confirmed_links(documents, blocks, of(members.count())))
+    found = scratch.table(confirmed_links(documents, blocks, of(members.count())).coalesce(few))
     if heavy.isEmpty():
         return found
-    big = members.join(heavy.select("key"), "key", "left_semi").join(connected_components(found, scratch), "node", "left")
+    big = members.join(heavy.select("key"), "key", "left_semi").join(connected_components(found, scratch, written=True), "node", "left")
     named = scratch.table(big.select("key", "node", "weight", "band", F.coalesce("comp", "node").alias("comp")))
     left = scratch.table(left_over_blocks(named, size).select("key", "i", "j", "node", "comp", "based").distinct())
-    return found.union(scratch.table(confirmed_links(documents, left, of(left.count()))))
+    return found.union(scratch.table(confirmed_links(documents, left, of(left.count())).coalesce(spread(spark, left.count()))))
 
 
 @bounded_joins
@@ -237,16 +238,18 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     sketch = scratch.table(sketches(documents))
     known = sketch.filter("node is not null and print is not null")
     heads = known.groupBy("print").agg(F.min(F.struct("node", "n", "keys", "look")).alias("head"), F.count("*").alias("rows")).select("print", "head.*", "rows")
-    heads = scratch.table(heads.withColumn("class", F.monotonically_increasing_id()))
+    heads = scratch.table(heads.withColumn("class", F.monotonically_increasing_id()).coalesce(spread(spark, sketch.count(), 1_000, 10_000)))
+    few = spread(spark, sketch.count())  # links and names of nodes: short rows
     links = forest_links(heads.select(F.col("class").alias("node"), "keys", "look"), scratch, LOOK, DEPTH)
-    classes = connected_components(links, scratch).withColumnRenamed("node", "class")
+    classes = connected_components(links, scratch, written=True).withColumnRenamed("node", "class")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int").alias("band")
-    clusters = scratch.table(classes.join(heads.select("class", "node", "n"), "class").select(F.col("comp").alias("key"), "node", band).distinct())
+    clusters = scratch.table(classes.join(heads.select("class", "node", "n"), "class").select(F.col("comp").alias("key"), "node", band).distinct().coalesce(few))
     weights = known.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("bytes").alias("weight"))
-    members = scratch.table(clusters.join(weights, "node"))
+    members = scratch.table(clusters.join(weights, "node").coalesce(few))
     exact = exact_links(documents, members, scratch)
     copies = known.join(heads.filter("rows > 1").select("print", F.col("node").alias("rep")), "print").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    final = scratch.table(connected_components(exact.union(copies), scratch))
+    copied = scratch.table(copies.filter("a <> b").coalesce(few))
+    final = scratch.table(connected_components(exact.union(copied), scratch, written=True).coalesce(few))
     scratch.keep(sketch, final)
     return (
         sketch.select("node", "n").join(final.hint("merge"), "node", "left")

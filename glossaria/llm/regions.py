@@ -332,7 +332,7 @@ def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0,
     spark = items.sparkSession
     keyed = items.select("node", F.posexplode("keys").alias("ord", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.table(keyed.join(sizes, "key").select("node", "key", "ord", "n"))
+    shared = scratch.table(keyed.join(sizes, "key").select("node", "key", "ord", "n").coalesce(spread(spark, items.count(), 1_000, 5_000)))
     turn = (F.col("ord") + 1) * step % look.width
     turned = F.concat(F.substring("look", turn + 1, F.lit(look.width)), F.substring("look", F.lit(1), turn)) if step else F.col("look")
 
@@ -340,22 +340,25 @@ def forest_links(items: DataFrame, scratch: Scratch, look: Look, step: int = 0,
         return rows.join(items.select("node", "look"), "node").select("key", "node", "n", turned.alias("look"))
 
     usual, rows = shared.agg(F.count_if(F.col("n") <= most), F.count_if(F.col("n") > most)).first()
-    first = scratch.table(_compared(seen(shared.filter(F.col("n") <= most)), spread(spark, usual), look, blocks=False))
+    first = scratch.table(_compared(seen(shared.filter(F.col("n") <= most)), spread(spark, usual), look, blocks=False).coalesce(spread(spark, usual)))
     if not rows:
         scratch.drop(shared)
         return first
-    crowded = scratch.table(seen(shared.filter(F.col("n") > most)))
+    few = spread(spark, rows)
+    crowded = scratch.table(seen(shared.filter(F.col("n") > most)).coalesce(few))
     scratch.drop(shared)
-    near = scratch.table(_next_neighbours(crowded.repartitionByRange(spread(spark, rows), "key", "look", "node"), look))
+    near = scratch.table(_next_neighbours(crowded.repartitionByRange(few, "key", "look", "node"), look).coalesce(few))
     found = first.union(near)
-    named = scratch.table(_open(crowded.join(connected_components(found, scratch), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), "look")))
+    named = scratch.table(_open(crowded.join(connected_components(found, scratch, written=True), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), "look")).coalesce(few))
     scratch.drop(crowded)
     by = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") - F.max("c")).alias("left"))
-    many = scratch.table(by.filter(F.col("left") > LEFT * most).select("key"))
+    many = scratch.table(by.filter(F.col("left") > LEFT * most).select("key").coalesce(few))
     if not many.isEmpty():
         deep = scratch.table(_open(_deepened(named.join(many, "key", "left_semi"), look, most)))
-        found = found.union(scratch.table(_blocks_compared(deep.select("key", "node", "comp", "look"), look, most, spread(spark, deep.count()))))
+        parts = spread(spark, deep.count())
+        found = found.union(scratch.table(_blocks_compared(deep.select("key", "node", "comp", "look"), look, most, parts).coalesce(parts)))
         # longer prefixes miss some of the links; what they have joined need not meet again
-        comps = connected_components(found, scratch).select(F.col("comp").alias("now"), F.col("node").alias("comp"))
-        named = scratch.table(_open(named.join(comps, "comp", "left").select("key", "node", F.coalesce("now", "comp").alias("comp"), "look")))
-    return found.union(scratch.table(_blocks_compared(named, look, WIDER * most, spread(spark, named.count()))))
+        comps = connected_components(found, scratch, written=True).select(F.col("comp").alias("now"), F.col("node").alias("comp"))
+        named = scratch.table(_open(named.join(comps, "comp", "left").select("key", "node", F.coalesce("now", "comp").alias("comp"), "look")).coalesce(few))
+    parts = spread(spark, named.count())
+    return found.union(scratch.table(_blocks_compared(named, look, WIDER * most, parts).coalesce(parts)))
