@@ -22,7 +22,7 @@ from glossaria.sources.scratch import Scratch, bounded_joins, shared_dir
 __all__ = ["Scratch", "ascii_lower", "ascii_words", "bounded_broadcast", "bounded_joins", "map_batches", "record", "shared_dir", "sha256_joined", "ship", "sliced", "slices", "spread", "text_bytes", "words_of"]
 
 #: Rows up to which an (id, number...) table is broadcast after its rows have been counted.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 #: Bytes of its strings up to which that is done.
 BROADCAST_BYTES = 32_000_000
 

@@ -43,3 +43,10 @@ def test_tables_beyond_the_bound_are_shuffled(spark):
     kept = spark.range(1000).join(common.bounded_broadcast(rows, 99), F.col("id") == F.col("k"))
     assert "SortMergeJoin" in plan(kept) and "Broadcast" not in plan(kept) and kept.count() == 100
     assert "BroadcastHashJoin" in plan(spark.range(1000).join(common.bounded_broadcast(rows, 100), F.col("id") == F.col("k")))
+
+
+def test_ids_of_all_copies_stay_out_of_the_driver(spark):
+    """The ids that stage 2 of the pipeline drops from 0.6 GB of six exact copies: 262,595 rows, before held as one table by the driver."""
+    rows = spark.range(262_595).withColumnRenamed("id", "k")
+    left = spark.range(300_000).join(common.bounded_broadcast(rows), F.col("id") == F.col("k"), "left_anti")
+    assert "Broadcast" not in plan(left) and left.count() == 300_000 - 262_595
